@@ -78,7 +78,7 @@ def score_rows(scored: DataFrame, as_of: date) -> DataFrame:
 
 def scores_snapshot(store: TableStore, scored: DataFrame, as_of: date) -> DataFrame:
     """Store the day's scores, replacing an earlier run of the same day; returns the stored table."""
-    store.replace_day("stock_scores", score_rows(scored, as_of))
+    store.replace_day("stock_scores", score_rows(scored, as_of), as_of)
     return store.read("stock_scores")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.schemas import TABLES
@@ -34,24 +36,29 @@ class TableStore:
         """The table, or an empty frame of its schema when nothing has been stored yet."""
         if not self.exists(table):
             return self.spark.createDataFrame([], TABLES[table][0])
+        # another session, such as a stream's, may have written since the files were last listed
+        self.spark.catalog.refreshTable(f"{self.database}.{table}")
         return self.spark.read.table(f"{self.database}.{table}")
 
-    def _insert(self, table: str, df: DataFrame, mode: str, partition_mode: str) -> None:
+    def _rows(self, table: str, df: DataFrame) -> DataFrame:
         self.create(table)
         schema, partitions = TABLES[table]
         df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
-        if partitions:
-            # group a day's rows into few files; AQE splits days that are too large for one task
-            df = df.hint("rebalance", *partitions)
-        writer = df.write.mode(mode).option("partitionOverwriteMode", partition_mode)
-        writer.insertInto(f"{self.database}.{table}")
+        # group a day's rows into few files; AQE splits days that are too large for one task
+        return df.hint("rebalance", *partitions) if partitions else df
 
-    def replace(self, table: str, df: DataFrame) -> None:
-        self._insert(table, df, "overwrite", "static")
+    def append(self, table: str, df: DataFrame) -> None:
+        self._rows(table, df).write.mode("append").insertInto(f"{self.database}.{table}")
 
-    def replace_day(self, table: str, df: DataFrame) -> None:
-        """Overwrite only the partitions ``df`` has rows for, so a second run on a day changes nothing."""
-        self._insert(table, df, "overwrite", "dynamic")
+    def replace(self, table: str, df: DataFrame) -> None:
+        self._rows(table, df).write.mode("overwrite").insertInto(f"{self.database}.{table}")
 
-    def append(self, table: str, df: DataFrame) -> None:
-        self._insert(table, df, "append", "static")
+    def replace_day(self, table: str, df: DataFrame, day: date) -> None:
+        """Overwrite the partition of one day, so that a second run on a day changes nothing."""
+        rows = self._rows(table, df)
+        (partition,) = TABLES[table][1]
+        self.spark.sql(
+            f"INSERT OVERWRITE TABLE {self._name(table)} "
+            f"PARTITION (`{partition}` = DATE '{day.isoformat()}') SELECT * FROM {{rows}}",
+            rows=rows.drop(partition),
+        )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date, datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,7 +131,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a batch never has more than 50 rows
     array = F.to_json(F.sort_array(F.collect_list(item)))
     whole = F.concat(F.lit("Here is the list [as asked]:\n"), array, F.lit("\nDone."))
-    cut = F.concat(F.expr("substr(body, 1, length(body) - 30)"), F.lit("}]"))
+    cut = F.concat(F.expr("substr(body, 1, length(body) - 40)"), F.lit("}]"))
     grouped = stock_sectors(spark, sf_dir).groupBy(batch.alias("batch_id")).agg(
         whole.alias("body")
     )
@@ -190,5 +189,3 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

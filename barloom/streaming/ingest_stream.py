@@ -38,7 +38,9 @@ def ingest_stream(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def load(batch: DataFrame, _batch_id: int) -> None:
-        append_new_bars(store, to_bars(batch), stock_list, as_of, min_new_bars)
+        # the batch has a session of its own; its tables are the same
+        target = TableStore(batch.sparkSession, store.database)
+        append_new_bars(target, to_bars(batch), stock_list, as_of, min_new_bars)
 
     query = (
         reader.parquet(source)
