@@ -126,10 +126,14 @@ def _accept_in_order(
     top_n: int,
     max_per_sector: int | None,
 ) -> list[Row]:
-    """Walk one block in rank order; returns the accepted (tradingsymbol, sector) rows, old ones first."""
+    """Walk one block in rank order; returns the accepted (tradingsymbol, sector) rows, old ones first.
+
+    The walk starts with the rows accepted earlier, which conflict with nothing in the block any more.
+    """
     spark = conflicts.sparkSession
     schema = "rank int, tradingsymbol string, sector string"
-    numbered = [(i, row[SYMBOL], row["sector"]) for i, row in enumerate(block)]
+    entries = [*accepted, *block]
+    numbered = [(i, row[SYMBOL], row["sector"]) for i, row in enumerate(entries)]
     walk = (
         spark.createDataFrame(numbered, schema)
         .join(conflicts, SYMBOL, "left")
@@ -143,18 +147,7 @@ def _accept_in_order(
         )
         .agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     )
-    empty = F.array().cast("array<struct<tradingsymbol:string,sector:string>>")
-    start = empty
-    if accepted:
-        start = F.array(
-            *[
-                F.struct(
-                    F.lit(row[SYMBOL]).alias(SYMBOL),
-                    F.lit(row["sector"]).cast("string").alias("sector"),
-                )
-                for row in accepted
-            ]
-        )
+    start = F.array().cast("array<struct<tradingsymbol:string,sector:string>>")
 
     def step(taken: Column, entry: Column) -> Column:
         fits = (F.size(taken) < top_n) & ~F.arrays_overlap(

@@ -55,7 +55,7 @@ def sf_dir():
 def bar_rows(symbol, closes, start=DAY0, volumes=None, step=1):
     """Bars whose high and low straddle the close."""
     rows = []
-    for i, close in enumerate(closes):
+    for i, close in enumerate(map(float, closes)):
         volume = volumes[i] if volumes is not None else 100 + (i * 37) % 91
         day = start + dt.timedelta(days=i * step)
         rows.append((symbol, day, close, close + 1.0 + i % 3, close - 1.0, close, volume))

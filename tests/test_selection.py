@@ -50,7 +50,7 @@ def market(seed, symbols, days=40):
     for i in range(symbols):
         move = factors[i % 4] * rng.uniform(0.2, 2) + rng.normal(0, 1, days)
         length = int(rng.integers(days - 8, days + 1))
-        prices = list(np.round(100 * np.exp(0.01 * move[:length].cumsum()), 4))
+        prices = np.round(100 * np.exp(0.01 * move[:length].cumsum()), 4).tolist()
         start = DAY0 + dt.timedelta(days=int(rng.integers(0, 4)))
         rows = bar_rows(f"S{i:03d}", prices, start=start)
         bars.append(rows)
