@@ -94,9 +94,9 @@ class SeriesFrame:
         full = F.count(value).over(frame) == rows if first is None else F.col(POS) >= first + rows - 1
         return F.when(full, aggregate(value).over(frame))
 
-    def running_sum(self, value: Column) -> Column:
+    def running_sum(self, value: Column, until: int = 0) -> Column:
         """Sum over the rows of the chunk so far, context rows left out."""
-        frame = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        frame = self.window.rowsBetween(Window.unboundedPreceding, until)
         if self.chunked:
             value = F.when(self.own, value).otherwise(F.lit(0.0))
         return F.sum(value).over(frame)

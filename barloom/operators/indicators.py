@@ -29,6 +29,7 @@ from barloom.functions.series import (
     whole_series,
 )
 from barloom.schemas import INDICATOR_COLUMNS
+from barloom.session import cut_lineage
 
 # fixed values: window lengths and spans of the indicators
 MA_SHORT, MA_LONG = 20, 50
@@ -103,7 +104,11 @@ def _price_changes(frame: SeriesFrame) -> Steps:
 
 def _local_obv(frame: SeriesFrame) -> Steps:
     signed = F.coalesce(F.signum(_move()) * F.col("volume"), F.lit(0.0))
-    return [_before(frame), {"_signed": signed}, {"_obv": frame.running_sum(F.col("_signed"))}]
+    sums = {
+        "_obv": frame.running_sum(F.col("_signed")),
+        "_obv_before": F.coalesce(frame.running_sum(F.col("_signed"), until=-1), F.lit(0.0)),
+    }
+    return [_before(frame), {"_signed": signed}, sums]
 
 
 def _local_macd(frame: SeriesFrame) -> Steps:
@@ -158,39 +163,42 @@ def _macd_carry(chunk_rows: int, by_chunk) -> Column:
     return F.aggregate(ends, start, step)
 
 
-def _complete(frame: SeriesFrame, numbered: DataFrame | None, obv: bool, macd: bool) -> DataFrame:
-    """Turn chunk-local running values into values of the whole series.
+def _carries(
+    numbered: DataFrame, chunk_rows: int, obv: bool, macd: bool
+) -> DataFrame:
+    """State to start each chunk with, one row per (symbol, chunk) after the first.
 
-    Chunk ends are computed for symbols longer than a chunk only, and one row per full chunk reaches
-    the per-symbol window.
+    Only symbols longer than a chunk are read, and only the last row of each full chunk reaches the
+    per-symbol window.
     """
+    frame = in_chunks(numbered.filter(F.col(TOTAL) > chunk_rows), 1, chunk_rows)
+    steps = [_local_obv(frame)] if obv else []
+    steps += [_local_macd(frame)] if macd else []
+    frame = frame.with_steps(*steps)
+    by_chunk = Window.partitionBy(SYMBOL).orderBy(CHUNK)
+    carries: list[Column] = []
+    if obv:
+        total = F.sum("_obv").over(by_chunk.rowsBetween(Window.unboundedPreceding, 0))
+        carries.append(total.alias("_obv_carry"))
+    if macd:
+        carries.append(_macd_carry(chunk_rows, by_chunk).alias("_macd_carry"))
+    ends = frame.rows().filter(frame.offset == chunk_rows - 1).select(SYMBOL, CHUNK, *carries)
+    return ends.withColumn(CHUNK, F.col(CHUNK) + 1)
+
+
+def _complete(
+    frame: SeriesFrame, numbered: DataFrame | None, obv: bool = False, macd: bool = False
+) -> DataFrame:
+    """Turn chunk-local running values into values of the whole series."""
     rows = frame.rows()
     if frame.chunked:
-        ends_frame = in_chunks(
-            numbered.filter(F.col(TOTAL) > frame.chunk_rows), 1, frame.chunk_rows
-        )
-        steps = [_local_obv(ends_frame)] if obv else []
-        steps += [_local_macd(ends_frame)] if macd else []
-        ends_frame = ends_frame.with_steps(*steps)
-        by_chunk = Window.partitionBy(SYMBOL).orderBy(CHUNK)
-        carries: list[Column] = []
-        if obv:
-            total = F.sum("_obv").over(by_chunk.rowsBetween(Window.unboundedPreceding, 0))
-            carries.append(total.alias("_obv_carry"))
-        if macd:
-            carries.append(_macd_carry(frame.chunk_rows, by_chunk).alias("_macd_carry"))
-        carry = (
-            ends_frame.rows()
-            .filter(ends_frame.offset == frame.chunk_rows - 1)
-            .select(SYMBOL, CHUNK, *carries)
-            .withColumn(CHUNK, F.col(CHUNK) + 1)
-        )
+        carry = _carries(numbered, frame.chunk_rows, obv, macd)
         rows = rows.join(carry, [SYMBOL, CHUNK], "left")
     if obv:
         extra = F.coalesce(F.col("_obv_carry"), F.lit(0.0)) if frame.chunked else F.lit(0.0)
-        rows = rows.withColumn("OBV", F.col("_obv") + extra)
-        if "_obv_before" in rows.columns:
-            rows = rows.withColumn("previous_OBV", F.col("_obv_before") + extra)
+        rows = rows.withColumns(
+            {"OBV": F.col("_obv") + extra, "previous_OBV": F.col("_obv_before") + extra}
+        )
     if macd:
         fast, slow, signal = F.col("_fast"), F.col("_slow"), F.col("_signal")
         if frame.chunked:
@@ -217,10 +225,15 @@ def _complete(frame: SeriesFrame, numbered: DataFrame | None, obv: bool, macd: b
 def _layout(
     bars: DataFrame, history: int, longest: int | None, chunk_rows: int
 ) -> tuple[SeriesFrame, DataFrame | None]:
+    """A frame for indicators with running values, and the numbered rows when it is chunked.
+
+    The numbered rows are read twice (for the rows and for the carries), so they are written once to
+    the shared scratch folder; the second read is pruned to long symbols and four columns.
+    """
     longest = longest_series(bars) if longest is None else longest
     if longest <= chunk_rows:
         return whole_series(bars, chunk_rows), None
-    numbered = number_rows(bars)
+    numbered = cut_lineage(number_rows(bars), "numbered")
     return in_chunks(numbered, history, chunk_rows), numbered
 
 
@@ -254,14 +267,14 @@ def atr14(bars: DataFrame, longest: int | None = None, chunk_rows: int = CHUNK_R
 def macd(bars: DataFrame, longest: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Difference of the 12- and 26-row exponential averages, and its 9-row exponential average."""
     frame, numbered = _layout(bars, 1, longest, chunk_rows)
-    rows = _complete(frame.with_steps(_local_macd(frame)), numbered, obv=False, macd=True)
+    rows = _complete(frame.with_steps(_local_macd(frame)), numbered, macd=True)
     return _keep(bars, rows, "MACD", "MACD_signal")
 
 
 def obv(bars: DataFrame, longest: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Running volume signed by the direction of ``close``; 0 on the first row."""
     frame, numbered = _layout(bars, 1, longest, chunk_rows)
-    rows = _complete(frame.with_steps(_local_obv(frame)), numbered, obv=True, macd=False)
+    rows = _complete(frame.with_steps(_local_obv(frame)), numbered, obv=True)
     return _keep(bars, rows, "OBV")
 
 
@@ -283,8 +296,21 @@ def price_changes(
     return _keep(bars, frame.rows(), "price_change_1w", "price_change_1m")
 
 
-def _all_local(frame: SeriesFrame) -> SeriesFrame:
-    return frame.with_steps(
+def indicator_history(
+    bars: DataFrame, longest: int | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """All eleven indicator columns, the previous row's OBV and whether the row is its symbol's last.
+
+    The last row is known from the series length or from having no successor, so the latest bars can
+    be filtered out of the stored result without grouping it again.
+    """
+    frame, numbered = _layout(bars, HISTORY, longest, chunk_rows)
+    if frame.chunked:
+        is_last = F.col(POS) == F.col(TOTAL) - 1
+    else:
+        is_last = F.lead(DATE).over(frame.window).isNull()
+    frame = frame.with_steps(
+        [{"is_last": is_last}],
         _moving_averages(frame),
         _rsi(frame),
         _atr(frame),
@@ -293,38 +319,27 @@ def _all_local(frame: SeriesFrame) -> SeriesFrame:
         _liquidity_volatility(frame),
         _price_changes(frame),
     )
+    rows = _complete(frame, numbered, obv=True, macd=True)
+    return _keep(bars, rows, *INDICATOR_COLUMNS, "previous_OBV", "is_last")
 
 
 def indicators(
     bars: DataFrame, longest: int | None = None, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """All eleven indicator columns from one layout of the series."""
-    frame, numbered = _layout(bars, HISTORY, longest, chunk_rows)
-    rows = _complete(_all_local(frame), numbered, obv=True, macd=True)
-    return _keep(bars, rows, *INDICATOR_COLUMNS)
+    return indicator_history(bars, longest, chunk_rows).drop("previous_OBV", "is_last")
+
+
+def last_rows(history: DataFrame) -> DataFrame:
+    """The last bar of each symbol in an indicator history; symbols with one bar only are left out."""
+    return history.filter(F.col("is_last") & (F.col(POS) >= 1)).drop("is_last")
 
 
 def latest_bar(
     bars: DataFrame, longest: int | None = None, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """The last bar of each symbol with its indicators and the previous row's OBV.
-
-    Symbols with fewer than two bars are left out. The last row is known from the series length or
-    from having no successor, so no further grouping is needed.
-    """
-    frame, numbered = _layout(bars, HISTORY, longest, chunk_rows)
-    frame = _all_local(frame)
-    before = F.coalesce(frame.previous("_obv"), F.lit(0.0))
-    if frame.chunked:
-        is_last = F.col(POS) == F.col(TOTAL) - 1
-    else:
-        is_last = F.lead(DATE).over(frame.window).isNull()
-    frame = frame.with_steps([{"_obv_before": before, "_is_last": is_last}])
-    last = SeriesFrame(
-        frame.df.filter(F.col("_is_last") & (F.col(POS) >= 1)), frame.chunk_rows, frame.chunked
-    )
-    rows = _complete(last, numbered, obv=True, macd=True)
-    return _keep(bars, rows, *INDICATOR_COLUMNS, "previous_OBV")
+    """The last bar of each symbol with its indicators and the previous row's OBV."""
+    return last_rows(indicator_history(bars, longest, chunk_rows))
 
 
 def daily_returns(

@@ -36,6 +36,8 @@ def order_intents(
     quantity: int = 1,
     amo: bool = True,
     product: str = PRODUCT,
+    buy: bool = True,
+    min_difference: float = MIN_DIFFERENCE,
 ) -> DataFrame:
     """One intent per pick that was not requested yet on the day, with its trigger price."""
     today = ledger.filter(F.to_date("requested_at") == F.lit(as_of))
@@ -53,7 +55,7 @@ def order_intents(
             F.lit(product).alias("product"),
             F.lit(ORDER_TYPE).alias("order_type"),
             "last_price",
-            trigger_price(F.col("last_price")).alias("trigger_price"),
+            trigger_price(F.col("last_price"), buy, min_difference).alias("trigger_price"),
         )
     )
 

@@ -121,21 +121,30 @@ def ingest_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("stock_timeseries")
 
 
+def _stored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long bars as a stored table: series are laid out from stored bars, which are read twice."""
+    return cut_lineage(views.bars_long(spark, sf_dir), "bars")
+
+
+def _stored_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(views.bars_short(spark, sf_dir), "bars")
+
+
 def _indicator_query(operator: Callable[[DataFrame], DataFrame], columns: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = operator(views.bars_long(spark, sf_dir))
+        rows = operator(_stored_long(spark, sf_dir))
         return rounded(rows.select("tradingsymbol", "date", "pos", *columns))
 
     return run
 
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ind.indicators(views.bars_long(spark, sf_dir)))
+    return rounded(ind.indicators(_stored_long(spark, sf_dir)))
 
 
 def indicators_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A month of bars: every warm-up gap of the indicators shows."""
-    return rounded(ind.indicators(views.bars_short(spark, sf_dir)))
+    return rounded(ind.indicators(_stored_short(spark, sf_dir)))
 
 
 def indicators_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,33 +153,34 @@ def indicators_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     Carried averages are summed in another order than one running sum, so they are compared with
     four decimals.
     """
-    return rounded(ind.indicators(views.bars_long(spark, sf_dir), chunk_rows=128), 4)
+    return rounded(ind.indicators(_stored_long(spark, sf_dir), chunk_rows=128), 4)
 
 
 def latest_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ind.latest_bar(views.bars_long(spark, sf_dir)))
+    return rounded(ind.latest_bar(_stored_long(spark, sf_dir)))
 
 
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = ind.latest_bar(views.bars_long(spark, sf_dir))
+    latest = ind.latest_bar(_stored_long(spark, sf_dir))
     return rounded(scoring.score(latest, LONG_RULES))
 
 
 def score_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = ind.latest_bar(views.bars_short(spark, sf_dir))
+    latest = ind.latest_bar(_stored_short(spark, sf_dir))
     return rounded(scoring.score(latest, SHORT_RULES))
 
 
-def _scored_short(spark: SparkSession, sf_dir: str, until: date) -> DataFrame:
-    bars = views.bars_short(spark, sf_dir).filter(F.col("date") <= F.lit(until))
-    return scoring.score(ind.latest_bar(bars), SHORT_RULES)
+def _scored(bars: DataFrame, until: date) -> DataFrame:
+    known = bars.filter(F.col("date") <= F.lit(until))
+    return scoring.score(ind.latest_bar(known), SHORT_RULES)
 
 
 def _store_both_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two days of scores, the second one stored twice."""
     store = scratch_store(spark)
+    bars = _stored_short(spark, sf_dir)
     for day in (date(2024, 1, 29), views.SHORT_AS_OF, views.SHORT_AS_OF):
-        stored = scoring.scores_snapshot(store, _scored_short(spark, sf_dir, day), day)
+        stored = scoring.scores_snapshot(store, _scored(bars, day), day)
     return stored.select("Date_Update", "tradingsymbol", "score", "latest_close")
 
 
@@ -182,10 +192,10 @@ def latest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.latest_scores(_store_both_days(spark, sf_dir))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _candidates(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
     day = views.SHORT_AS_OF
     return selection.candidates(
-        scoring.score_rows(_scored_short(spark, sf_dir, day), day),
+        scoring.score_rows(_scored(bars, day), day),
         views.stock_sectors(spark, sf_dir),
         universe_filter(spark, sf_dir),
         SHORT_PRICE_LIMIT,
@@ -193,16 +203,14 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir)
+    return _candidates(spark, sf_dir, _stored_short(spark, sf_dir))
 
 
 def _select(
     spark: SparkSession, sf_dir: str, **options: object
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ranked = cut_lineage(_candidates(spark, sf_dir), "candidates")
-    bars = cut_lineage(
-        views.bars_short(spark, sf_dir).select("tradingsymbol", "date", "close"), "closes"
-    )
+    bars = _stored_short(spark, sf_dir)
+    ranked = cut_lineage(_candidates(spark, sf_dir, bars), "candidates")
     picks = selection.select_top(
         ranked, bars, correlation_threshold=SHORT_THRESHOLD, **options
     )

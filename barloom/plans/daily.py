@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.series import longest_series
-from barloom.operators.indicators import indicators, latest_bar
+from barloom.operators.indicators import indicator_history, last_rows
 from barloom.operators.ingest import append_new_bars
 from barloom.operators.scoring import ScoreRules, latest_scores, score, scores_snapshot
 from barloom.operators.sectors import (
@@ -44,21 +44,18 @@ class DailyRules:
     score: ScoreRules = ScoreRules()
 
 
-def store_indicators(store: TableStore, longest: int) -> DataFrame:
+def store_indicators(store: TableStore, longest: int | None = None) -> DataFrame:
     """Materialise ``stock_indicators`` from the stored bars of the universe."""
-    stored = store.read("stock_timeseries")
     universe = store.read("stock_list").select("tradingsymbol").distinct()
-    bars = stored.join(universe, "tradingsymbol", "left_semi")
-    store.replace("stock_indicators", indicators(bars, longest))
+    bars = store.read("stock_timeseries").join(universe, "tradingsymbol", "left_semi")
+    store.replace("stock_indicators", indicator_history(bars, longest))
     return store.read("stock_indicators")
 
 
-def store_scores(store: TableStore, as_of: date, rules: ScoreRules, longest: int) -> DataFrame:
-    """Score the universe's latest bars and store the day's snapshot."""
-    stored = store.read("stock_timeseries")
-    universe = store.read("stock_list").select("tradingsymbol").distinct()
-    bars = stored.join(universe, "tradingsymbol", "left_semi")
-    return scores_snapshot(store, score(latest_bar(bars, longest), rules), as_of)
+def store_scores(store: TableStore, as_of: date, rules: ScoreRules) -> DataFrame:
+    """Score the last bars found in ``stock_indicators``; the filter is pushed into its scan."""
+    latest = last_rows(store.read("stock_indicators"))
+    return scores_snapshot(store, score(latest, rules), as_of)
 
 
 def sector_requests(store: TableStore, batch_size: int) -> DataFrame:
@@ -93,7 +90,7 @@ def daily_selection(
     append_new_bars(store, bars, stock_list, as_of, rules.min_new_bars)
     longest = longest_series(store.read("stock_timeseries"))
     history = store_indicators(store, longest)
-    scores = store_scores(store, as_of, rules.score, longest)
+    scores = store_scores(store, as_of, rules.score)
     if replies is not None:
         store_sectors(store, replies, as_of)
     ranked = candidates(

@@ -61,6 +61,8 @@ STOCK_INDICATORS = T.StructType(
         *STOCK_TIMESERIES.fields,
         T.StructField("pos", _LONG, True),
         *[T.StructField(name, _DOUBLE, True) for name in INDICATOR_COLUMNS],
+        T.StructField("previous_OBV", _DOUBLE, True),
+        T.StructField("is_last", _BOOL, True),
     ]
 )
 
