@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.functions.series import longest_series
 from barloom.operators.indicators import indicator_history, last_rows
 from barloom.operators.ingest import append_new_bars
+from barloom.operators.orders import order_intents, order_ledger
 from barloom.operators.scoring import ScoreRules, latest_scores, score, scores_snapshot
 from barloom.operators.sectors import (
     ALLOWED_SECTORS,
@@ -32,7 +33,7 @@ from barloom.sources.store import TableStore
 
 @dataclass(frozen=True)
 class DailyRules:
-    """Parameters of one daily batch; the defaults are the fixed values of the reference batch."""
+    """Parameters of one daily batch; the defaults are its fixed values."""
 
     top_n: int = TOP_N
     price_limit: float = PRICE_LIMIT
@@ -68,11 +69,31 @@ def store_sectors(
     store: TableStore, replies: DataFrame, as_of: date, allowed_sectors=ALLOWED_SECTORS
 ) -> None:
     """Append the landed replies' sectors; symbols that already have one are not added again."""
-    rows = sector_replies(replies, as_of, allowed_sectors).dropDuplicates(["tradingsymbol"])
+    # of several answers for a symbol an allowed one wins
+    best = F.max(F.struct("is_allowed", "sector", "name", "Date_Update")).alias("best")
+    rows = (
+        sector_replies(replies, as_of, allowed_sectors)
+        .groupBy("tradingsymbol")
+        .agg(best)
+        .select("tradingsymbol", "best.*")
+    )
     known = store.read("stock_sectors").select("tradingsymbol").distinct()
     store.append("stock_sectors", rows.join(known, "tradingsymbol", "left_anti"))
 
 
+def day_orders(store: TableStore, quotes: DataFrame, as_of: date) -> DataFrame:
+    """Intents for the day's picks that the ledger does not hold yet."""
+    picks = store.read("stock_short_buy").filter(F.col("Date_Update") == F.lit(as_of))
+    return order_intents(picks, quotes, store.read("stock_intended_orders"), as_of)
+
+
+def store_order_responses(store: TableStore, responses: DataFrame, requested_at: datetime) -> None:
+    """Append landed responses to the ledger; rows it already holds are not added again."""
+    known = store.read("stock_intended_orders").select("id")
+    rows = order_ledger(responses, requested_at)
+    store.append("stock_intended_orders", rows.join(known, "id", "left_anti"))
+
+
 def daily_selection(
     store: TableStore,
     instruments: DataFrame,

@@ -73,6 +73,19 @@ def test_daily_batch_can_be_repeated(spark, store, sector_limit):
     assert store.read("stock_sectors").count() == 20
     assert daily.sector_requests(store, 100).count() == 0
 
+    quotes = landed(spark, 22, 1).selectExpr("tradingsymbol", "close as last_price")
+    intents = daily.day_orders(store, quotes, AS_OF)
+    assert intents.count() == len(first)
+    answered = intents.limit(1).selectExpr(
+        "tradingsymbol", "true as success", "'1' as order_id", "'placed' as message"
+    )
+    answered = cut_lineage(answered)
+    at = dt.datetime(2024, 3, 31, 16)
+    for _ in range(2):
+        daily.store_order_responses(store, answered, at)
+    assert store.read("stock_intended_orders").count() == 1
+    assert daily.day_orders(store, quotes, AS_OF).count() == len(first) - 1
+
 
 def test_sector_requests_before_any_reply(spark, store):
     from barloom.operators.universe import universe_snapshot
