@@ -239,7 +239,7 @@ returns AS (
   FROM (SELECT *, row_number() OVER w - 1 AS pos, lag(close) OVER w AS before FROM {bars}
         WINDOW w AS (PARTITION BY tradingsymbol ORDER BY date))
   WHERE close / nullif(before, 0) - 1 IS NOT NULL),
-ranked AS (
+ranked AS MATERIALIZED (
   SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, tradingsymbol) AS rk
   FROM candidates),
 close_pairs AS (
@@ -249,7 +249,7 @@ close_pairs AS (
   WHERE a.tradingsymbol IN (SELECT tradingsymbol FROM candidates)
     AND b.tradingsymbol IN (SELECT tradingsymbol FROM candidates)
   GROUP BY 1, 2),
-conflicts AS (SELECT s, list(o) AS conflicts FROM close_pairs WHERE abs(c) >= 0.25 GROUP BY 1),
+conflicts AS MATERIALIZED (SELECT s, list(o) AS conflicts FROM close_pairs WHERE abs(c) >= 0.25 GROUP BY 1),
 walk(rk, acc, sectors) AS (
   SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[]
   UNION ALL
