@@ -23,7 +23,6 @@ HEADLINE = [
     "daily_bars_long",
     "ingest_new_bars",
     "moving_averages",
-    "rsi14",
     "macd",
     "indicators",
     "indicators_chunked",
