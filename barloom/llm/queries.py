@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import content_sort, url_filter
+from barloom.llm import bestfit_pack, concat_pack, content_sort, secrets, trie_bpe, url_filter
 from barloom.llm.common import table
 
+try:
+    from public_tokenizers import path as tokenizer_path
+except ImportError:  # the vocabulary files are an installation of their own; only ops 3, 5 and 10 need them
+
+    def tokenizer_path(name: str) -> str:
+        return f"/opt/tokenizers/{name}"
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The rules that the pages are judged by.
@@ -26,6 +34,77 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+VOCABULARY = "word_bpe_49k.json"
+END_TOKEN = 2
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository is a source in one language, its owner the source."""
+    repo = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), repo, F.col("source"))
+
+    def count(field: str, value: str):
+        return F.size(F.filter("spans", lambda span: span[field] == value)).cast("long")
+
+    def listed(spans):
+        written = F.transform(
+            spans,
+            lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
+        )
+        return F.concat_ws(",", written)
+
+    base = [kind.name for kind in secrets.BASE_KINDS]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count("kind", kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(listed(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        count("verdict", "live").alias("n_live"),
+        count("verdict", "example").alias("n_example"),
+    )
+
+
+def op3_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = concat_pack.concat_and_cut(
+        table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY), END_TOKEN
+    )
+    return pieces.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = trie_bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per segment of the packed id matrices."""
+    packed = bestfit_pack.pack_best_fit(
+        table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY), END_TOKEN
+    )
+    return bestfit_pack.segments(packed).select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = content_sort.content_sort_dedup(table(spark, sf_dir, "documents"))
     return found.select(
@@ -35,5 +114,9 @@ def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_concat_cut": op3_concat_cut,
+    "op5_trie_bpe": op5_trie_bpe,
     "op7_content_sort": op7_content_sort,
+    "op10_best_fit": op10_best_fit,
 }

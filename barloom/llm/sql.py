@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from barloom.llm.queries import URL_RULES
+from barloom.llm.secrets import BASE_KINDS, EXAMPLE_OWNERS, KINDS
 
 _RULES = ", ".join(f"('{r.pattern}', '{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
 
@@ -58,7 +59,56 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+
+
+def _kind_spans(number: int) -> str:
+    """Matches and the text between them alternate: their lengths add up to the places."""
+    kind = KINDS[number]
+    pattern = kind.pattern.replace("'", "''")
+    return f"""
+    SELECT n, {number} AS kind_no, '{kind.name}' AS kind, unnest(list_transform(
+        range(1, len(hits) + 1), lambda i: {{
+            'start': list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+                     + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0),
+            'size': length(hits[i]), 'value': secret[i]}})) AS s
+    FROM (SELECT n, string_split_regex(text, '{pattern}') AS gaps,
+                 regexp_extract_all(text, '{pattern}', 0) AS hits,
+                 regexp_extract_all(text, '{pattern}', 1) AS secret FROM docs)"""
+
+
+_SECRETS = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text,
+           coalesce(source, '') || '/' || coalesce(lang, '') AS repo, coalesce(source, '') AS owner
+    FROM documents
+),
+matches AS ({" UNION ALL ".join(map(_kind_spans, range(len(KINDS))))}),
+spans AS (
+    SELECT n, kind_no, kind, s.value AS value, s.start AS start,
+           kind || ':' || s.start::BIGINT || ':' || (s.start + s.size)::BIGINT AS written
+    FROM matches
+    WHERE length(s.value) >= CASE kind {" ".join(f"WHEN '{k.name}' THEN {k.least}" for k in KINDS)} END
+),
+owned AS (
+    SELECT value, count(DISTINCT owner) AS owners FROM spans JOIN docs USING (n) GROUP BY value
+),
+told AS (
+    SELECT n,
+           {", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in BASE_KINDS)},
+           string_agg(written, ',' ORDER BY start, kind_no) FILTER (kind_no < {len(BASE_KINDS)}) AS base,
+           string_agg(written, ',' ORDER BY start, kind_no) AS spans,
+           count(*) FILTER (owners < {EXAMPLE_OWNERS}) AS n_live,
+           count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example
+    FROM spans JOIN owned USING (value) GROUP BY n
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in BASE_KINDS)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM docs LEFT JOIN told USING (n)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _URL_FILTER,
+    "op2_secret_scan": _SECRETS,
     "op7_content_sort": _CONTENT_SORT,
 }
