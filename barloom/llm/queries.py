@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bestfit_pack, concat_pack, content_sort, secrets, trie_bpe, url_filter
-from barloom.llm.common import table
+from barloom.llm import (
+    bestfit_pack,
+    concat_pack,
+    content_sort,
+    hilbert_ann,
+    quality_gam,
+    secrets,
+    toxicity,
+    trie_bpe,
+    url_filter,
+)
+from barloom.llm.common import label_fold, table
 
 try:
     from public_tokenizers import path as tokenizer_path
@@ -36,6 +46,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VOCABULARY = "word_bpe_49k.json"
 END_TOKEN = 2
+QUALITY_THRESHOLD = 0.3
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +90,27 @@ def op3_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _judged(toxicity.score_toxicity(docs, model), 0.5)
+
+
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_gam.fit(docs, table(spark, sf_dir, "labels"))
+    return _judged(quality_gam.score_quality(docs, model), QUALITY_THRESHOLD)
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        (label_fold(F.col("id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
 def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = trie_bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
     return coded.select(
@@ -89,6 +121,11 @@ def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hilbert_ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per segment of the packed id matrices."""
     packed = bestfit_pack.pack_best_fit(
@@ -116,7 +153,10 @@ QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op3_concat_cut": op3_concat_cut,
+    "op4_toxicity": op4_toxicity,
     "op5_trie_bpe": op5_trie_bpe,
+    "op6_quality_gam": op6_quality_gam,
     "op7_content_sort": op7_content_sort,
+    "op9_hilbert_ann": op9_hilbert_ann,
     "op10_best_fit": op10_best_fit,
 }

@@ -14,11 +14,15 @@ from barloom.llm.common import col, label_fold
 from barloom.llm.labelled import training_rows
 
 #: Labelled documents that a fit uses, of either label.
-PER_CLASS = 1_500
-BUCKETS = 1 << 15
-SIZES = (3, 4, 5)
+PER_CLASS = 2_500
+BUCKETS = 1 << 16
+SIZES = (4, 5, 6)
 DIMENSIONS = 8
-EPOCHS = 60
+EPOCHS = 80
+RATE = 0.3
+DECAY = 0.003
+#: Distinct n-grams of documents that one step of a fit handles at a time.
+STRIPE = 2_000_000
 
 
 def subword_buckets(text: str) -> np.ndarray:
@@ -63,9 +67,10 @@ class SubwordModel:
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float) -> SubwordModel:
-    """Fit embeddings and softmax jointly by Adam on the cross-entropy of whole documents.
+    """Fit embeddings and softmax jointly on the cross-entropy of whole documents.
 
-    ``bags`` has each document's buckets and their shares of its n-grams. Both classes weigh the same while
+    ``bags`` has each document's buckets and their shares of its n-grams. Steps are Adam's with one scale
+    for a whole matrix, so rare n-grams do not move as far as telling ones. Both classes weigh the same while
     fitting; the bias then moves to the odds of ``prior``, the share of label 1 among all that are labelled.
     """
     rng = np.random.default_rng(7)
@@ -74,31 +79,45 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
     bias = np.zeros(2)
     both = len(set(labels.tolist())) == 2
     if both:
-        rows = np.repeat(np.arange(len(bags)), [len(b) for b, _ in bags])
-        buckets = np.concatenate([b for b, _ in bags]).astype(np.int64)
-        shares = np.concatenate([s for _, s in bags]).astype(np.float64)
         target = np.eye(2)[labels]
         each = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
         parameters = [embeddings, weights, bias]
-        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
+        moments = [(np.zeros_like(p), np.zeros(())) for p in parameters]
+        stripes = _stripes(bags)
         for step in range(1, EPOCHS + 1):
-            lead = embeddings @ weights
-            logits = np.stack(
-                [np.bincount(rows, shares * lead[buckets, k], len(bags)) for k in (0, 1)], axis=1
-            )
-            off = (_softmax(logits + bias) - target) * each[:, None]
-            pulled = np.stack(
-                [np.bincount(buckets, shares * off[rows, k], BUCKETS) for k in (0, 1)], axis=1
-            )
-            gradients = [pulled @ weights.T, embeddings.T @ pulled, off.sum(axis=0)]
+            lead, pulled, off_sum = embeddings @ weights, np.zeros((BUCKETS, 2)), np.zeros(2)
+            # the average of embeddings is linear: the layer may come before it, on the way down and back
+            for docs, rows, buckets, shares in stripes:
+                logits = np.stack([np.bincount(rows, shares * lead[buckets, c]) for c in (0, 1)], axis=1)
+                off = (_softmax(logits + bias) - target[docs]) * each[docs, None]
+                for c in (0, 1):
+                    pulled[:, c] += np.bincount(buckets, shares * off[rows, c], BUCKETS)
+                off_sum += off.sum(axis=0)
+            gradients = [pulled @ weights.T, embeddings.T @ pulled, off_sum]
             for p, g, (m, v) in zip(parameters, gradients, moments):
                 m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+                v += 0.01 * ((g * g).mean() - v)
+                p *= 1 - (RATE * DECAY if p is not bias else 0)
+                p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
     odds = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     return SubwordModel(embeddings, weights if both else weights * 0, bias + [0.0, odds])
 
 
+def _stripes(bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of documents: which, and for each n-gram its document within the run, bucket and share. Every
+    document has an entry, so that each run has a logit for each of its documents."""
+    stripes, start, size = [], 0, 0
+    for i, (buckets, _) in enumerate(bags):
+        size += len(buckets)
+        if size >= STRIPE or i + 1 == len(bags):
+            run = [(b, s) if len(b) else (np.zeros(1, b.dtype), np.zeros(1, s.dtype)) for b, s in bags[start : i + 1]]
+            rows = np.repeat(np.arange(len(run), dtype=np.int32), [len(b) for b, _ in run])
+            found = (np.concatenate([part[k] for part in run]) for k in (0, 1))
+            stripes.append((slice(start, i + 1), rows, *found))
+            start, size = i + 1, 0
+    return stripes
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
     raised = np.exp(logits - logits.max(axis=1, keepdims=True))
     return raised / raised.sum(axis=1, keepdims=True)
