@@ -18,7 +18,7 @@ from barloom.llm.common import col
 #: Texts are worked through in chunks of about so many characters, which bounds a task's memory.
 CHUNK_CHARS = 4_000_000
 #: Distinct words that a Python worker remembers between chunks; beyond that it starts afresh.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 #: Longer words are encoded but not remembered.
 MEMO_WORD_CHARS = 64
 #: Characters below this are composed already and their lower case needs no context.
@@ -52,7 +52,8 @@ class WordBpe:
         cut = len(self.suffix)
         self.final = {s[:-cut]: i for s, i in vocab.items() if s.endswith(self.suffix)}
         self.inner = {s: i for s, i in vocab.items() if not s.endswith(self.suffix)}
-        self.longest = max(map(len, [*self.final, *self.inner]))
+        self.final_lengths = _lengths_by_ending(self.final)
+        self.inner_lengths = _lengths_by_ending(self.inner)
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.made: dict[int, int] = {}
@@ -88,10 +89,9 @@ class WordBpe:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether no merge across their border comes before both tokens are complete."""
-        known = self.may_follow.get((left, right))
-        if known is None:
-            known = self.may_follow[left, right] = self._never_merges(left, right)
-        return known
+        if (left, right) not in self.may_follow:
+            self.may_follow[left, right] = self._never_merges(left, right)
+        return self.may_follow[left, right]
 
     def _never_merges(self, left: int, right: int) -> bool:
         never = len(self.rank)
@@ -111,13 +111,6 @@ class WordBpe:
             else:
                 j += 1
 
-    def _last_token(self, word: str, end: int, last: list[int], ending: dict[str, int]) -> int:
-        for start in range(max(0, end - self.longest), end):
-            token = ending.get(word[start:end])
-            if token is not None and (start == 0 or self.follows(last[start], token)):
-                return token
-        raise ValueError(f"no token ends {word[:end]!r}")
-
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each word, in the byte alphabet, with its ids.
 
@@ -125,23 +118,39 @@ class WordBpe:
         is the path still on the stack.
         """
         path, last = "", [-1]
+        strings, suffix, may_follow, follows = self.strings, len(self.suffix), self.may_follow, self.follows
         for word in sorted(words):
-            body = word[:-1]
-            shared, limit = 0, min(len(path), len(body))
-            while shared < limit and path[shared] == body[shared]:
+            size = len(word)
+            shared, limit = 0, min(len(path), size) - 1
+            while shared < limit and path[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :]
-            for end in range(shared + 1, len(body) + 1):
-                last.append(self._last_token(body, end, last, self.inner))
-            path = body
-            token, end = self._last_token(word, len(word), last, self.final), len(word)
-            ids = [token]
-            end -= len(self.strings[token]) - len(self.suffix)
+            ending, lengths = self.inner, self.inner_lengths
+            for end in range(shared + 1, size + 1):
+                if end == size:
+                    ending, lengths = self.final, self.final_lengths
+                # the token that ends here and may follow the last token of what is before it
+                for length in lengths.get(word[end - 3 : end] if end > 2 else "", SHORT):
+                    start = end - length
+                    if start < 0:
+                        continue
+                    token = ending.get(word[start:end])
+                    if token is not None:
+                        if not start:
+                            break
+                        fits = may_follow.get((last[start], token))
+                        if fits or (fits is None and follows(last[start], token)):
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[:end]!r}")
+                last.append(token)
+            path, ids, end = word, [token], size + suffix - len(strings[token])
             while end:
                 token = last[end]
                 ids.append(token)
-                end -= len(self.strings[token])
-            yield word, ids[::-1]
+                end -= len(strings[token])
+            ids.reverse()
+            yield word, ids
 
     def split(self, text: str) -> list[str]:
         """Normalised pieces of a text without special tokens, not yet in the byte alphabet."""
@@ -152,10 +161,17 @@ class WordBpe:
         found = self.library.pre_tokenizer.pre_tokenize_str(normal)
         return [bytes(back[ord(c)] for c in piece).decode() for piece, _ in found]
 
+    def spell(self, word: str) -> str:
+        """The word's bytes in the byte alphabet, in which printable ASCII stands for itself."""
+        if word.isascii() and word.isprintable():
+            return word
+        return word.encode().decode("latin-1").translate(self.alphabet)
+
     def learn(self, words: set[str]) -> None:
-        spelt = {"".join(map(self.alphabet.__getitem__, word.encode())): word for word in words}
+        spelt = {self.spell(word): word for word in words}
+        memo = self.memo
         for word, ids in self.walk(spelt):
-            self.memo[spelt[word]] = array("I", ids).tobytes()
+            memo[spelt[word]] = array("I", ids).tobytes()
 
     def encode_chunk(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -194,6 +210,19 @@ class WordBpe:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
+#: Lengths to try for the end of a word when no longer token ends like it.
+SHORT = (2, 1)
+
+
+def _lengths_by_ending(tokens: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    """For the last three characters of tokens, the lengths that such tokens have, longest first."""
+    found: dict[str, set[int]] = {}
+    for token in tokens:
+        if len(token) > 2:
+            found.setdefault(token[-3:], set()).add(len(token))
+    return {ending: (*sorted(lengths, reverse=True), *SHORT) for ending, lengths in found.items()}
+
+
 def _plain_classes(pattern: str) -> str:
     r"""The pattern with ``\p{L}``, ``\p{N}`` and ``\s`` written out for characters below PLAIN_BELOW."""
     spaces = r"\t-\r \x85\xa0"
