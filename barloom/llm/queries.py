@@ -12,6 +12,7 @@ from barloom.llm import (
     concat_pack,
     content_sort,
     hilbert_ann,
+    hyperminhash,
     quality_gam,
     secrets,
     toxicity,
@@ -121,6 +122,11 @@ def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op9_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hilbert_ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -157,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "op5_trie_bpe": op5_trie_bpe,
     "op6_quality_gam": op6_quality_gam,
     "op7_content_sort": op7_content_sort,
+    "op8_hyperminhash": op8_hyperminhash,
     "op9_hilbert_ann": op9_hilbert_ann,
     "op10_best_fit": op10_best_fit,
 }
