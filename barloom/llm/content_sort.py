@@ -41,8 +41,13 @@ def content_sort_dedup(
         raise ValueError("keep is 'largest' or 'smallest'")
     pick, best_first = (F.max, F.desc_nulls_last) if keep == "largest" else (F.min, F.asc_nulls_last)
     text = normalise(col(text_col)) if normalise else col(text_col)
-    row = F.struct(*[col(name) for name in carry]) if carry else F.struct(F.lit(True).alias("none"))
-    base = docs.select(row.alias("row"), col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    apart = normalise is None and text_col in carry  # then the sorted text itself is carried, once
+    carried = [
+        (col(name).isNull() if apart and name == text_col else col(name)).alias(name) for name in carry
+    ] or [F.lit(True).alias("none")]
+    base = docs.select(
+        F.struct(*carried).alias("row"), col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")
+    )
     base = base.withColumn("fp", F.xxhash64("text"))
     hot = _hot_contents(base, docs.count())
     keyed = (
@@ -57,6 +62,7 @@ def content_sort_dedup(
         dealt.withColumn("starts", starts)
         .withColumn("run", F.sum("starts").over(by_content))
         .select(
+            *(["text"] if apart else []),
             "row", "id", "head", "fp", "slot", "run",
             F.sha2("text", 256).alias("text_sha256"),
             F.when((F.col("starts") == 1) & F.col("slots").isNotNull(), F.col("text")).alias("slot_text"),
@@ -76,8 +82,12 @@ def content_sort_dedup(
     whole = runs.join(F.broadcast(merged), ["head", "fp", "slot", "run"], "left").withColumn(
         "keep_id", F.when(F.col("slot_size").isNull(), F.col("run_keep")).otherwise(F.col("slot_keep"))
     )
+    row = F.col("row")
+    if apart:
+        own = F.when(~F.col("row").getField(text_col), F.col("text"))
+        row = F.struct(*[(own if c == text_col else row.getField(c)).alias(c) for c in carry])
     return whole.select(
-        "row",
+        row.alias("row"),
         "id",
         "keep_id",
         F.coalesce("slot_size", "run_size").alias("group_size"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import (
@@ -50,10 +50,13 @@ END_TOKEN = 2
 QUALITY_THRESHOLD = 0.3
 
 
+def repository() -> Column:
+    """A repository of ``documents`` is a source in one language; its owner is the source."""
+    return F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A repository is a source in one language, its owner the source."""
-    repo = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), repo, F.col("source"))
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), repository(), F.col("source"))
 
     def count(field: str, value: str):
         return F.size(F.filter("spans", lambda span: span[field] == value)).cast("long")
