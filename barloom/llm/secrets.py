@@ -189,10 +189,15 @@ def redact(text: str | None, spans: list[dict]) -> str | None:
 
 
 def redact_secrets(
-    docs: DataFrame, repo: Column, owner: Column, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    repo: Column,
+    owner: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with every secret value replaced; all rows and columns stay, and rows without secrets are
-    unchanged."""
+    unchanged. ``length_col`` is a column with the text's length, if there is one."""
     scanned = scan_secrets(docs, repo, owner, id_col, text_col, carry=docs.columns)
     whole = scanned.select("row", "spans", F.col("row").getField(text_col).alias("text"))
     found = whole.filter(F.size("spans") > 0)
@@ -207,7 +212,10 @@ def redact_secrets(
 
     kind = found.schema["row"].dataType.simpleString()
     redacted = found.mapInArrow(replace, f"row {kind}, text string")
-    rest = whole.filter(F.size("spans") == 0).select("row", "text")
-    return redacted.unionByName(rest).select(
-        *[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    changed = {text_col: F.col("text")}
+    if length_col:
+        changed[length_col] = F.length("text").cast(docs.schema[length_col].dataType)
+    rows = {c: F.col("row").getField(c) for c in docs.columns}
+    return redacted.select(*[changed.get(c, row).alias(c) for c, row in rows.items()]).unionByName(
+        whole.filter(F.size("spans") == 0).select(*[row.alias(c) for c, row in rows.items()])
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import concat_pack, content_sort, hyperminhash, quality_gam, secrets
-from barloom.llm.common import col, cut_lineage, table
+from barloom.llm.common import cut_lineage, table
 from barloom.llm.queries import (
     END_TOKEN,
     QUALITY_THRESHOLD,
@@ -38,10 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document and replaces the secrets in it, live ones and copied examples by marks of their own."""
-    clean = secrets.redact_secrets(docs, repository(), F.col("source"))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*[col(name) for name in docs.columns])
+    length = "n_chars" if "n_chars" in docs.columns else None
+    return secrets.redact_secrets(docs, repository(), F.col("source"), length_col=length)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
