@@ -45,7 +45,7 @@ BASE_KINDS = [
 #: Kinds this operator adds: authorisation headers and passwords inside urls.
 MORE_KINDS = [
     Kind("bearer", either_case("bearer") + r"\x20+([A-Za-z0-9._~+/=-]+)", 20, ("bearer",)),
-    Kind("login", r"://[^\x09-\x0D\x20/:@?#]+:([^\x09-\x0D\x20/:@?#]+)@", 6, ("://",)),
+    Kind("login", r"://[^\x09-\x0D\x20/:@?#]+:([^\x09-\x0D\x20/:@?#<>]+)@", 6, ("://",)),
 ]
 KINDS = [*BASE_KINDS, *MORE_KINDS]
 
