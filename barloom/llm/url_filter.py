@@ -73,8 +73,8 @@ def rule_table(spark: SparkSession, rules: Sequence[UrlRule]) -> DataFrame:
     """One row per rule; a larger ``priority`` wins: the longer pattern, then the greater one."""
     if len({rule.pattern for rule in rules}) < len(rules):
         raise ValueError("a pattern may be listed once only")
-    if unbound := [rule.pattern for rule in rules if not rule.literals()]:
-        raise ValueError(f"rules without a literal token: {unbound}")
+    if unbound := [rule.pattern for rule in rules if not rule.host.strip(".")]:
+        raise ValueError(f"rules without a host: {unbound}")
     ordered = sorted(rules, key=lambda rule: (len(rule.pattern), rule.pattern))
     rows = [(i, r.pattern, r.verdict, r.regex(), r.literals()) for i, r in enumerate(ordered)]
     schema = "priority int, rule string, rule_verdict string, regex string, literals array<string>"
