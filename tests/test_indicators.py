@@ -1,4 +1,6 @@
-"""Indicators against pandas, whole and in chunks."""
+"""Indicators against a plain fold over the bars, whole and in chunks."""
+
+import math
 
 import numpy as np
 import pandas as pd
@@ -13,29 +15,84 @@ from barloom.schemas import INDICATOR_COLUMNS
 WARM_UP = [1, 2, 13, 14, 15, 20, 21, 22, 23, 49, 50, 51]
 
 
+def _mean(values):
+    return sum(values) / len(values)
+
+
+def _deviation(values):
+    middle = _mean(values)
+    return math.sqrt(sum((v - middle) ** 2 for v in values) / (len(values) - 1))
+
+
+def _full(values, size):
+    """The last ``size`` values, or None while there are fewer or one of them is missing."""
+    window = values[-size:]
+    return window if len(window) == size and None not in window else None
+
+
+def _ratio(now, then):
+    return None if not then else now / then - 1
+
+
+class Series:
+    """One bar after the other: explicit windows, and averages carried from bar to bar."""
+
+    def __init__(self):
+        self.closes, self.gains, self.losses, self.spans, self.volumes, self.changes = ([] for _ in range(6))
+        self.fast = self.slow = self.signal = None
+        self.flow = 0.0
+
+    @staticmethod
+    def _carried(average, value, span):
+        return value if average is None else average + (value - average) * 2 / (span + 1)
+
+    def add(self, high, low, close, volume):
+        last = self.closes[-1] if self.closes else None
+        self.closes.append(close)
+        self.volumes.append(volume)
+        self.gains.append(None if last is None else max(close - last, 0.0))
+        self.losses.append(None if last is None else max(last - close, 0.0))
+        reach = [high] if last is None else [high, last]
+        floor = [low] if last is None else [low, last]
+        self.spans.append(max(reach) - min(floor))
+        self.changes.append(None if last is None else _ratio(close, last))
+        if last is not None and close != last:
+            self.flow += volume if close > last else -volume
+        self.fast, self.slow = self._carried(self.fast, close, 12), self._carried(self.slow, close, 26)
+        self.signal = self._carried(self.signal, self.fast - self.slow, 9)
+        gain, loss = _full(self.gains, 14), _full(self.losses, 14)
+        strength = None
+        if gain and _mean(gain) + _mean(loss) > 0:
+            strength = 100 * _mean(gain) / (_mean(gain) + _mean(loss))
+
+        def over(values, size, summary):
+            window = _full(values, size)
+            return None if window is None else summary(window)
+
+        def since(days):
+            return _ratio(close, self.closes[-1 - days]) if len(self.closes) > days else None
+
+        return {
+            "MA20": over(self.closes, 20, _mean),
+            "MA50": over(self.closes, 50, _mean),
+            "RSI14": strength,
+            "ATR14": over(self.spans, 14, _mean),
+            "MACD": self.fast - self.slow,
+            "MACD_signal": self.signal,
+            "OBV": self.flow,
+            "avg_daily_volume": over(self.volumes, 20, _mean),
+            "volatility_1m": over(self.changes, 22, _deviation),
+            "price_change_1w": since(5),
+            "price_change_1m": since(22),
+        }
+
+
 def expected(rows):
-    """The indicators of one series, with pandas."""
-    df = pd.DataFrame(rows, columns="tradingsymbol date open high low close volume".split())
-    close = df["close"]
-    move = close.diff()
-    out = pd.DataFrame({"tradingsymbol": df["tradingsymbol"], "date": df["date"]})
-    out["MA20"], out["MA50"] = close.rolling(20).mean(), close.rolling(50).mean()
-    gain = move.clip(lower=0).rolling(14).mean()
-    loss = (-move.clip(upper=0)).rolling(14).mean()
-    out["RSI14"] = 100 - 100 / (1 + gain / loss)
-    ranges = [df["high"] - df["low"], (df["high"] - close.shift()).abs()]
-    ranges.append((df["low"] - close.shift()).abs())
-    out["ATR14"] = pd.concat(ranges, axis=1).max(axis=1).rolling(14).mean()
-    fast = close.ewm(span=12, adjust=False).mean()
-    out["MACD"] = fast - close.ewm(span=26, adjust=False).mean()
-    out["MACD_signal"] = out["MACD"].ewm(span=9, adjust=False).mean()
-    out["OBV"] = (np.sign(move) * df["volume"]).fillna(0).cumsum()
-    out["avg_daily_volume"] = df["volume"].rolling(20).mean()
-    change = close.pct_change().replace([np.inf, -np.inf], np.nan)
-    out["volatility_1m"] = change.rolling(22).std()
-    out["price_change_1w"] = close.pct_change(5).replace([np.inf, -np.inf], np.nan)
-    out["price_change_1m"] = close.pct_change(22).replace([np.inf, -np.inf], np.nan)
-    return out
+    """The indicators of one series, folded bar by bar."""
+    series, found = Series(), []
+    for symbol, day, _open, high, low, close, volume in rows:
+        found.append({"tradingsymbol": symbol, "date": day} | series.add(high, low, close, volume))
+    return pd.DataFrame(found)
 
 
 def walk(seed, n):

