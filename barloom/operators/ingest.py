@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,26 +10,72 @@ from pyspark.sql import functions as F
 from barloom.sources.store import TableStore
 
 
-def daily_bars(ticks: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """Open, high, low, close and volume per symbol and day.
+#: Bar lengths by name, as the start of the bar that a time falls into.
+INTERVALS = {
+    "minute": lambda ts: F.date_trunc("minute", ts),
+    "15minute": lambda ts: F.window(ts, "15 minutes")["start"],
+    "60minute": lambda ts: F.date_trunc("hour", ts),
+    "day": lambda ts: F.date_trunc("day", ts),
+    "week": lambda ts: F.date_trunc("week", ts),
+}
 
-    ``ticks`` has ``tradingsymbol, ts, price, quantity`` and the columns of ``order_by`` (default
-    ``ts, tick_id``), which must order a symbol's ticks of a day without ties. Every aggregate is combined before the
-    shuffle, so a symbol with any share of the ticks sends one row per day and task. A single
-    ordering column keeps the aggregation hash-based; several need a struct key, which Spark
-    aggregates by sorting.
-    """
+
+def interval_bars(ticks: DataFrame, interval: str, order_by: list[str] | None = None) -> DataFrame:
+    """Bars of another length than a day, by ``start``; weeks begin on Monday."""
+    key = _tick_key(order_by)
+    start = INTERVALS[interval](F.col("ts")).cast("timestamp_ntz")
+    return ticks.groupBy("tradingsymbol", start.alias("start")).agg(*_bar_values(key))
+
+
+def _tick_key(order_by: list[str] | None) -> Column:
     order_by = order_by or ["ts", "tick_id"]
-    key = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
-    return ticks.groupBy("tradingsymbol", F.to_date("ts").alias("date")).agg(
+    return F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+
+
+def _bar_values(key: Column) -> list[Column]:
+    return [
         F.min_by("price", key).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", key).alias("close"),
         F.sum("quantity").alias("volume"),
+    ]
+
+
+def partial_bars(ticks: DataFrame) -> DataFrame:
+    """Daily bars that can still be merged: open and close with the (ts, tick_id) they were traded at."""
+    key = F.struct("ts", "tick_id")
+    priced = ticks.filter(F.col("price").isNotNull())
+    return priced.groupBy("tradingsymbol", F.to_date("ts").alias("date")).agg(
+        *_bar_values(key), F.min(key).alias("first_key"), F.max(key).alias("last_key")
     )
 
 
+def merged_bars(partial: DataFrame) -> DataFrame:
+    """Whole daily bars from any number of partial ones, in whatever order they came."""
+    return partial.groupBy("tradingsymbol", "date").agg(
+        F.min_by("open", "first_key").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "last_key").alias("close"),
+        F.sum("volume").alias("volume"),
+    )
+
+
+def daily_bars(ticks: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+    """Open, high, low, close and volume per symbol and day.
+
+    ``ticks`` has ``tradingsymbol, ts, price, quantity`` and the columns of ``order_by`` (default
+    ``ts, tick_id``), which must order a symbol's ticks of a day without ties. Every aggregate is combined before the
+    shuffle, so a symbol with any share of the ticks sends one row per day and task. A single
+    ordering column keeps the aggregation hash-based; several need a struct key, which Spark
+    aggregates by sorting. Ticks without a price make no bar, so a bar always has a close.
+    """
+    priced = ticks.filter(F.col("price").isNotNull())
+    days = priced.groupBy("tradingsymbol", F.to_date("ts").alias("date"))
+    return days.agg(*_bar_values(_tick_key(order_by)))
+
+
 def ingest_watermark(stored: DataFrame) -> DataFrame:
     """Newest stored date per symbol."""
     return stored.groupBy("tradingsymbol").agg(F.max("date").alias("max_date"))
@@ -69,6 +115,26 @@ def ingest_new_bars(bars: DataFrame, plan: DataFrame, min_new_bars: int = 1) ->
     return fresh.join(enough, "tradingsymbol", "left_semi")
 
 
+def planned_ticks(ticks: DataFrame, plan: DataFrame, as_of: date, first_load_months: int = 3) -> DataFrame:
+    """The ticks that can make a planned bar, cut by time before anything is aggregated.
+
+    Symbols that have been loaded before need the days since the oldest of their watermarks; symbols without bars
+    need the whole first load and are found by name. Both bounds of either part are literals, which reach the scan.
+    """
+    first = (F.add_months(F.lit(as_of), -first_load_months)).alias("first")
+    loaded, new = F.col("from_date") != first, F.col("from_date") == first
+    since, start = plan.agg(F.min(F.when(loaded, F.col("from_date"))), F.first(first)).first()
+    end = datetime.combine(as_of + timedelta(days=1), time())
+
+    def part(symbols: DataFrame, low: date | None) -> DataFrame:
+        low = datetime.combine(low or as_of, time())
+        kind = ticks.schema["ts"].dataType
+        inside = ticks.filter((F.col("ts") >= F.lit(low).cast(kind)) & (F.col("ts") < F.lit(end).cast(kind)))
+        return inside.join(symbols.select("tradingsymbol"), "tradingsymbol", "left_semi")
+
+    return part(plan.filter(loaded), since).unionByName(part(plan.filter(new), start)).select(*ticks.columns)
+
+
 def append_new_bars(
     store: TableStore, bars: DataFrame, stock_list: DataFrame, as_of: date, min_new_bars: int = 1
 ) -> None:

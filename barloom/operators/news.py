@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.functions.columns import round_half_even
 
@@ -15,30 +14,27 @@ from barloom.functions.columns import round_half_even
 NORMALISER = 15.0
 COMPOUND_PLACES = 4
 
-BROADCAST_WORDS = 200_000
 SPREAD = 64
 
 
 def _first_items(news: DataFrame, max_articles: int) -> DataFrame:
     """The first ``max_articles`` items of each name by ``item_no``.
 
-    Ranked in two steps: a name's rows are first spread over ``SPREAD`` groups, each of which keeps
-    its own first items, so the second step sees a bounded number of rows per name. Spark also
-    applies the limit on the map side of both steps.
+    Only keys are ranked; texts are fetched for the items that are left. A name's keys are first spread over
+    ``SPREAD`` groups, each of which keeps its own first items, so the second step sees a bounded number of
+    rows per name. Spark also applies the limit on the map side of both steps.
     """
     spread = F.pmod(F.xxhash64("item_no"), F.lit(SPREAD))
     part = Window.partitionBy("name", "_spread").orderBy("item_no")
     whole = Window.partitionBy("name").orderBy("item_no")
     kept = (
-        news.withColumn("_spread", spread)
+        news.select("name", "item_no", spread.alias("_spread"))
         .withColumn("_rank", F.row_number().over(part))
         .filter(F.col("_rank") <= max_articles)
-    )
-    return (
-        kept.withColumn("_rank", F.row_number().over(whole))
+        .withColumn("_rank", F.row_number().over(whole))
         .filter(F.col("_rank") <= max_articles)
-        .drop("_spread", "_rank")
     )
+    return news.join(kept.select("name", "item_no"), ["name", "item_no"], "left_semi")
 
 
 def news_recency(
@@ -46,11 +42,11 @@ def news_recency(
 ) -> DataFrame:
     """Of the first items per name, those at most a day old, with their article time.
 
-    The age is text such as ``"5 hours ago"``; texts of another form are dropped, as are minutes
-    unless ``include_minutes`` is set.
+    The age is text such as ``"5 hours ago"``, split at white space of any kind; texts of another form are
+    dropped, as are minutes unless ``include_minutes`` is set.
     """
     age = F.col("date")
-    number = F.split(age, " ")[0].try_cast("int")
+    number = F.regexp_extract(age, r"^\s*(\S+)", 1).try_cast("int")
     zero = F.lit(0)
     elapsed = F.when(age.contains("hour"), F.make_dt_interval(zero, number, zero, F.lit(0.0))).when(
         age.contains("day"), F.make_dt_interval(number, zero, zero, F.lit(0.0))
@@ -69,28 +65,32 @@ def news_recency(
     )
 
 
-def lexicon_sentiment(news: DataFrame, lexicon: Mapping[str, float]) -> DataFrame:
+def lexicon_table(spark: SparkSession, lexicon: Mapping[str, float]) -> DataFrame:
+    """A word list kept in code as the (word, valence) table the operators take."""
+    return spark.createDataFrame([(w, float(v)) for w, v in lexicon.items()], "word string, valence double")
+
+
+def item_words(news: DataFrame) -> DataFrame:
+    """(name, item_no, word) for every run of letters, of any script, in title and description."""
+    text = F.lower(F.concat_ws(" ", "title", "desc"))
+    return news.select("name", "item_no", F.explode(F.split(text, r"[^\p{L}]+")).alias("word"))
+
+
+def lexicon_sentiment(news: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Compound polarity of title and description per item: (name, item_no, n_hits, sentiment).
 
-    The words of whole texts are matched with the lexicon and summed per item. An item's words stay in
-    the task that read it, so the sums are combined before the shuffle, which moves one narrow row per
-    item; items without a hit come out as 0 without joining back to the texts.
+    ``lexicon`` has ``word, valence``, a word once. The words of whole texts are matched with it and summed per
+    item; an item without a hit comes out as 0. Words are joined under ``SPREAD`` salts taken from the item, and each
+    lexicon entry stands under all of them, so the commonest word is no hot key however large the lexicon is. Spark
+    broadcasts a small lexicon by its size, and then nothing but one narrow row per item and task is shuffled.
     """
-    spark = news.sparkSession
-    schema = T.StructType(
-        [T.StructField("word", T.StringType()), T.StructField("valence", T.DoubleType())]
-    )
-    words = spark.createDataFrame([(w, float(v)) for w, v in lexicon.items()], schema)
-    if len(lexicon) <= BROADCAST_WORDS:
-        words = F.broadcast(words)
-    text = F.lower(F.concat_ws(" ", "title", "desc"))
-    tokens = news.select(
-        "name", "item_no", F.explode(F.split(text, "[^a-z]+")).alias("word")
-    )
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))
+    salted = lexicon.select("word", "valence", F.explode(salts).alias("_salt"))
+    tokens = item_words(news).withColumn("_salt", F.pmod(F.xxhash64("name", "item_no"), F.lit(SPREAD)))
     total = F.coalesce(F.sum("valence"), F.lit(0.0))
     compound = F.col("_total") / F.sqrt(F.col("_total") * F.col("_total") + F.lit(NORMALISER))
     return (
-        tokens.join(words, "word", "left")
+        tokens.join(salted, ["word", "_salt"], "left")
         .groupBy("name", "item_no")
         .agg(F.count("valence").alias("n_hits"), total.alias("_total"))
         .select(

@@ -15,7 +15,7 @@ ORDER_TYPE = "MARKET"
 PRODUCT = "CNC"
 MIN_DIFFERENCE = 0.1
 AFTER_MARKET_REFUSED = "AMO orders cannot be placed"
-UNEXPECTED_RESPONSE = "Order failed (unexpected response from buy_stock)"
+UNEXPECTED_RESPONSE = "The response is not an order record"
 
 HOLDING_COLUMNS = ["tradingsymbol", "quantity", "average_price", "last_price", "pnl"]
 
@@ -39,10 +39,14 @@ def order_intents(
     buy: bool = True,
     min_difference: float = MIN_DIFFERENCE,
 ) -> DataFrame:
-    """One intent per pick that was not requested yet on the day, with its trigger price."""
+    """One intent per pick that was not requested yet on the day, with its trigger price.
+
+    Of several quotes for a symbol the newest by ``quoted_at`` counts, or the highest where quotes have no time.
+    """
     today = ledger.filter(F.to_date("requested_at") == F.lit(as_of))
     requested = today.select("tradingsymbol").distinct()
-    prices = quotes.select("tradingsymbol", "last_price")
+    newest = [name for name in ("quoted_at", "last_price") if name in quotes.columns]
+    prices = quotes.groupBy("tradingsymbol").agg(F.max_by("last_price", F.struct(*newest)).alias("last_price"))
     return (
         picks.select("tradingsymbol")
         .distinct()
@@ -69,16 +73,38 @@ def order_ledger(
 ) -> DataFrame:
     """Ledger rows of landed broker responses.
 
-    ``responses`` has ``tradingsymbol, success, order_id, message``. A NULL ``success`` means the response
-    was not a record and ``message`` is its text. Messages of failed orders are cut at the first
-    ``[``. ``amo_refused`` flags failures that only concern after-market orders.
+    ``responses`` has ``tradingsymbol, success, order_id, message`` and may have ``error_kind, requested_at,
+    filled_quantity, average_price`` and ``response_no``, which tells responses of one symbol apart. A NULL
+    ``success`` means the response was not a record and ``message`` is its text. Only a refusal by the broker (``error_kind``
+    'broker') is cut at the first ``[``; other errors keep their text. Rows without a time of their
+    own get ``requested_at``. ``amo_refused`` flags refusals that only concern after-market orders. The same response
+    landed twice gives one row.
     """
+    optional = {
+        "error_kind": "string",
+        "requested_at": "timestamp_ntz",
+        "filled_quantity": "int",
+        "average_price": "string",
+        "response_no": "string",
+    }
+    landed = responses.withColumns(
+        {
+            name: F.col(name).cast(kind) if name in responses.columns else F.lit(None).cast(kind)
+            for name, kind in optional.items()
+        }
+    )
     is_record = F.col("success").isNotNull()
     outcome = F.when(F.col("success"), F.lit("SUCCESS")).otherwise(F.lit("FAILED"))
+    by_broker = is_record & ~F.col("success") & F.coalesce(F.col("error_kind") == "broker", F.lit(False))
     cut = F.trim(F.split("message", r"\[")[0])
-    message = F.when(is_record & ~F.col("success"), cut).otherwise(F.col("message"))
-    requested = F.lit(requested_at).cast("timestamp_ntz")
-    parts = F.concat_ws("|", "tradingsymbol", F.date_format(requested, "yyyy-MM-dd HH:mm:ss"))
+    requested = F.coalesce(F.col("requested_at"), F.lit(requested_at).cast("timestamp_ntz"))
+    parts = F.concat_ws(
+        "|",
+        "tradingsymbol",
+        F.date_format(requested, "yyyy-MM-dd HH:mm:ss"),
+        F.coalesce("order_id", F.lit("")),
+        F.coalesce("response_no", F.lit("")),
+    )
     columns = {
         # 60 bits of a digest: the same row gets the same id on a re-run
         "id": F.conv(F.substring(F.md5(parts), 1, 15), 16, 10).cast("bigint"),
@@ -91,27 +117,22 @@ def order_ledger(
         "status": F.when(is_record, outcome).otherwise(F.lit("FAILED")),
         "error_message": F.when(~is_record, F.lit(UNEXPECTED_RESPONSE)),
         "broker_status": F.when(is_record, outcome).otherwise(F.lit("UNKNOWN")),
-        "broker_message": message,
-        "filled_quantity": F.lit(None).cast("int"),
-        "average_price": F.lit(None).cast("string"),
+        "broker_message": F.when(by_broker, cut).otherwise(F.col("message")),
+        "filled_quantity": F.when(is_record, F.col("filled_quantity")),
+        "average_price": F.when(is_record, F.col("average_price")),
+        "amo_refused": by_broker & F.coalesce(F.col("message").contains(AFTER_MARKET_REFUSED), F.lit(False)),
     }
-    rows = responses.withColumns(columns)
-    refused = F.coalesce(
-        is_record & ~F.col("success") & F.col("broker_message").contains(AFTER_MARKET_REFUSED),
-        F.lit(False),
-    )
-    return rows.withColumn("amo_refused", refused).select(
-        *INTENDED_ORDERS.fieldNames(), "amo_refused"
-    )
+    rows = landed.withColumns(columns).select(*INTENDED_ORDERS.fieldNames(), "amo_refused")
+    return rows.dropDuplicates(["id"])
 
 
-def holdings_view(holdings: DataFrame) -> DataFrame:
-    """The display columns that are present, numbers with two decimals."""
+def holdings_view(holdings: DataFrame, places: int | None = None) -> DataFrame:
+    """The display columns that are present; values stay whole unless ``places`` asks for rounded ones."""
     shown = [name for name in HOLDING_COLUMNS if name in holdings.columns]
     kinds = dict(holdings.dtypes)
     return holdings.select(
         *[
-            round_half_even(name).alias(name) if kinds[name] == "double" else F.col(name)
+            round_half_even(name, places).alias(name) if places is not None and kinds[name] == "double" else F.col(name)
             for name in shown
         ]
     )

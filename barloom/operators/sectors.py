@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.columns import text_bucket
 from barloom.schemas import SECTOR_REPLY_ITEMS, STOCK_SECTORS
@@ -76,9 +77,13 @@ def sector_request_batches(
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
-    """Replies with the parsed items; NULL items when there is no array or it is not valid JSON."""
+    """Replies with the parsed items; NULL items unless the span from the first array of objects to the last
+    bracket is one valid JSON array. Two arrays with text between them are therefore no array."""
     span = F.regexp_extract("reply", REPLY_ARRAY, 1)
-    return replies.withColumn("items", F.from_json(span, SECTOR_REPLY_ITEMS))
+    whole = T.StructType([T.StructField("v", SECTOR_REPLY_ITEMS)])
+    wrapped = F.concat(F.lit('{"v": '), span, F.lit("}"))
+    parsed = F.from_json(wrapped, whole, {"allowSingleQuotes": "false"})
+    return replies.withColumn("items", F.when(span != "", parsed["v"]))
 
 
 def sector_replies(

@@ -19,6 +19,9 @@ PRICE_LIMIT = 200.0
 CORRELATION_THRESHOLD = 0.6
 
 BLOCK = 64
+BLOCK_MOST = 1024
+#: Parts of the symbols that meet their own copy of the other series, when those are too many to broadcast.
+PARTS = 64
 BROADCAST_RETURNS = 1_000_000
 
 
@@ -66,19 +69,23 @@ def return_correlation(
     ``others`` are the few series compared against (the accepted symbols), so the work grows with
     ``returns``, not with its square. Rows are aligned by position in the series or by date. With at most
     ``BROADCAST_RETURNS`` rows (``other_rows``, counted when not given) ``others`` is broadcast and
-    ``returns`` is only shuffled as one partial aggregate per pair and task; beyond that both sides
-    are hashed on the alignment key.
+    ``returns`` is only shuffled as one partial aggregate per pair and task. Beyond that the symbols are
+    split into ``PARTS`` and each part has a copy of ``others``, so that a position that all series have is
+    spread over as many tasks.
     """
     key = {"position": POS, "date": DATE}[align]
     right = others.select(
         F.col(key), F.col(SYMBOL).alias("other"), F.col("daily_return").alias("y")
     )
     other_rows = others.count() if other_rows is None else other_rows
-    if other_rows <= BROADCAST_RETURNS:
-        right = F.broadcast(right)
     left = returns.select(key, SYMBOL, F.col("daily_return").alias("x"))
-    pairs = left.join(right, key).filter(F.col(SYMBOL) != F.col("other"))
-    return _pair_correlation(pairs)
+    if other_rows <= BROADCAST_RETURNS:
+        pairs = left.join(F.broadcast(right), key)
+    else:
+        left = left.withColumn("_part", F.pmod(F.xxhash64(SYMBOL), F.lit(PARTS)))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
+        pairs = left.join(right.withColumn("_part", copies), [key, "_part"])
+    return _pair_correlation(pairs.filter(F.col(SYMBOL) != F.col("other")))
 
 
 def _rank_order() -> list[Column]:
@@ -179,19 +186,22 @@ def select_top(
     reaches the threshold; symbols without bars are skipped. The best ``block`` candidates are decided
     first: their bars are read by symbol and only pairs inside the block are formed. If that leaves
     the pick short, one pass removes every remaining candidate that conflicts with a taken one
-    (work proportional to the candidates) and the next block follows. Each round takes at least
-    one symbol, so there are at most ``top_n`` rounds and no more than ``top_n`` passes.
+    (work proportional to the candidates) and the next block, four times as large, follows. Each round
+    takes at least one symbol, so there are at most ``top_n`` rounds. Returns are derived once and stored.
     """
     spark = ranked.sparkSession
     longest = longest_series(bars) if longest is None else longest
     with_series = bars.select(SYMBOL).distinct()
     pool = (
         ranked.groupBy(SYMBOL)
-        .agg(F.max("score").alias("score"), F.min("sector").alias("sector"))
+        .agg(F.max(F.struct("score", "sector")).alias("best"))
+        .select(SYMBOL, "best.*")
         .join(with_series, SYMBOL, "left_semi")
     )
     pool = cut_lineage(pool, "ranked")
-    returns = daily_returns(bars, longest, chunk_rows)
+    returns = cut_lineage(
+        daily_returns(bars, longest, chunk_rows).select(SYMBOL, POS, DATE, "daily_return"), "returns"
+    )
     taken: list[Row] = []
     while len(taken) < top_n:
         head = pool.orderBy(*_rank_order()).limit(block).collect()
@@ -203,8 +213,9 @@ def select_top(
         before = len(taken)
         taken = _accept_in_order(head, conflicts, taken, top_n, max_per_sector)
         if len(taken) >= top_n or len(head) < block:
-            break
+            break  # all candidates have been seen
         new = [row[SYMBOL] for row in taken[before:]]
+        block = min(4 * block, BLOCK_MOST)
         pool = pool.filter(_after(head[-1]))
         if max_per_sector is not None:
             pool = _without_full_sectors(pool, taken, max_per_sector)

@@ -18,6 +18,7 @@ from barloom.operators import ingest, market, news, orders, scoring, sectors, se
 from barloom.plans import daily
 from barloom.session import cut_lineage, scratch_path
 from barloom.sources import views
+from barloom.sources.readers import read_instruments
 from barloom.sources.store import TableStore
 from barloom.streaming.ingest_stream import ingest_stream
 
@@ -93,32 +94,60 @@ def ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_new_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = views.bars_short(spark, sf_dir)
-    return ingest.ingest_new_bars(bars, _plan(spark, sf_dir))
+    plan = cut_lineage(_plan(spark, sf_dir), "plan")
+    ticks = views.event_ticks(views.table(spark, sf_dir, "events"))
+    bars = ingest.daily_bars(ingest.planned_ticks(ticks, plan, views.SHORT_AS_OF))
+    return ingest.ingest_new_bars(bars, plan)
+
+
+def intraday_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = views.event_ticks(views.table(spark, sf_dir, "events"))
+    return ingest.interval_bars(ticks, "60minute")
+
+
+def universe_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The universe of an instrument list that has landed as CSV files."""
+    path = scratch_path(spark, "instruments-csv")
+    views.instruments(spark, sf_dir).write.csv(path, header=True)
+    return universe.universe_filter(read_instruments(spark, path), views.SHORT_AS_OF)
 
 
 def ingest_new_bars_min2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars up to the day after the stored ones: even users have at most one new bar and are skipped."""
-    bars = views.bars_short(spark, sf_dir).filter(F.col("date") <= F.lit(date(2024, 1, 21)))
-    return ingest.ingest_new_bars(bars, _plan(spark, sf_dir), min_new_bars=2)
+    """The history lacks one bar of even users, who are skipped, and two of the rest."""
+    stored = views.stored_bars_but_one(spark, sf_dir)
+    plan = ingest.ingest_plan(universe_filter(spark, sf_dir), stored, views.SHORT_AS_OF)
+    return ingest.ingest_new_bars(views.bars_short(spark, sf_dir), plan, min_new_bars=2)
 
 
-def ingest_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load ``events`` as a stream into a store that already holds earlier bars."""
+def _streamed(spark: SparkSession, sf_dir: str) -> TableStore:
+    """Load ``events``, landed as files that split days and arrive out of order, one file a batch, into a store
+    that already holds earlier bars."""
     store = scratch_store(spark)
     store.append("stock_timeseries", views.stored_bars(spark, sf_dir))
+    events = views.table(spark, sf_dir, "events")
+    landed = scratch_path(spark, "landed")
+    events.repartition(4, F.pmod(F.xxhash64("event_id"), F.lit(4))).write.parquet(landed)
     ingest_stream(
         spark,
-        sf_dir,
-        views.table(spark, sf_dir, "events").schema,
-        lambda batch: ingest.daily_bars(views.event_ticks(batch)),
+        landed,
+        events.schema,
+        views.event_ticks,
         store,
         cut_lineage(universe_filter(spark, sf_dir), "universe"),
         views.SHORT_AS_OF,
         scratch_path(spark, "stream-state"),
-        file_glob="events.parquet",
+        files_per_batch=1,
     )
-    return store.read("stock_timeseries")
+    return store
+
+
+def ingest_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir).read("stock_timeseries")
+
+
+def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream found for days that were stored before."""
+    return _streamed(spark, sf_dir).read("late_bars")
 
 
 def _stored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +179,7 @@ def indicators_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indicators_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout for long series: chunks of 128 rows with context and carried state.
 
-    Carried averages are summed in another order than one running sum, so they are compared with
-    four decimals.
+    Carried averages are summed in another order than a fold, which now and then turns the sixth decimal.
     """
     return rounded(ind.indicators(_stored_long(spark, sf_dir), chunk_rows=128), 4)
 
@@ -282,13 +310,22 @@ def news_recency_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return news.lexicon_sentiment(views.news(spark, sf_dir), views.LEXICON)
+    return news.lexicon_sentiment(views.news(spark, sf_dir), news.lexicon_table(spark, views.LEXICON))
+
+
+def lexicon_sentiment_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word that occurs is in the lexicon, with a valence that follows from its length."""
+    items = views.news(spark, sf_dir)
+    words = news.item_words(items).select("word").distinct()
+    valence = (F.length("word") % 7 - 3) / F.lit(2.0)
+    return news.lexicon_sentiment(items, words.withColumn("valence", valence))
 
 
 def sentiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = views.news(spark, sf_dir)
     recent = news.news_recency(items, views.NEWS_AS_OF)
-    return news.sentiment_summary(items, news.lexicon_sentiment(recent, views.LEXICON))
+    lexicon = news.lexicon_table(spark, views.LEXICON)
+    return news.sentiment_summary(items, news.lexicon_sentiment(recent, lexicon))
 
 
 def order_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +344,7 @@ def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holdings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders.holdings_view(views.holdings(spark, sf_dir))
+    return orders.holdings_view(views.holdings(spark, sf_dir), places=2)
 
 
 def market_session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +381,9 @@ QUERIES: dict[str, Query] = {
     "ingest_new_bars": ingest_new_bars,
     "ingest_new_bars_min2": ingest_new_bars_min2,
     "ingest_stream": ingest_stream_query,
+    "late_bars": late_bars,
+    "intraday_bars": intraday_bars,
+    "universe_from_csv": universe_from_csv,
     "moving_averages": _indicator_query(ind.moving_averages, ["MA20", "MA50"]),
     "rsi14": _indicator_query(ind.rsi14, ["RSI14"]),
     "atr14": _indicator_query(ind.atr14, ["ATR14"]),
@@ -375,10 +415,11 @@ QUERIES: dict[str, Query] = {
     "news_recency": news_recency,
     "news_recency_minutes": news_recency_minutes,
     "lexicon_sentiment": lexicon_sentiment,
+    "lexicon_sentiment_large": lexicon_sentiment_large,
     "sentiment_summary": sentiment_summary,
     "order_intents": order_intents,
     "order_ledger": order_ledger,
     "holdings_view": holdings_view,
     "market_session": market_session,
-    "daily_selection": daily_selection,
+    "daily_pipeline": daily_selection,
 }

@@ -88,7 +88,7 @@ def day_orders(store: TableStore, quotes: DataFrame, as_of: date) -> DataFrame:
 
 
 def store_order_responses(store: TableStore, responses: DataFrame, requested_at: datetime) -> None:
-    """Append landed responses to the ledger; rows it already holds are not added again."""
+    """Append landed responses to the ledger; rows it already holds, or that landed twice, are added once."""
     known = store.read("stock_intended_orders").select("id")
     rows = order_ledger(responses, requested_at)
     store.append("stock_intended_orders", rows.join(known, "id", "left_anti"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from barloom.operators.orders import UNEXPECTED_RESPONSE
+from barloom.operators.sectors import ALLOWED_SECTORS
+
 AS_OF = "DATE '2024-01-30'"
 
 BARS_SHORT = """
@@ -42,14 +45,19 @@ universe AS (
   WHERE exchange = 'NSE' AND segment = 'NSE'
     AND NOT regexp_matches(tradingsymbol, '^[0-9].*-.{{2}}$'))"""
 
-SECTORS = f"""
-sectors AS (
+ALL_SECTORS = f"""
+all_sectors AS (
   SELECT {AS_OF} AS Date_Update, 'U' || c_custkey AS tradingsymbol, c_name AS name,
          c_mktsegment AS sector, c_custkey // 50 AS batch_id
-  FROM customer WHERE c_custkey % 3 <> 0)"""
+  FROM customer)"""
+
+SECTORS = ALL_SECTORS + """,
+sectors AS (SELECT * FROM all_sectors WHERE CAST(substr(tradingsymbol, 2) AS BIGINT) % 3 <> 0)"""
+
+UNREADABLE = "(batch_id % 7 = 6 OR batch_id % 11 = 10 OR batch_id % 13 = 12 OR batch_id % 17 = 16)"
 
-REPLIED = SECTORS + """,
-replied AS (SELECT * FROM sectors WHERE batch_id % 7 <> 6 AND batch_id % 11 <> 10)"""
+REPLIED = ALL_SECTORS + f""",
+replied AS (SELECT * FROM all_sectors WHERE NOT {UNREADABLE})"""
 
 STORED = BARS_SHORT + """,
 stored AS (
@@ -71,11 +79,11 @@ news AS (
   SELECT source AS name, doc_id AS item_no, split_part(text, chr(10), 1) AS title,
          CASE WHEN position(chr(10) IN text) > 0
               THEN substr(text, position(chr(10) IN text) + 1) END AS body,
-         CASE doc_id % 4 WHEN 0 THEN (doc_id % 48) || ' hours ago'
-                         WHEN 1 THEN (doc_id % 48) || ' days ago'
+         CASE doc_id % 4 WHEN 0 THEN ' ' || (doc_id % 48) || '  hours ago'
+                         WHEN 1 THEN (doc_id % 48) || chr(9) || 'days ago'
                          WHEN 2 THEN (doc_id % 48) || ' mins ago'
                          ELSE 'an hour ago' END AS date
-  FROM documents WHERE lang = 'en')"""
+  FROM documents)"""
 
 LEXICON = """
 lexicon(word, valence) AS (
@@ -88,15 +96,6 @@ COLUMNS = (
 ).split()
 
 
-def _ema(value: str, span: int) -> str:
-    keep = f"(1 - 2.0::DOUBLE / {span + 1})"
-    weight = f"CASE WHEN pos = 0 THEN 1 ELSE 2.0::DOUBLE / {span + 1} END"
-    return (
-        f"pow({keep}, pos) * sum(({weight}) * {value} * pow({keep}, -pos)) "
-        "OVER (w ROWS UNBOUNDED PRECEDING)"
-    )
-
-
 def _full(expression: str, column: str, rows: int) -> str:
     frame = f"(w ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
     return f"CASE WHEN count({column}) OVER {frame} = {rows} THEN {expression} OVER {frame} END"
@@ -104,12 +103,14 @@ def _full(expression: str, column: str, rows: int) -> str:
 
 def _indicator_ctes(bars: str) -> str:
     w = "WINDOW w AS (PARTITION BY tradingsymbol ORDER BY date)"
+    # the averages behind MACD, folded bar by bar
+    fast, slow = (f"a.{name} + (m.close - a.{name}) * 2 / {span + 1}" for name, span in (("fast", 12), ("slow", 26)))
     return f"""
 looked AS (
   SELECT *, row_number() OVER w - 1 AS pos, lag(close) OVER w AS before,
          lag(close, 5) OVER w AS before5, lag(close, 22) OVER w AS before22
   FROM {bars} {w}),
-moved AS (
+moved AS MATERIALIZED (
   SELECT *, close / nullif(before, 0) - 1 AS ret,
          CASE WHEN before IS NOT NULL THEN greatest(close - before, 0) END AS gain,
          CASE WHEN before IS NOT NULL THEN greatest(before - close, 0) END AS loss,
@@ -118,6 +119,12 @@ moved AS (
          close / nullif(before5, 0) - 1 AS price_change_1w,
          close / nullif(before22, 0) - 1 AS price_change_1m
   FROM looked),
+averages(tradingsymbol, pos, fast, slow, signal) AS (
+  SELECT tradingsymbol, pos, close::DOUBLE, close::DOUBLE, 0::DOUBLE FROM moved WHERE pos = 0
+  UNION ALL
+  SELECT m.tradingsymbol, m.pos, {fast}, {slow},
+         a.signal + (({fast}) - ({slow}) - a.signal) * 2 / 10
+  FROM averages a JOIN moved m ON m.tradingsymbol = a.tradingsymbol AND m.pos = a.pos + 1),
 rolled AS (
   SELECT *,
          {_full("avg(close)", "close", 20)} AS MA20,
@@ -127,15 +134,14 @@ rolled AS (
          {_full("avg(tr)", "tr", 14)} AS ATR14,
          {_full("avg(volume)", "volume", 20)} AS avg_daily_volume,
          {_full("stddev_samp(ret)", "ret", 22)} AS volatility_1m,
-         sum(signed) OVER (w ROWS UNBOUNDED PRECEDING) AS OBV,
-         {_ema("close", 12)} - {_ema("close", 26)} AS MACD
+         sum(signed) OVER (w ROWS UNBOUNDED PRECEDING) AS OBV
   FROM moved {w}),
 indicators AS (
-  SELECT *, {_ema("MACD", 9)} AS MACD_signal,
+  SELECT *, fast - slow AS MACD, signal AS MACD_signal,
          CASE WHEN al = 0 AND ag > 0 THEN 100 WHEN al > 0 THEN 100 - 100 / (1 + ag / al) END AS RSI14,
          lag(OBV) OVER w AS previous_OBV,
          row_number() OVER (PARTITION BY tradingsymbol ORDER BY date DESC) AS from_end
-  FROM rolled {w}),
+  FROM rolled JOIN averages USING (tradingsymbol, pos) {w}),
 latest AS (SELECT * FROM indicators WHERE from_end = 1 AND pos >= 1)"""
 
 
@@ -181,7 +187,7 @@ PRICES = "open, high, low, close"
 
 def _indicator_query(bars_cte: str, bars: str, *columns: str) -> str:
     return (
-        f"WITH {bars_cte},{_indicator_ctes(bars)} "
+        f"WITH RECURSIVE {bars_cte},{_indicator_ctes(bars)} "
         f"SELECT tradingsymbol, date, pos, {_rounded(*columns)} FROM indicators"
     )
 
@@ -190,7 +196,7 @@ def _all_indicators(
     bars_cte: str, bars: str, source: str, *extra: str, places: int = 6
 ) -> str:
     return (
-        f"WITH {bars_cte},{_indicator_ctes(bars)} "
+        f"WITH RECURSIVE {bars_cte},{_indicator_ctes(bars)} "
         f"SELECT tradingsymbol, date, {PRICES}, volume, pos, "
         f"{_rounded(*COLUMNS, *extra, places=places)} FROM {source}"
     )
@@ -198,7 +204,7 @@ def _all_indicators(
 
 def _score_query(bars_cte: str, bars: str, rules: tuple[float, float, float]) -> str:
     return (
-        f"WITH {bars_cte},{_indicator_ctes(bars)},{_score_cte(*rules)} "
+        f"WITH RECURSIVE {bars_cte},{_indicator_ctes(bars)},{_score_cte(*rules)} "
         f"SELECT tradingsymbol, date, close, {_rounded(*SCORE_PARTS)} FROM scored"
     )
 
@@ -207,7 +213,7 @@ def _scores_of_day(day: str) -> str:
     return f"""
 SELECT DATE '{day}' AS Date_Update, tradingsymbol, {_cents("score")} AS score,
        {_cents("close")} AS latest_close
-FROM (WITH {BARS_SHORT}, cut AS (SELECT * FROM bars_short WHERE date <= DATE '{day}'),
+FROM (WITH RECURSIVE {BARS_SHORT}, cut AS (SELECT * FROM bars_short WHERE date <= DATE '{day}'),
       {_indicator_ctes("cut")},{_score_cte(*SHORT_SCORE)} SELECT * FROM scored)"""
 
 
@@ -291,7 +297,7 @@ recent AS (
   SELECT *, CAST(TIMESTAMP '2024-01-30 12:00:00' - age AS TIMESTAMP) AS article_time
   FROM (SELECT *, CASE WHEN contains(date, 'hour') THEN to_hours(n)
                        WHEN contains(date, 'day') THEN to_days(n){minutes} END AS age
-        FROM (SELECT *, TRY_CAST(split_part(date, ' ', 1) AS INTEGER) AS n,
+        FROM (SELECT *, TRY_CAST(regexp_extract(date, '^\\s*(\\S+)', 1) AS INTEGER) AS n,
                      row_number() OVER (PARTITION BY name ORDER BY item_no) AS rn FROM news)
         WHERE rn <= {first})
   WHERE age <= INTERVAL 1 DAY)"""
@@ -301,6 +307,14 @@ RECENT_MINUTES = _RECENT.format(
 )
 
 
+WORDS = "regexp_split_to_array(lower(concat_ws(' ', title, body)), '[^\\p{L}]+')"
+
+LARGE_LEXICON = f"""
+lexicon AS (
+  SELECT DISTINCT word, (length(word) % 7 - 3) / 2.0::DOUBLE AS valence
+  FROM (SELECT unnest({WORDS}) AS word FROM news))"""
+
+
 def _sentiment_cte(source: str) -> str:
     return f"""
 sentiments AS (
@@ -308,21 +322,12 @@ sentiments AS (
          round(coalesce(sum(valence), 0)
                / sqrt(pow(coalesce(sum(valence), 0), 2) + 15), 4) AS sentiment
   FROM (SELECT name, item_no,
-               unnest(regexp_split_to_array(lower(concat_ws(' ', title, body)), '[^a-z]+')) AS word
+               unnest({WORDS}) AS word
         FROM {source}) t
   LEFT JOIN lexicon l ON l.word = t.word GROUP BY 1, 2)"""
 
 
-_ALLOWED = ", ".join(
-    [
-        "Agriculture", "Automobile", "Carbon Products", "Cement", "Ceramics", "Chemicals",
-        "Construction", "Consumer Products", "Defense", "Diversified", "Education", "Electricals",
-        "Energy", "Entertainment", "Environmental Services", "Financial Services",
-        "Food & Beverage", "Healthcare", "Hospitality", "Industrial Equipment", "Jewelry",
-        "Logistics", "Manufacturing", "Metals", "Paper", "Plastics", "Real Estate", "Retail",
-        "Rubber", "Shipping", "Technology", "Telecommunications", "Textiles", "Trading",
-    ]
-)
+_ALLOWED = ", ".join(ALLOWED_SECTORS)
 
 ORACLES: dict[str, str] = {
     "universe_filter": f"WITH {UNIVERSE} SELECT * FROM universe",
@@ -343,10 +348,23 @@ GROUP BY 1, 2""",
     "ingest_new_bars": f"WITH {PLAN} SELECT b.tradingsymbol, date, {PRICES}, volume "
     "FROM bars_short b JOIN plan p ON p.tradingsymbol = b.tradingsymbol "
     "WHERE date BETWEEN from_date AND to_date",
-    "ingest_new_bars_min2": f"WITH {PLAN} SELECT b.tradingsymbol, date, {PRICES}, volume "
-    "FROM bars_short b JOIN plan p ON p.tradingsymbol = b.tradingsymbol "
-    "WHERE date BETWEEN from_date AND to_date AND date <= DATE '2024-01-21' "
-    "QUALIFY count(*) OVER (PARTITION BY b.tradingsymbol) >= 2",
+    "ingest_new_bars_min2": f"""WITH {BARS_SHORT},{UNIVERSE},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tradingsymbol ORDER BY date DESC) AS recent FROM bars_short),
+kept AS (SELECT * FROM ranked WHERE recent > 1 + CAST(substr(tradingsymbol, 2) AS BIGINT) % 2)
+SELECT b.tradingsymbol, date, {PRICES}, volume
+FROM bars_short b LEFT JOIN (SELECT tradingsymbol, max(date) AS max_date FROM kept GROUP BY 1) w USING (tradingsymbol)
+WHERE b.tradingsymbol IN (SELECT tradingsymbol FROM universe)
+  AND date BETWEEN coalesce(max_date + 1, {AS_OF} - INTERVAL 3 MONTH) AND {AS_OF}
+QUALIFY count(*) OVER (PARTITION BY b.tradingsymbol) >= 2""",
+    "intraday_bars": f"""
+SELECT 'U' || user_id AS tradingsymbol, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start,
+       arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+       arg_max(value, row(ts, event_id)) AS close, count(*) AS volume
+FROM events GROUP BY ALL""",
+    "universe_from_csv": f"WITH {UNIVERSE} SELECT * FROM universe",
+    "late_bars": f"WITH {STORED} SELECT b.tradingsymbol, date, {PRICES}, volume, {AS_OF} AS Date_Update "
+    "FROM bars_short b JOIN (SELECT tradingsymbol, max(date) AS max_date FROM stored GROUP BY 1) w "
+    "USING (tradingsymbol) WHERE date <= max_date",
     "ingest_stream": f"WITH {PLAN} SELECT tradingsymbol, date, {PRICES}, volume FROM ("
     "SELECT * FROM stored UNION ALL SELECT b.* FROM bars_short b "
     "JOIN plan p ON p.tradingsymbol = b.tradingsymbol WHERE date BETWEEN from_date AND to_date)",
@@ -369,7 +387,7 @@ GROUP BY 1, 2""",
     "score_short": _score_query(BARS_SHORT, "bars_short", SHORT_SCORE),
     "scores_snapshot": _scores_of_day("2024-01-29") + " UNION ALL " + _scores_of_day("2024-01-30"),
     "latest_scores": _scores_of_day("2024-01-30"),
-    "candidates": f"WITH {BARS_SHORT},{UNIVERSE},{SECTORS},{_candidate_ctes('bars_short', 'sectors')} "
+    "candidates": f"WITH RECURSIVE {BARS_SHORT},{UNIVERSE},{SECTORS},{_candidate_ctes('bars_short', 'sectors')} "
     "SELECT * FROM candidates",
     "return_correlation": _against_picks("pos"),
     "return_correlation_by_date": _against_picks("date"),
@@ -398,13 +416,13 @@ SELECT bucket, batch_no, count(*) AS n_symbols,
 FROM numbered GROUP BY 1, 2""",
     "sector_replies": f"WITH {REPLIED} SELECT Date_Update, tradingsymbol, name, sector, "
     "sector IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') AS is_allowed FROM replied",
-    "sector_rejects": f"WITH {SECTORS} SELECT DISTINCT batch_id FROM sectors "
-    "WHERE batch_id % 7 = 6 OR batch_id % 11 = 10",
+    "sector_rejects": f"WITH {ALL_SECTORS} SELECT DISTINCT batch_id FROM all_sectors WHERE {UNREADABLE}",
     "news_recency": f"WITH {NEWS},{RECENT} SELECT name, item_no, title, date, article_time "
     "FROM recent",
     "news_recency_minutes": f"WITH {NEWS},{RECENT_MINUTES} SELECT name, item_no, date, article_time "
     "FROM recent",
     "lexicon_sentiment": f"WITH {NEWS},{LEXICON},{_sentiment_cte('news')} SELECT * FROM sentiments",
+    "lexicon_sentiment_large": f"WITH {NEWS},{LARGE_LEXICON},{_sentiment_cte('news')} SELECT * FROM sentiments",
     "sentiment_summary": f"""WITH {NEWS},{LEXICON},{RECENT},{_sentiment_cte('recent')}
 SELECT n.name, count(s.name) AS n_items,
        coalesce({_cents("avg(sentiment)")}, 0) AS avg_sentiment
@@ -416,22 +434,26 @@ FROM (SELECT 'U' || user_id AS tradingsymbol, arg_max(value, row(ts, event_id))
       FROM events GROUP BY 1)
 WHERE tradingsymbol NOT IN (
   SELECT 'U' || o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '2000-02-21')""",
-    "order_ledger": """
-SELECT CAST('0x' || substr(md5(symbol || '|2024-01-30 16:30:00'), 1, 15) AS BIGINT) AS id,
+    "order_ledger": f"""
+SELECT CAST('0x' || substr(md5(symbol || '|' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '|'
+                               || coalesce(placed, '') || '|' || o_orderkey), 1, 15) AS BIGINT) AS id,
        symbol AS tradingsymbol, 1 AS quantity, true AS amo, 'CNC' AS product,
-       'MARKET' AS order_type, TIMESTAMP '2024-01-30 16:30:00' AS requested_at,
-       CASE WHEN o_orderstatus = 'F' THEN 'R' || o_orderkey END AS order_id,
+       'MARKET' AS order_type, CAST(o_orderdate AS TIMESTAMP) AS requested_at, placed AS order_id,
        CASE WHEN o_orderstatus = 'F' THEN 'SUCCESS' ELSE 'FAILED' END AS status,
-       CASE WHEN unknown THEN 'Order failed (unexpected response from buy_stock)' END
-         AS error_message,
+       CASE WHEN unknown THEN '{UNEXPECTED_RESPONSE}' END AS error_message,
        CASE WHEN unknown THEN 'UNKNOWN' WHEN o_orderstatus = 'F' THEN 'SUCCESS' ELSE 'FAILED' END
          AS broker_status,
        CASE WHEN o_orderstatus = 'F' THEN 'Order placed [ID] ' || o_orderkey
             WHEN o_orderstatus = 'O' THEN 'AMO orders cannot be placed now.'
-            WHEN unknown THEN '[no record]' ELSE 'Insufficient funds' END AS broker_message,
-       NULL::INTEGER AS filled_quantity, NULL::VARCHAR AS average_price,
+            WHEN unknown THEN '[no record]'
+            WHEN o_orderkey % 4 = 0 THEN 'Insufficient funds'
+            ELSE 'KeyError: [''ltp''] missing' END AS broker_message,
+       CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey % 3 AS INTEGER) END AS filled_quantity,
+       CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 > 0
+            THEN CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) END AS average_price,
        o_orderstatus = 'O' AS amo_refused
-FROM (SELECT *, 'U-' || o_custkey || '-' || o_orderkey AS symbol,
+FROM (SELECT *, 'U' || o_custkey AS symbol,
+             CASE WHEN o_orderstatus = 'F' THEN 'R' || o_orderkey END AS placed,
              o_orderstatus NOT IN ('F', 'O') AND o_orderkey % 2 <> 0 AS unknown FROM orders)""",
     "holdings_view": f"""
 SELECT tradingsymbol, CAST(q AS INTEGER) AS quantity, {_cents("(e / q)")} AS average_price,
@@ -444,7 +466,7 @@ FROM (SELECT 'S' || l_suppkey AS tradingsymbol, sum(l_quantity) AS q, sum(l_exte
 SELECT event_id, ts, local_ts
 FROM (SELECT event_id, ts, ts + INTERVAL 330 MINUTE AS local_ts FROM events)
 WHERE CAST(local_ts AS TIME) BETWEEN TIME '09:15:00' AND TIME '15:30:00'""",
-    "daily_selection": f"WITH RECURSIVE {BARS_SHORT},{UNIVERSE},{REPLIED}, kept AS ("
+    "daily_pipeline": f"WITH RECURSIVE {BARS_SHORT},{UNIVERSE},{REPLIED}, kept AS ("
     "SELECT * FROM bars_short WHERE tradingsymbol IN (SELECT tradingsymbol FROM universe) "
     f"AND date BETWEEN DATE '2023-10-30' AND {AS_OF}),"
     f"{_candidate_ctes('kept', 'replied')},{_selection_ctes('kept')}{PICKED_ROWS}",

@@ -114,6 +114,10 @@ NEWS = _schema(
     ("date", _STRING),
 )
 
+LATE_BARS = T.StructType(
+    [*[f for f in STOCK_TIMESERIES.fields if f.name != "date"], *_schema(("date", T.DateType()), ("Date_Update", T.DateType())).fields]
+)
+
 SECTOR_REPLY_ITEMS = T.ArrayType(
     _schema(("tradingsymbol", _STRING), ("name", _STRING), ("sector", _STRING))
 )
@@ -122,6 +126,7 @@ SECTOR_REPLY_ITEMS = T.ArrayType(
 TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "stock_list": (STOCK_LIST, []),
     "stock_timeseries": (STOCK_TIMESERIES, ["date"]),
+    "late_bars": (LATE_BARS, ["Date_Update"]),
     "stock_indicators": (STOCK_INDICATORS, []),
     "stock_scores": (STOCK_SCORES, ["Date_Update"]),
     "stock_sectors": (STOCK_SECTORS, []),

@@ -11,9 +11,10 @@ def read_instruments(spark: SparkSession, path: str) -> DataFrame:
     """The instrument list: CSV files with a header.
 
     The full file has more columns than are used, so columns are matched by name from the header and
-    cast to the fixed schema; nothing is inferred from the rows.
+    cast to the fixed schema; nothing is inferred from the rows. A quoted empty text is a text, a blank
+    field is NULL.
     """
-    rows = spark.read.csv(path, header=True, inferSchema=False)
+    rows = spark.read.csv(path, header=True, inferSchema=False, nullValue="\0")
     return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in INSTRUMENTS.fields])
 
 
@@ -38,8 +39,15 @@ def jdbc_options(
     return options
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **split: object) -> DataFrame:
-    """A relational table as a frame; filters and projections are pushed to the database."""
+def read_jdbc(
+    spark: SparkSession, url: str, table: str, single_task: bool = False, **split: object
+) -> DataFrame:
+    """A relational table as a frame; filters and projections are pushed to the database.
+
+    Without a ``split_column`` one task reads the whole table, which has to be asked for.
+    """
+    if not split.get("split_column") and not single_task:
+        raise ValueError("name a split_column, or ask for single_task=True")
     return spark.read.format("jdbc").options(**jdbc_options(url, table, **split)).load()
 
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.ingest import daily_bars
 
 SHORT_AS_OF = date(2024, 1, 30)
-LONG_AS_OF = date(2001, 11, 4)
 ORDERS_AS_OF = date(2000, 2, 21)
 NEWS_AS_OF = datetime(2024, 1, 30, 12, 0, 0)
 REQUESTED_AT = datetime(2024, 1, 30, 16, 30, 0)
@@ -81,19 +80,21 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stock_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "customer")
-        .filter(F.col("c_custkey") % 3 != 0)
-        .select(
-            F.lit(SHORT_AS_OF).alias("Date_Update"),
-            F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("tradingsymbol"),
-            F.col("c_name").alias("name"),
-            F.col("c_mktsegment").alias("sector"),
-        )
+def all_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.lit(SHORT_AS_OF).alias("Date_Update"),
+        F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("tradingsymbol"),
+        F.col("c_name").alias("name"),
+        F.col("c_mktsegment").alias("sector"),
     )
 
 
+def stock_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What earlier replies left: every third symbol has no sector yet."""
+    number = F.substring("tradingsymbol", 2, 20).cast("bigint")
+    return all_sectors(spark, sf_dir).filter(number % 3 != 0)
+
+
 def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an earlier load left: even users up to 2024-01-20."""
     user = F.substring("tradingsymbol", 2, 20).cast("bigint")
@@ -102,6 +103,15 @@ def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_bars_but_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history that lacks the last landed bar of even users and the last two of the rest."""
+    bars = bars_short(spark, sf_dir)
+    recent = Window.partitionBy("tradingsymbol").orderBy(F.desc("date"))
+    user = F.substring("tradingsymbol", 2, 20).cast("bigint")
+    ranked = bars.withColumn("_recent", F.row_number().over(recent))
+    return ranked.filter(F.col("_recent") > 1 + user % 2).drop("_recent")
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     count = (doc % 48).cast("string")
@@ -109,13 +119,12 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(newline > 0, F.substring_index("text", "\n", 1)).otherwise(F.col("text"))
     rest = F.when(newline > 0, F.substr(F.col("text"), newline + 1))
     age = (
-        F.when(doc % 4 == 0, F.concat(count, F.lit(" hours ago")))
-        .when(doc % 4 == 1, F.concat(count, F.lit(" days ago")))
+        F.when(doc % 4 == 0, F.concat(F.lit(" "), count, F.lit("  hours ago")))
+        .when(doc % 4 == 1, F.concat(count, F.lit("\tdays ago")))
         .when(doc % 4 == 2, F.concat(count, F.lit(" mins ago")))
         .otherwise(F.lit("an hour ago"))
     )
-    documents = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
-    return documents.select(
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("name"),
         doc.alias("item_no"),
         title.alias("title"),
@@ -125,19 +134,22 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reply texts holding 50 sector rows each; some without an array, some cut short."""
+    """Reply texts holding at most 50 sector rows each, for all symbols. Some have no array, some are cut short,
+    some hold two arrays, and some are quoted as no JSON is."""
     batch = F.floor(F.substring("tradingsymbol", 2, 20).cast("bigint") / F.lit(50))
     item = F.struct("tradingsymbol", "name", "sector")
     # a batch never has more than 50 rows
     array = F.to_json(F.sort_array(F.collect_list(item)))
     whole = F.concat(F.lit("Here is the list [as asked]:\n"), array, F.lit("\nDone."))
-    cut = F.concat(F.expr("substr(body, 1, length(body) - 40)"), F.lit("}]"))
-    grouped = stock_sectors(spark, sf_dir).groupBy(batch.alias("batch_id")).agg(
-        whole.alias("body")
+    grouped = (
+        all_sectors(spark, sf_dir).groupBy(batch.alias("batch_id")).agg(array.alias("list"), whole.alias("body"))
     )
+    kind = F.col("batch_id")
     reply = (
-        F.when(F.col("batch_id") % 7 == 6, F.lit("I cannot answer that."))
-        .when(F.col("batch_id") % 11 == 10, cut)
+        F.when(kind % 7 == 6, F.lit("I cannot answer that."))
+        .when(kind % 11 == 10, F.concat(F.expr("substr(body, 1, length(body) - 40)"), F.lit("}]")))
+        .when(kind % 13 == 12, F.concat("list", F.lit(" and "), "list"))
+        .when(kind % 17 == 16, F.translate("list", '"', "'"))
         .otherwise(F.col("body"))
     )
     return grouped.select("batch_id", reply.alias("reply"))
@@ -151,26 +163,33 @@ def intended_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response per order, with the time of its request, and a broker's or another error's message."""
     status, key = F.col("o_orderstatus"), F.col("o_orderkey")
     success = (
         F.when(status == "F", F.lit(True))
         .when(status == "O", F.lit(False))
         .when(key % 2 == 0, F.lit(False))
     )
-    order_id = F.when(status == "F", F.concat(F.lit("R"), key.cast("string")))
     message = (
         F.when(status == "F", F.concat(F.lit("Order placed [ID] "), key.cast("string")))
         .when(status == "O", F.lit("AMO orders cannot be placed now. [code]"))
-        .when(key % 2 == 0, F.lit("Insufficient funds [margin]"))
+        .when(key % 4 == 0, F.lit("Insufficient funds [margin]"))
+        .when(key % 4 == 2, F.lit("KeyError: ['ltp'] missing"))
         .otherwise(F.lit("[no record]"))
     )
+    refused = (status == "O") | ((status != "F") & (key % 4 == 0))
     return table(spark, sf_dir, "orders").select(
-        F.concat_ws("-", F.lit("U"), F.col("o_custkey").cast("string"), key.cast("string")).alias(
-            "tradingsymbol"
-        ),
+        F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("tradingsymbol"),
+        key.alias("response_no"),
         success.alias("success"),
-        order_id.alias("order_id"),
+        F.when(status == "F", F.concat(F.lit("R"), key.cast("string"))).alias("order_id"),
         message.alias("message"),
+        F.when(refused, F.lit("broker")).alias("error_kind"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("requested_at"),
+        F.when(status == "F", (key % 3).cast("int")).alias("filled_quantity"),
+        F.when((status == "F") & (key % 3 > 0), F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias(
+            "average_price"
+        ),
     )
 
 

@@ -1,4 +1,4 @@
-"""Incremental load as a stream: landed tick or bar files, one pass over what is new."""
+"""Incremental load as a stream: landed tick files, one pass over what is new, however they split days."""
 
 from __future__ import annotations
 
@@ -6,9 +6,17 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.operators.ingest import append_new_bars
+from barloom.operators.ingest import (
+    ingest_new_bars,
+    ingest_plan,
+    ingest_watermark,
+    merged_bars,
+    partial_bars,
+)
+from barloom.session import cut_lineage
 from barloom.sources.store import TableStore
 
 
@@ -16,7 +24,7 @@ def ingest_stream(
     spark: SparkSession,
     source: str,
     schema: T.StructType,
-    to_bars: Callable[[DataFrame], DataFrame],
+    to_ticks: Callable[[DataFrame], DataFrame],
     store: TableStore,
     stock_list: DataFrame,
     as_of: date,
@@ -24,29 +32,44 @@ def ingest_stream(
     file_glob: str | None = None,
     files_per_batch: int | None = None,
     min_new_bars: int = 1,
+    open_days: int = 0,
 ) -> None:
-    """Append the new bars of the files under ``source`` to ``stock_timeseries``, then stop.
+    """Take in the tick files under ``source`` that are new, append the new bars, then stop.
 
-    Each micro-batch re-reads the high-watermark per symbol, so a batch replayed after a failure and a
-    late bar (not after the stored maximum) both add nothing. ``to_bars`` turns a batch of source
-    rows into bars; a day's ticks must therefore arrive in one batch.
+    A micro-batch is reduced to partial bars and written under its own number, so a batch that is replayed
+    overwrites what it wrote before. When all files are in, the partial bars of all runs are merged: a day may be
+    split over files, batches and runs, in any order. Days before ``as_of`` less ``open_days`` are published
+    to ``stock_timeseries``; younger ones stay open for the next run. Ticks of this run for a day that its
+    symbol has already passed change no bar; their bars go to ``late_bars`` instead.
     """
+    parts = f"{checkpoint.rstrip('/')}-parts"
     reader = spark.readStream.schema(schema)
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    written: list[str] = []
 
-    def load(batch: DataFrame, _batch_id: int) -> None:
-        # the batch has a session of its own; its tables are the same
-        target = TableStore(batch.sparkSession, store.database)
-        append_new_bars(target, to_bars(batch), stock_list, as_of, min_new_bars)
+    def reduce_batch(batch: DataFrame, batch_id: int) -> None:
+        path = f"{parts}/batch={batch_id}"
+        partial_bars(to_ticks(batch)).write.mode("overwrite").parquet(path)
+        written.append(path)
 
     query = (
         reader.parquet(source)
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(load)
+        .foreachBatch(reduce_batch)
         .start()
     )
     query.awaitTermination()
+    if written:
+        known = cut_lineage(ingest_watermark(store.read("stock_timeseries")), "watermarks")
+        fresh = merged_bars(spark.read.parquet(*written))
+        late = fresh.join(known, "tradingsymbol").filter(F.col("date") <= F.col("max_date")).drop("max_date")
+        store.append("late_bars", late.withColumn("Date_Update", F.lit(as_of)))
+        bars = merged_bars(spark.read.option("basePath", parts).parquet(f"{parts}/batch=*"))
+        closed = F.col("date") <= F.date_sub(F.lit(as_of), open_days)
+        # the plan is read from the table appended to, so it is fixed before the append starts
+        plan = cut_lineage(ingest_plan(stock_list, store.read("stock_timeseries"), as_of), "plan")
+        store.append("stock_timeseries", ingest_new_bars(bars.filter(closed), plan, min_new_bars))

@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -34,7 +35,7 @@ HEADLINE = [
     "lexicon_sentiment",
     "order_ledger",
     "market_session",
-    "daily_selection",
+    "daily_pipeline",
 ]
 
 
@@ -55,6 +56,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"),
         spark__ui__enabled="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"),
         spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")

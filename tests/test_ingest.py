@@ -77,34 +77,98 @@ def test_minimum_of_new_bars(spark, store):
     assert sorted(s for s, _ in stored(store)) == ["A"] * 5 + ["B"] * 7
 
 
-def test_stream_equals_batch_and_ignores_late_bars(spark, store, tmp_path):
-    source, state = str(tmp_path / "landed"), str(tmp_path / "state")
-    bars = bars_frame(spark, bar_rows("A", [1.0] * 20), bar_rows("X", [2.0] * 20))
-    universe = symbols(spark, "A")
+def day_ticks(*rows):
+    """(symbol, day, hour, tick_id, price) as ticks of one share each."""
+    return [(s, dt.datetime(2024, 1, d, h), n, float(p), 1) for s, d, h, n, p in rows]
 
-    def land(condition):
-        bars.filter(condition).coalesce(1).write.mode("append").parquet(source)
-        ingest_stream(
-            spark, source, bars.schema, lambda b: b, store, universe, AS_OF, state
-        )
-
-    land("date <= '2024-01-05'")
-    assert len(stored(store)) == 5
-    land("date between '2024-01-04' and '2024-01-09'")
-    assert store.read("stock_timeseries").count() == 9
-    land("date = '2024-01-02'")
-    assert store.read("stock_timeseries").count() == 9
-    land("date > '2024-01-09'")
-    assert store.read("stock_timeseries").count() == 20
+
+FILES = [
+    day_ticks(("A", 4, 9, 1, 10), ("A", 5, 9, 2, 11), ("B", 5, 9, 3, 5)),
+    day_ticks(("A", 5, 15, 4, 20), ("A", 3, 9, 5, 7), ("X", 3, 9, 6, 1)),
+    day_ticks(("A", 5, 12, 7, 30), ("B", 4, 9, 8, 6), ("A", 4, 8, 9, 2)),
+]
+
+
+def land(spark, source, ticks):
+    spark.createDataFrame(ticks, TICKS).coalesce(1).write.mode("append").parquet(source)
+
+
+def stream(spark, store, source, state, as_of=AS_OF, **options):
+    ingest_stream(
+        spark, source, TICKS, lambda batch: batch, store, symbols(spark, "A", "B"), as_of, state, **options
+    )
+
+
+def bar_set(store, table="stock_timeseries"):
+    names = ["tradingsymbol", "date", "open", "high", "low", "close", "volume"]
+    return {tuple(r) for r in store.read(table).select(*names).collect()}
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+@pytest.mark.parametrize("files_per_batch", [1, 2, None])
+def test_stream_of_split_days_equals_batch(spark, store, tmp_path, order, files_per_batch):
+    source = str(tmp_path / "landed")
+    for n in order:
+        land(spark, source, FILES[n])
+    stream(spark, store, source, str(tmp_path / "state"), files_per_batch=files_per_batch)
+    ticks = spark.createDataFrame([t for rows in FILES for t in rows if t[0] != "X"], TICKS)
+    names = ["tradingsymbol", "date", "open", "high", "low", "close", "volume"]
+    whole = {tuple(r) for r in ingest.daily_bars(ticks).select(*names).collect()}
+    assert bar_set(store) == whole and len(whole) == 5
+    assert bar_set(store, "late_bars") == set()
+
+
+def test_open_days_wait_and_passed_days_go_to_late_bars(spark, store, tmp_path):
+    source, state = str(tmp_path / "landed"), str(tmp_path / "state")
+    land(spark, source, FILES[0])
+    stream(spark, store, source, state, dt.date(2024, 1, 5), open_days=1)
+    assert {(s, d.day) for s, d in stored(store)} == {("A", 4)}
+    land(spark, source, FILES[1])
+    stream(spark, store, source, state, dt.date(2024, 1, 6), open_days=1)
+    assert ("A", dt.date(2024, 1, 5), 11.0, 20.0, 11.0, 20.0, 2) in bar_set(store)
+    assert {(b[0], b[1].day) for b in bar_set(store, "late_bars")} == {("A", 3)}
+    before = bar_set(store)
+    land(spark, source, FILES[2])
+    stream(spark, store, source, state, dt.date(2024, 1, 7))
+    assert bar_set(store) == before
+    assert {(b[0], b[1].day) for b in bar_set(store, "late_bars")} == {("A", 3), ("A", 4), ("A", 5), ("B", 4)}
 
 
 def test_restarted_stream_from_scratch_adds_nothing(spark, store, tmp_path):
     source = str(tmp_path / "landed")
-    bars = bars_frame(spark, bar_rows("A", [1.0] * 8))
-    bars.coalesce(1).write.parquet(source)
+    land(spark, source, FILES[0])
     for run in ("one", "two"):
-        state = str(tmp_path / run)
-        ingest_stream(
-            spark, source, bars.schema, lambda b: b, store, symbols(spark, "A"), AS_OF, state
-        )
-    assert store.read("stock_timeseries").count() == 8
+        stream(spark, store, source, str(tmp_path / run))
+    assert store.read("stock_timeseries").count() == 3
+
+
+def test_ticks_are_cut_by_time_in_the_scan(spark, tmp_path):
+    path = str(tmp_path / "ticks")
+    land(spark, path, [t for rows in FILES for t in rows])
+    ticks = spark.read.schema(TICKS).parquet(path)
+    have = bars_frame(spark, bar_rows("A", [1.0] * 4))
+    plan = ingest.ingest_plan(symbols(spark, "A", "B"), have, AS_OF)
+    cut = ingest.planned_ticks(ticks, plan, AS_OF)
+    text = cut._jdf.queryExecution().executedPlan().toString()
+    assert text.count("GreaterThanOrEqual(ts,") == 2 and text.count("LessThan(ts,") == 2
+    new = ingest.ingest_new_bars(ingest.daily_bars(cut), plan)
+    whole = ingest.ingest_new_bars(ingest.daily_bars(ticks), plan)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_interval_bars(spark):
+    ticks = spark.createDataFrame(FILES[0] + FILES[2], TICKS)
+    starts = {
+        name: {r["start"] for r in ingest.interval_bars(ticks, name).filter("tradingsymbol = 'A'").collect()}
+        for name in ingest.INTERVALS
+    }
+    assert starts["60minute"] == starts["15minute"] == starts["minute"] == {
+        dt.datetime(2024, 1, d, h) for d, h in ((4, 9), (4, 8), (5, 9), (5, 12))
+    }
+    assert starts["day"] == {dt.datetime(2024, 1, 4), dt.datetime(2024, 1, 5)}
+    assert starts["week"] == {dt.datetime(2024, 1, 1)}
+
+
+def test_ticks_without_a_price_make_no_bar(spark):
+    ticks = spark.createDataFrame([("A", dt.datetime(2024, 1, 1), 1, None, 1), *FILES[0]], TICKS)
+    assert {(r["tradingsymbol"], r["date"].day) for r in ingest.daily_bars(ticks).collect()} == {("A", 4), ("A", 5), ("B", 5)}

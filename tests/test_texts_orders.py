@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import round_half_even
 from barloom.operators import market, news, orders, scoring, sectors, universe
 from barloom.schemas import INSTRUMENTS, NEWS
-from barloom.sources.readers import jdbc_options, read_instruments
+from barloom.sources.readers import jdbc_options, read_instruments, read_jdbc
 
 NOW = dt.datetime(2024, 1, 30, 12)
 
@@ -142,7 +142,7 @@ def test_news(spark):
     assert kept[0]["article_time"].tzinfo is None
     minutes = news.news_recency(items, NOW, include_minutes=True).filter("name = 'N'").collect()
     assert sorted(r["item_no"] for r in minutes) == [0, 2, 4]
-    recent = news.lexicon_sentiment(news.news_recency(items, NOW), {"the": 1.0, "and": -2.0})
+    recent = news.lexicon_sentiment(news.news_recency(items, NOW), news.lexicon_table(spark, {"the": 1.0, "and": -2.0}))
     summary = {r["name"]: r for r in news.sentiment_summary(items, recent).collect()}
     assert summary["N"]["avg_sentiment"] == 0.25 and summary["N"]["n_items"] == 2
     assert summary["HOT"]["avg_sentiment"] == -0.46 and summary["HOT"]["n_items"] == 50
@@ -152,16 +152,39 @@ def test_news(spark):
 def test_sentiment_reads_whole_texts(spark):
     text = "word " * 50_000 + "good"
     items = spark.createDataFrame([("N", 1, "t", text, ""), ("N", 2, None, None, "")], NEWS)
-    got = news.lexicon_sentiment(items, {"good": 1.0}).orderBy("item_no").collect()
+    got = news.lexicon_sentiment(items, news.lexicon_table(spark, {"good": 1.0})).orderBy("item_no").collect()
     assert [(r["n_hits"], r["sentiment"]) for r in got] == [(1, 0.25), (0, 0.0)]
 
 
-def test_sentiment_with_a_large_lexicon(spark, monkeypatch):
-    items = spark.createDataFrame([("N", 1, "good good bad", "fine", "")], NEWS)
-    lexicon = {"good": 1.5, "bad": -1.0}
-    one = news.lexicon_sentiment(items, lexicon).collect()
-    monkeypatch.setattr(news, "BROADCAST_WORDS", 0)
-    assert news.lexicon_sentiment(items, lexicon).collect() == one
+def test_sentiment_with_a_lexicon_too_large_to_broadcast(spark):
+    """No join key has all of a common word's rows: each word stands under a salt of its item."""
+    texts = [("N", i, "good good bad Größe", "fine", "") for i in range(40)]
+    items = spark.createDataFrame(texts, NEWS)
+    lexicon = news.lexicon_table(spark, {"good": 1.5, "bad": -1.0, "größe": 0.25})
+    one = {(r["item_no"], r["n_hits"], r["sentiment"]) for r in news.lexicon_sentiment(items, lexicon).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = news.lexicon_sentiment(items, lexicon)
+        assert "_salt" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert {(r["item_no"], r["n_hits"], r["sentiment"]) for r in shuffled.collect()} == one
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {n for _, n, _ in one} == {4}
+
+
+def test_ages_split_at_any_white_space(spark):
+    ages = ["  3 hours ago", "3\thours ago", "\n1  day ago", "many hours ago", ""]
+    items = spark.createDataFrame([("N", i, "t", "d", a) for i, a in enumerate(ages)], NEWS)
+    assert sorted(r["item_no"] for r in news.news_recency(items, NOW).collect()) == [0, 1, 2]
+
+
+def test_replies_must_be_one_array(spark):
+    one = '[{"tradingsymbol": "A", "name": "n", "sector": "Metals"}]'
+    texts = [one, f"see {one}.", f"{one} and {one}", one.replace('"', "'"), one[:-9] + "]", "none", None]
+    replies = spark.createDataFrame(list(enumerate(texts)), "batch_id int, reply string")
+    assert sorted(r["batch_id"] for r in sectors.rejected_replies(replies).collect()) == [2, 3, 4, 5, 6]
+    assert sectors.sector_replies(replies, DAY0).count() == 2
 
 
 def test_order_intents(spark):
@@ -183,15 +206,18 @@ def test_order_intents(spark):
 def test_ledger(spark, store):
     responses = spark.createDataFrame(
         [
-            ("A", True, "1", "placed [x]"),
-            ("B", False, None, " AMO orders cannot be placed now. [code]"),
-            ("C", False, None, "no funds"),
-            ("D", None, None, "[1, 2]"),
+            ("A", True, "1", "placed [x]", None),
+            ("B", False, None, " AMO orders cannot be placed now. [code]", "broker"),
+            ("C", False, None, "KeyError: ['ltp'] missing", "other"),
+            ("D", None, None, "[1, 2]", None),
+            ("D", None, None, "[1, 2]", None),
         ],
-        "tradingsymbol string, success boolean, order_id string, message string",
+        "tradingsymbol string, success boolean, order_id string, message string, error_kind string",
     )
     ledger = orders.order_ledger(responses, NOW)
     got = {r["tradingsymbol"]: r for r in ledger.collect()}
+    assert ledger.count() == 4
+    assert got["C"]["broker_message"] == "KeyError: ['ltp'] missing"
     assert (got["A"]["status"], got["A"]["broker_message"]) == ("SUCCESS", "placed [x]")
     assert got["B"]["broker_message"] == "AMO orders cannot be placed now."
     assert [got[s]["amo_refused"] for s in "ABCD"] == [False, True, False, False]
@@ -207,12 +233,37 @@ def test_ledger(spark, store):
     assert left.count() == 0
 
 
+def test_ledger_keeps_what_a_response_carries(spark):
+    at = [dt.datetime(2024, 1, 1, 9, i) for i in range(2)]
+    rows = [("A", True, "1", "ok", at[0], 3, "9.5", "x"), ("A", True, "1", "ok", at[0], 3, "9.5", "y"), ("A", True, "2", "ok", at[1], None, None, "x")]
+    responses = spark.createDataFrame(
+        rows,
+        "tradingsymbol string, success boolean, order_id string, message string, requested_at timestamp_ntz, "
+        "filled_quantity int, average_price string, response_no string",
+    )
+    got = orders.order_ledger(responses, NOW).collect()
+    assert len({r["id"] for r in got}) == 3
+    assert sorted((r["requested_at"], r["filled_quantity"] or 0, r["average_price"] or "") for r in got) == [
+        (at[0], 3, "9.5"), (at[0], 3, "9.5"), (at[1], 0, ""),
+    ]
+
+
+def test_one_intent_per_pick_from_the_newest_quote(spark):
+    quotes = spark.createDataFrame(
+        [("A", 10.0, 1), ("A", 12.0, 3), ("A", 11.0, 2)], "tradingsymbol string, last_price double, quoted_at int"
+    )
+    none = spark.createDataFrame([], "tradingsymbol string, requested_at timestamp_ntz")
+    rows = orders.order_intents(quotes.select("tradingsymbol"), quotes, none, DAY0).collect()
+    assert [r["last_price"] for r in rows] == [12.0]
+
+
 def test_holdings_show_present_columns(spark):
     rows = spark.createDataFrame(
         [("A", 2, 1.005, "x", 9.0)],
         "tradingsymbol string, quantity int, average_price double, other string, pnl double",
     )
-    view = orders.holdings_view(rows)
+    assert tuple(orders.holdings_view(rows).first()) == ("A", 2, 1.005, 9.0)
+    view = orders.holdings_view(rows, places=2)
     assert view.columns == ["tradingsymbol", "quantity", "average_price", "pnl"]
     assert tuple(view.first()) == ("A", 2, 1.0, 9.0)
 
@@ -238,3 +289,5 @@ def test_jdbc_options():
     options = jdbc_options("jdbc:x", "bars", "id", 0, 100, 8)
     assert options["numPartitions"] == "8" and options["partitionColumn"] == "id"
     assert "partitionColumn" not in jdbc_options("jdbc:x", "bars")
+    with pytest.raises(ValueError):
+        read_jdbc(None, "jdbc:x", "bars")
