@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import col, cut_lineage
@@ -20,11 +20,12 @@ PERCENT = 75
 REGISTERS = 128
 BAND_REGISTERS = 4
 MANTISSA_BITS = 10
-#: Five standard deviations of the estimate below the threshold.
-PLAUSIBLE = PERCENT / 100 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: Members of a bucket that are compared with all others in one round, and members per comparing row.
-PIVOTS = 64
-BLOCK = 128
+#: Four standard deviations of the estimate below the threshold.
+PLAUSIBLE = PERCENT / 100 - 4 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
+#: Shingles of the members, and of those they are compared with, that one row of a bucket holds.
+BLOCK_SHINGLES = 65_536
+#: Smaller sets are similar enough only to their equals.
+LEAST_SHINGLES = -(-PERCENT // (100 - PERCENT))
 #: Bytes and words hashed at a time, which bounds a task's memory.
 CHUNK_BYTES = 2_000_000
 SLICE_WORDS = 100_000
@@ -182,11 +183,11 @@ def _sets_of(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, node) for each band of each class."""
+    """(key, band, node) for each band of each class that can be linked at all."""
     width = 2 * BAND_REGISTERS
     numbers = F.array(*[F.lit(i) for i in range(REGISTERS // BAND_REGISTERS)])
     keys = F.transform(numbers, lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))))
-    return classes.select("node", F.explode(keys).alias("key"))
+    return classes.filter(F.col("n") >= LEAST_SHINGLES).select("node", F.posexplode(keys).alias("band", "key"))
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -260,91 +261,142 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _relabelled(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Roots after ``edges`` between nodes have joined some of them."""
-    named = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    other = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    joined = edges.join(named, "a").join(other, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    merged = components(joined).select(F.col("node").alias("root"), F.col("root").alias("new"))
-    return cut_lineage(
-        roots.join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots"
-    )
-
-
-def _open_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, asked: DataFrame | None):
-    """Pivots of this round and the plausible pairs they make, and whether some bucket has pivots left.
-
-    A bucket is open while its members have different roots. Whoever is outside its largest component must
-    meet all members of other roots: PIVOTS of them a round, block by block, so a bucket of any size is
-    worked through in rows of bounded size and only plausible pairs leave them.
+def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) of every class to at most two others: of two hubs that each bucket has, those
+    that it shares most bands with. Work is linear in the members of a bucket."""
+    second = F.xxhash64("node")
+    hubs = members.groupBy("key").agg(F.min("node").alias("first"), F.min_by("node", second).alias("second"))
+    pairs = None
+    for hub in ("first", "second"):
+        met = members.join(hubs.select("key", F.col(hub).alias("hub")), "key").filter("node <> hub")
+        shared = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("bands"))
+        best = shared.groupBy("node").agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("hub"))
+        found = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return _verified(pairs.distinct(), sets, PERCENT)
+
+
+def _star_roots(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root): nodes with one root are connected; connected nodes need not have one root yet."""
+    nodes = members.select("node").distinct()
+    least = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    once = nodes.join(least, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    upper = once.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return once.join(upper, "root").select("node", F.col("top").alias("root"))
+
+
+def _bucket_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between members of a bucket that have different roots.
+
+    Whoever is outside a bucket's largest root meets all its members. Both sides come in blocks of about
+    BLOCK_SHINGLES, so a bucket of any size is a number of rows of bounded size, and only links leave them.
+    A pair is looked at in the first band it shares alone.
     """
-    rooted = members.join(roots, "node")
-    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    opened = (
-        sizes.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("m"))
-        .filter("roots > 1")
+    rooted = cut_lineage(members.join(roots, "node").join(classes.select("node", "n"), "node"), "rooted-members")
+    marks = {"low": F.min, "high": F.max, "mark": F.bit_xor, "other_mark": F.bit_xor}
+    marked = rooted.withColumns(
+        {"low": F.col("node"), "high": F.col("node"), "mark": F.xxhash64("node"), "other_mark": F.xxhash64("node", F.lit(1))}
     )
-    inside = cut_lineage(rooted.join(opened, "key").select("key", "node", "root", "major", "m"), "open-buckets")
-    outside = inside.filter("root <> major")
-    if asked is not None:
-        outside = outside.join(asked, ["key", "node"], "left_anti")
-    order = Window.partitionBy("key").orderBy("node")
-    chosen = cut_lineage(
-        outside.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS + 1), "pivots"
+    sizes = marked.groupBy("key", "band", "root").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.sum("n").alias("n"),
+        *[summary(name).alias(name) for name, summary in marks.items()],
     )
-    more = chosen.filter(F.col("place") > PIVOTS).limit(1).count() > 0
-    pivots = chosen.filter(F.col("place") <= PIVOTS).select("key", "node")
-    held = F.struct("node", "root", "n", "registers")
-    signed = classes.select("node", "n", "registers")
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))
-    blocks = (
-        inside.join(signed, "node").groupBy("key", block.alias("block")).agg(F.collect_list(held).alias("members"))
+    opened = (
+        sizes.groupBy("key", "band")
+        .agg(
+            F.max_by("root", F.struct("members", "root")).alias("major"),
+            F.max_by("n", F.struct("members", "root")).alias("major_n"),
+            F.sum("n").alias("all_n"),
+            F.sum("members").alias("size"),
+            F.count(F.lit(1)).alias("roots"),
+            *[summary(name).alias(name) for name, summary in marks.items()],
+        )
+        .filter("roots > 1")
+        # of buckets with the same members the one of the first band is enough: it is where their pairs are looked at
+        .groupBy("size", *marks)
+        .agg(F.min(F.struct("band", "key", "major", "major_n", "all_n")).alias("bucket"))
+        .select("bucket.key", "bucket.major", "bucket.major_n", "bucket.all_n")
     )
-    asking = (
-        chosen.filter(F.col("place") <= PIVOTS).join(signed, "node").groupBy("key").agg(F.collect_list(held).alias("pivots"))
+    held = F.struct("node", "root", "n", "registers", "shingles")
+    whole = classes.select("node", "registers").join(sets, "node")
+    inside = rooted.join(opened, "key").join(whole, "node")
+    outside = rooted.join(opened, "key").filter("root <> major").join(whole, "node")
+
+    def blocks(rows: DataFrame, n: Column, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK_SHINGLES))
+        return rows.groupBy("key", "band", block.alias(f"{name}_block")).agg(F.collect_list(held).alias(name))
+
+    met = blocks(inside, F.col("all_n"), "members").join(
+        blocks(outside, F.col("all_n") - F.col("major_n"), "outsiders").drop("band"), "key"
     )
-    met = blocks.join(asking, "key").select("members", "pivots")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs: set[tuple[int, int]] = set()
+            found: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
-                pairs.update(_plausible(batch.column("pivots")[i].values, batch.column("members")[i].values))
-            found = sorted(pairs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"]
-            )
+                band = batch.column("band")[i].as_py()
+                sides = (_Side(batch.column(name)[i].values) for name in ("outsiders", "members"))
+                found += _links_between(*sides, band)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return pivots, met.mapInArrow(compare, "a long, b long").distinct(), more
+    return met.select("band", "outsiders", "members").mapInArrow(compare, "a long, b long")
 
 
-def _plausible(pivots: pa.StructArray, members: pa.StructArray) -> Iterator[tuple[int, int]]:
-    def read(rows: pa.StructArray):
-        columns = [rows.field(k).to_numpy(zero_copy_only=False) for k in ("node", "root", "n")]
-        values = b"".join(rows.field("registers").to_pylist())
-        return *columns, np.frombuffer(values, np.uint16).reshape(-1, REGISTERS)
+class _Side:
+    """One block of a bucket."""
 
-    nodes, roots, sizes, values = read(members)
-    for node, root, size, own in zip(*read(pivots)):
-        equal = (values == own).mean(axis=1)
-        for i in np.flatnonzero((roots != root) & (equal >= PLAUSIBLE)):
-            if _sizes_allow(int(size), int(sizes[i]), PERCENT) and (
-                estimated_jaccard(float(equal[i]), int(size), int(sizes[i])) >= PLAUSIBLE
-            ):
-                yield (node, nodes[i]) if node < nodes[i] else (nodes[i], node)
+    def __init__(self, rows: pa.StructArray):
+        self.nodes, self.roots, self.n = (
+            rows.field(k).to_numpy(zero_copy_only=False) for k in ("node", "root", "n")
+        )
+        values = b"".join(rows.field("registers").to_pylist())
+        self.registers = np.frombuffer(values, np.uint16).reshape(-1, REGISTERS)
+        self.shingles = rows.field("shingles")
+
+    def set_of(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.shingles[i].as_buffer(), np.uint64)
+
+
+def _links_between(outside: _Side, inside: _Side, band: int) -> list[tuple[int, int]]:
+    """Links that join different roots. Likelier pairs come first, and a pair whose roots a link of this
+    block has joined already adds nothing."""
+    joined: dict[int, int] = {}
+
+    def top(root: int) -> int:
+        while root in joined:
+            root = joined[root]
+        return root
+
+    links = []
+    for k, node in enumerate(outside.nodes):
+        equal = inside.registers == outside.registers[k]
+        share = equal.mean(axis=1)
+        first = equal.reshape(len(equal), -1, BAND_REGISTERS).all(axis=2).argmax(axis=1)
+        likely = np.flatnonzero((first == band) & (share >= PLAUSIBLE) & (inside.nodes != node))
+        n, own = int(outside.n[k]), None
+        for i in likely[np.argsort(-share[likely], kind="stable")]:
+            m = int(inside.n[i])
+            mine, other = top(int(outside.roots[k])), top(int(inside.roots[i]))
+            if mine == other or not _sizes_allow(n, m, PERCENT) or estimated_jaccard(share[i], n, m) < PLAUSIBLE:
+                continue
+            own = outside.set_of(k) if own is None else own
+            both = len(np.intersect1d(own, inside.set_of(i), assume_unique=True))
+            if 100 * both >= PERCENT * (n + m - both):
+                joined[mine] = other
+                links.append((int(node), int(inside.nodes[i])))
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id``, ``n_shingles``, ``component_id`` and ``kept``.
 
     Rows with equal shingle sets form a class, which is compared once. A class is signed with HyperMinHash
-    registers; classes that share a band of them meet in a bucket. In the first round every class is held
-    against the least class of the bucket mates it shares most bands with, so copies of one text
-    take one comparison each however many they are. Later rounds compare only what is still in different
-    components, in blocks, until every bucket is settled. Candidates pass a collision-corrected
-    estimate of their Jaccard similarity and are confirmed on their full shingle sets. ``component_id`` is the least id of
-    all documents reachable over confirmed links.
+    registers; classes that share a band of them meet in a bucket. First every class is held against two hubs
+    at most, so copies of one text take a comparison or two each however many they are. Then
+    members of a bucket that are not known to be connected are compared in blocks. Candidates pass a
+    collision-corrected estimate of their Jaccard similarity and are confirmed on their full shingle sets.
+    ``component_id`` is the least id of all documents reachable over confirmed links.
 
     A null, empty or white text has no shingles and is linked with nothing, not even its like. Null ids name no component:
     a row with one is kept only if its whole component has none. Rows that repeat an id are documents of their own; all
@@ -359,22 +411,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     classes = cut_lineage(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     bands = _bands(classes)
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader")).filter("m > 1")
-    members = cut_lineage(bands.join(buckets.select("key", "leader"), "key"), "bucket-members")
-    shared = members.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("bands"))
-    best = shared.groupBy("node").agg(F.max_by("leader", F.struct("bands", -F.col("leader"))).alias("leader"))
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = cut_lineage(bands.join(buckets.select("key"), "key"), "bucket-members")
     wanted = members.select("node").distinct().join(classes.select("node", "class", "first_id"), "node")
     sets = cut_lineage(_shingles_of(source, wanted), "shingle-sets")
-    links = _verified(best.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, PERCENT)
-    roots = members.select("node", F.col("node").alias("root")).distinct()
-    roots = _relabelled(roots, cut_lineage(links, "links"))
-    asked, more = None, True
-    while more:
-        pivots, pairs, more = _open_pairs(members, classes, roots, asked)
-        links = cut_lineage(_verified(pairs, sets, PERCENT), "links")
-        if not links.isEmpty():
-            roots = _relabelled(roots, links)
-        asked = pivots if asked is None else asked.unionByName(pivots)
+    stars = cut_lineage(_star_links(members, sets), "star-links")
+    rest = cut_lineage(_bucket_links(members, classes, sets, _star_roots(members, stars)), "bucket-links")
+    roots = components(stars.unionByName(rest))
     linked = classes.select("class", "node", "first_id").join(roots, "node", "left")
     linked = linked.select("class", "first_id", F.coalesce("root", "node").alias("root"))
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))

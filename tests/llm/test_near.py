@@ -55,9 +55,8 @@ def test_groups_chains_and_near_misses(spark):
 
 
 def test_one_large_group_of_near_copies(spark, monkeypatch):
-    """Buckets larger than a block and than one round's pivots."""
-    monkeypatch.setattr(H, "PIVOTS", 4)
-    monkeypatch.setattr(H, "BLOCK", 16)
+    """Buckets larger than a block."""
+    monkeypatch.setattr(H, "BLOCK_SHINGLES", 1500)
     base = prose(5, 120).split(" ")
     rng = np.random.default_rng(1)
     texts = []
