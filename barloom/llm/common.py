@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.session import cut_lineage, scratch_path
+from barloom import session
+from barloom.session import scratch_path
 
 __all__ = ["col", "cut_lineage", "label_fold", "partition_offsets", "scratch_path", "table"]
 
@@ -15,6 +16,28 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Spark's own setting for dropping the shuffle files of a query at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """As in ``session``; the shuffle files behind the written table go with the write.
+
+    Nothing reads them any more, but they would stay until the driver happens to collect its garbage, and an operator
+    of many steps would hold those of all its steps at once.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return session.cut_lineage(df, label)
+    finally:
+        if before is None:
+            conf.unset(SHUFFLE_CLEANUP)
+        else:
+            conf.set(SHUFFLE_CLEANUP, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
