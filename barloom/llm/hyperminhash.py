@@ -288,8 +288,8 @@ def _star_roots(members: DataFrame, links: DataFrame) -> DataFrame:
 def _bucket_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between members of a bucket that have different roots.
 
-    Whoever is outside a bucket's largest root meets all its members. Both sides come in blocks of about
-    BLOCK_SHINGLES, so a bucket of any size is a number of rows of bounded size, and only links leave them.
+    Whoever is outside a bucket's largest root meets all its members. A bucket of BLOCK_SHINGLES or fewer is one row;
+    of a larger one both sides come in blocks of about that size, so a bucket of any size is a number of rows of bounded size, and only links leave them.
     A pair is looked at in the first band it shares alone.
     """
     rooted = cut_lineage(members.join(roots, "node").join(classes.select("node", "n"), "node"), "rooted-members")
@@ -318,29 +318,55 @@ def _bucket_links(members: DataFrame, classes: DataFrame, sets: DataFrame, roots
         .agg(F.min(F.struct("band", "key", "major", "major_n", "all_n")).alias("bucket"))
         .select("bucket.key", "bucket.major", "bucket.major_n", "bucket.all_n")
     )
+    opened = cut_lineage(opened, "open-buckets")
     held = F.struct("node", "root", "n", "registers", "shingles")
     whole = classes.select("node", "registers").join(sets, "node")
     inside = rooted.join(opened, "key").join(whole, "node")
     outside = rooted.join(opened, "key").filter("root <> major").join(whole, "node")
 
+    # a bucket of one block is gathered once, its outsiders marked
+    outer = (F.col("root") != F.col("major")).alias("outer")
+    single = (
+        inside.filter(F.col("all_n") <= BLOCK_SHINGLES)
+        .groupBy("key", "band")
+        .agg(F.collect_list(F.struct("node", "root", "n", "registers", "shingles", outer)).alias("members"))
+    )
+
+    def compare_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _found(
+                (_Side(rows.filter(rows.field("outer"))), _Side(rows), band)
+                for band, rows in _rows_of(batch, "members")
+            )
+
     def blocks(rows: DataFrame, n: Column, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK_SHINGLES))
         return rows.groupBy("key", "band", block.alias(f"{name}_block")).agg(F.collect_list(held).alias(name))
 
-    met = blocks(inside, F.col("all_n"), "members").join(
-        blocks(outside, F.col("all_n") - F.col("major_n"), "outsiders").drop("band"), "key"
+    large = F.col("all_n") > BLOCK_SHINGLES
+    met = blocks(inside.filter(large), F.col("all_n"), "members").join(
+        blocks(outside.filter(large), F.col("all_n") - F.col("major_n"), "outsiders").drop("band"), "key"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for i in range(batch.num_rows):
-                band = batch.column("band")[i].as_py()
-                sides = (_Side(batch.column(name)[i].values) for name in ("outsiders", "members"))
-                found += _links_between(*sides, band)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return met.select("band", "outsiders", "members").mapInArrow(compare, "a long, b long")
+            yield _found(
+                (_Side(outsiders), _Side(members), band)
+                for (band, outsiders), (_, members) in zip(_rows_of(batch, "outsiders"), _rows_of(batch, "members"))
+            )
+
+    links = single.select("band", "members").mapInArrow(compare_single, "a long, b long")
+    return links.unionByName(met.select("band", "outsiders", "members").mapInArrow(compare, "a long, b long"))
+
+
+def _rows_of(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, pa.StructArray]]:
+    for i in range(batch.num_rows):
+        yield batch.column("band")[i].as_py(), batch.column(name)[i].values
+
+
+def _found(sides: Iterator[tuple[_Side, _Side, int]]) -> pa.RecordBatch:
+    links = [link for outside, inside, band in sides for link in _links_between(outside, inside, band)]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 class _Side:
