@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import pathlib
 import sys
@@ -8,16 +7,11 @@ import sys
 import pytest
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
-sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+sys.path[:0] = [str(ROOT), str(ROOT / "tests"), str(ROOT / "tests" / "llm")]
 
-from barloom.schemas import STOCK_TIMESERIES  # noqa: E402
 from barloom.session import get_session  # noqa: E402
 
 SF_DIR = os.environ.get("BARLOOM_TEST_SF_DIR", "/root/testdata/sf0.001")
-BAR_SCHEMA = (
-    "tradingsymbol string, date date, open double, high double, low double, close double, volume bigint"
-)
-DAY0 = dt.date(2024, 1, 1)
 
 
 @pytest.fixture(scope="session")
@@ -50,20 +44,3 @@ def store(spark, tmp_path):
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
-
-
-def bar_rows(symbol, closes, start=DAY0, volumes=None, step=1):
-    """Bars whose high and low straddle the close."""
-    rows = []
-    for i, close in enumerate(map(float, closes)):
-        volume = volumes[i] if volumes is not None else 100 + (i * 37) % 91
-        day = start + dt.timedelta(days=i * step)
-        rows.append((symbol, day, close, close + 1.0 + i % 3, close - 1.0, close, volume))
-    return rows
-
-
-def bars_frame(spark, *series):
-    return spark.createDataFrame([row for rows in series for row in rows], BAR_SCHEMA)
-
-
-assert set(STOCK_TIMESERIES.fieldNames()) == {c.split()[0] for c in BAR_SCHEMA.split(", ")}

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import bar_rows, bars_frame
+from frames import bar_rows, bars_frame
 from pyspark.sql import functions as F
 
 from barloom.functions import series

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import DAY0, bar_rows, bars_frame
+from frames import DAY0, bar_rows, bars_frame
 
 from barloom.operators import ingest
 from barloom.schemas import TICKS

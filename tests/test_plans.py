@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import bar_rows, bars_frame
+from frames import bar_rows, bars_frame
 
 from barloom.operators import indicators as ind
 from barloom.operators import selection

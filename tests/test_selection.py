@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import DAY0, bar_rows, bars_frame
+from frames import DAY0, bar_rows, bars_frame
 
 from barloom.operators import selection
 from barloom.operators.indicators import daily_returns

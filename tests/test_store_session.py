@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import bar_rows, bars_frame
+from frames import bar_rows, bars_frame
 
 from barloom.operators.scoring import ScoreRules
 from barloom.plans import daily

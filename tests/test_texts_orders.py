@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import DAY0
+from frames import DAY0
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import round_half_even
