@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from barloom.llm.queries import URL_RULES
+from barloom.llm.chat_format import LOSS_ROLE, TURN_END, TURN_START
+from barloom.llm.queries import CRAFTED_ID, CRAFTED_TEXT, URL_RULES
 from barloom.llm.secrets import BASE_KINDS, EXAMPLE_OWNERS, KINDS
 
 _RULES = ", ".join(f"('{r.pattern}', '{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
@@ -107,8 +108,31 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in BASE
 FROM docs LEFT JOIN told USING (n)
 """
 
+_CHAT_FORMAT = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES ({CRAFTED_ID}, 0, 'user', '{CRAFTED_TEXT}'),
+                     ({CRAFTED_ID}, 1, '{LOSS_ROLE}', '{CRAFTED_TEXT}')
+),
+sized AS (
+    SELECT *, {len(TURN_START) + 1 + len(TURN_END)}
+              + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))
+              + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'),
+                                      '<(\\*)\|', '<\1\\|', 'g')) AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = '{LOSS_ROLE}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text)
+                       FILTER (role = '{LOSS_ROLE}'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _URL_FILTER,
     "op2_secret_scan": _SECRETS,
     "op7_content_sort": _CONTENT_SORT,
+    "op11_chat_format": _CHAT_FORMAT,
 }

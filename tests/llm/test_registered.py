@@ -12,8 +12,8 @@ def con(sf_dir):
     return oracle.connect(sf_dir)
 
 
-def test_ten_queries():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+def test_queries_are_numbered():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 12))
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     assert oracle.differences(QUERIES[name](spark, sf_dir), con, ORACLES[name])[:5] == []
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op7_content_sort"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op7_content_sort", "op11_chat_format"])
 def test_native(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not [node for node in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop") if node in plan]
