@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom import session
 from barloom.session import scratch_path
 
-__all__ = ["col", "cut_lineage", "label_fold", "partition_offsets", "scratch_path", "table"]
+__all__ = ["col", "cut_lineage", "label_fold", "numbered", "partition_offsets", "scratch_path", "table"]
 
 
 def col(name: str) -> Column:
@@ -59,3 +59,21 @@ def partition_offsets(totals: DataFrame, part: str, amount: str) -> DataFrame:
         rows.append((int(row[0]), base))
         base += int(row[1])
     return spark.createDataFrame(rows, f"{part} int, base long")
+
+
+def numbered(rows: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The rows, written once, with a dense ``id`` from 1 on, and their number, at most 2^32 - 1."""
+    place = F.monotonically_increasing_id()
+    written = cut_lineage(rows.withColumn("_place", place), label)
+    part = F.shiftright("_place", 33).cast("int")
+    totals = written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    totals = cut_lineage(totals, f"{label}-totals")
+    number = totals.agg(F.sum("_rows")).first()[0] or 0
+    if number >= 1 << 32:
+        raise ValueError(f"{label}: more than 2^32 - 1 rows")
+    if not number:
+        return written.drop("_place").withColumn("id", F.lit(0).cast("long")), 0
+    bases = F.broadcast(partition_offsets(totals, "_part", "_rows"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    found = written.withColumn("_part", part).join(bases, "_part")
+    return found.withColumn("id", F.col("base") + within + 1).drop("_part", "_place", "base"), number

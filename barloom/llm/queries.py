@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from barloom.llm import (
     bestfit_pack,
     chat_format,
+    collocations,
     concat_pack,
     content_sort,
     hilbert_ann,
     hyperminhash,
+    lexical_search,
     quality_gam,
     secrets,
     toxicity,
@@ -192,6 +194,15 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(table(spark, sf_dir, "conversations"))
 
 
+def op12_phrase_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
@@ -204,4 +215,6 @@ QUERIES: dict[str, Query] = {
     "op9_hilbert_ann": op9_hilbert_ann,
     "op10_best_fit": op10_best_fit,
     "op11_chat_format": op11_chat_format,
+    "op12_phrase_trie": op12_phrase_trie,
+    "op13_term_pipeline": op13_term_pipeline,
 }

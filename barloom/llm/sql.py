@@ -130,9 +130,104 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _phrases(size: int) -> str:
+    """Counts of the phrases of one size; those that cross a piece are not formed."""
+    words = ", ".join(f"lead(word, {i}) OVER piece AS w{i}" for i in range(1, size))
+    text = " || ' ' || ".join(["word", *[f"w{i}" for i in range(1, size)]])
+    return f"""
+    SELECT lang, {text} AS phrase, count(*) AS f
+    FROM (SELECT lang, word{", " + words if words else ""} FROM words
+          WINDOW piece AS (PARTITION BY d, p ORDER BY i)) GROUP BY ALL"""
+
+
+_COLLOCATIONS = rf"""
+WITH pieces AS (
+    SELECT d, lang, unnest(parts) AS piece, unnest(range(len(parts))) AS p
+    FROM (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                 string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS parts FROM documents)
+),
+words AS (
+    SELECT d, lang, p, unnest(found) AS word, unnest(range(len(found))) AS i
+    FROM (SELECT *, regexp_extract_all(piece, '[^\x20\x09]+') AS found FROM pieces)
+),
+f1 AS ({_phrases(1)}), f2 AS ({_phrases(2)}), f3 AS ({_phrases(3)}),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+two AS (
+    SELECT x.lang, x.phrase, x.f AS a, p.f AS l, s.f AS r
+    FROM f2 x JOIN f1 p ON p.lang = x.lang AND p.phrase = split_part(x.phrase, ' ', 1)
+              JOIN f1 s ON s.lang = x.lang AND s.phrase = split_part(x.phrase, ' ', 2)
+    WHERE x.f >= 10
+),
+three AS (
+    SELECT x.lang, x.phrase, x.f AS a,
+           split_part(x.phrase, ' ', 1) || ' ' || split_part(x.phrase, ' ', 2) AS head,
+           split_part(x.phrase, ' ', 2) || ' ' || split_part(x.phrase, ' ', 3) AS tail
+    FROM f3 x WHERE x.f >= 10
+),
+around AS (
+    SELECT lang, part, max(a) AS a
+    FROM (SELECT lang, head AS part, a FROM three UNION ALL SELECT lang, tail, a FROM three) GROUP BY ALL
+),
+cuts AS (
+    SELECT lang, phrase, a, 1 AS k, l, r FROM two
+    WHERE NOT EXISTS (SELECT 1 FROM around g
+                      WHERE g.lang = two.lang AND g.part = two.phrase AND 100 * g.a >= 50 * two.a)
+    UNION ALL
+    SELECT t.lang, t.phrase, t.a, 1, p.f, s.f
+    FROM three t JOIN f1 p ON p.lang = t.lang AND p.phrase = split_part(t.phrase, ' ', 1)
+                 JOIN f2 s ON s.lang = t.lang AND s.phrase = t.tail
+    UNION ALL
+    SELECT t.lang, t.phrase, t.a, 2, p.f, s.f
+    FROM three t JOIN f2 p ON p.lang = t.lang AND p.phrase = t.head
+                 JOIN f1 s ON s.lang = t.lang AND s.phrase = split_part(t.phrase, ' ', 3)
+),
+scored AS (
+    SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+),
+weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+_LEXICAL = f"""
+WITH told AS (
+    SELECT d, doc_id, unnest(found) AS term, len(found) AS n
+    FROM (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_LOWER}, {_TERM}) AS found FROM documents)
+),
+size AS (SELECT count(DISTINCT d) AS docs, count(*) AS terms FROM told),
+postings AS (SELECT d, any_value(doc_id) AS doc_id, term, any_value(n) AS n, count(*) AS tf FROM told GROUP BY d, term),
+weighed AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM postings, size GROUP BY term
+),
+asked AS (
+    SELECT q, item_id, unnest(list_distinct(found)) AS term
+    FROM (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOWER}, {_TERM}) AS found FROM benchmark)
+),
+scored AS (
+    SELECT q, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN postings USING (term) JOIN weighed USING (term), size GROUP BY q, d
+)
+SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY q ORDER BY score DESC, doc_id)
+QUALIFY rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _URL_FILTER,
     "op2_secret_scan": _SECRETS,
     "op7_content_sort": _CONTENT_SORT,
     "op11_chat_format": _CHAT_FORMAT,
+    "op12_phrase_trie": _COLLOCATIONS,
+    "op13_term_pipeline": _LEXICAL,
 }
