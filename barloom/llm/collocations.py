@@ -39,7 +39,9 @@ TRIE_KEYS = 1 << 20
 TRIE_BYTES = 4 << 20
 #: So many bytes of text, or entries of counts, are worked on at a time.
 CHUNK_BYTES = 2 << 20
-CHUNK_ENTRIES = 1 << 22
+CHUNK_ENTRIES = 1 << 21
+#: Rows of a batch of counts.
+BATCH_ROWS = 1 << 16
 GROUPS = 64
 
 _SPACE = 0x20
@@ -69,18 +71,23 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     return zip(langs, batch.column("text").cast(pa.binary()).to_pylist())
 
 
+def _cut(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (rows.slice(at, BATCH_ROWS) for at in range(0, rows.num_rows, BATCH_ROWS))
+
+
 def _count_words(batches):
     counts: dict[str, Counter] = {}
 
     def told():
         for lang, words in counts.items():
-            yield pa.RecordBatch.from_pydict(
+            words = pa.RecordBatch.from_pydict(
                 {
                     "lang": pa.array([lang] * len(words), pa.string()),
                     "word": pa.array(list(words), pa.binary()).cast(pa.string()),
                     "n": pa.array(list(words.values()), pa.int64()),
                 }
             )
+            yield from _cut(words)
         counts.clear()
 
     for batch in batches:
@@ -226,7 +233,7 @@ def _sequences(batches, name: str):
         for ids in batch.column(name).to_pylist():
             waiting.append(ids)
             size += len(ids)
-            if size >= 4 * CHUNK_BYTES:
+            if size >= CHUNK_BYTES:
                 yield np.frombuffer(b"\0\0\0\0".join([*waiting, b""]), dtype="<u4")
                 waiting, size = [], 0
         if waiting:
@@ -242,7 +249,9 @@ def _follow(least: int):
         def told():
             codes, counts = np.unique(np.concatenate(held), return_counts=True)
             counts = np.minimum(counts, least)
-            yield pa.RecordBatch.from_pydict({"code": pa.array(codes.view(np.int64)), "n": pa.array(counts, pa.int64())})
+            yield from _cut(
+                pa.RecordBatch.from_pydict({"code": pa.array(codes.view(np.int64)), "n": pa.array(counts, pa.int64())})
+            )
 
         for ids in _sequences(batches, "ids"):
             both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
