@@ -26,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ TRIE_KEYS = 1 << 20
 TRIE_BYTES = 4 << 20
 #: So many bytes of text, or entries of counts, are worked on at a time.
 CHUNK_BYTES = 2 << 20
-CHUNK_ENTRIES = 1 << 21
+CHUNK_ENTRIES = 1 << 20
 #: Rows of a batch of counts.
 BATCH_ROWS = 1 << 16
 GROUPS = 64
@@ -71,6 +72,15 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     return zip(langs, batch.column("text").cast(pa.binary()).to_pylist())
 
 
+def _parts(batches, name: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose column ``name`` holds a chunk of bytes, or one row."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(name)).fill_null(0).to_numpy(zero_copy_only=False)
+        chunk = np.cumsum(sizes) // CHUNK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(low, high - low) for low, high in zip(cuts, cuts[1:]) if low < high)
+
+
 def _cut(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (rows.slice(at, BATCH_ROWS) for at in range(0, rows.num_rows, BATCH_ROWS))
 
@@ -90,12 +100,12 @@ def _count_words(batches):
             yield from _cut(words)
         counts.clear()
 
-    for batch in batches:
+    for batch in _parts(batches, "text"):
         for lang, text in _texts(batch):
             plain = text.translate(_PLAIN)
             for start, end in slices(plain):
                 counts.setdefault(lang, Counter()).update(plain[start:end].split())
-            if sum(map(len, counts.values())) > CHUNK_ENTRIES // 8:
+            if sum(map(len, counts.values())) > CHUNK_ENTRIES // 4:
                 yield from told()
     yield from told()
 
@@ -196,7 +206,7 @@ def _encoder(broadcast, keep_text: bool):
             if waiting:
                 yield from chunk(waiting)
 
-        for batch in batches:
+        for batch in _parts(batches, "text"):
             known = batch.column("ids").to_pylist()
             found = []
             for mine, before in zip(coded(_texts(batch)), known):
@@ -226,18 +236,9 @@ def _joined(text: bytes, ranges, code) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
 
 
-def _sequences(batches, name: str):
-    """Id sequences of many documents at a time, a zero after each."""
-    for batch in batches:
-        waiting, size = [], 0
-        for ids in batch.column(name).to_pylist():
-            waiting.append(ids)
-            size += len(ids)
-            if size >= CHUNK_BYTES:
-                yield np.frombuffer(b"\0\0\0\0".join([*waiting, b""]), dtype="<u4")
-                waiting, size = [], 0
-        if waiting:
-            yield np.frombuffer(b"\0\0\0\0".join([*waiting, b""]), dtype="<u4")
+def _sequence(batch: pa.RecordBatch) -> np.ndarray:
+    """The id sequences of the documents, a zero after each."""
+    return np.frombuffer(b"\0\0\0\0".join([*batch.column("ids").to_pylist(), b""]), dtype="<u4")
 
 
 def _follow(least: int):
@@ -253,7 +254,7 @@ def _follow(least: int):
                 pa.RecordBatch.from_pydict({"code": pa.array(codes.view(np.int64)), "n": pa.array(counts, pa.int64())})
             )
 
-        for ids in _sequences(batches, "ids"):
+        for ids in map(_sequence, _parts(batches, "ids")):
             both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
             held.append(ids[both].astype(np.uint64) << np.uint64(32) | ids[both + 1])
             size += both.size
@@ -290,19 +291,15 @@ def _advancer(broadcast, digits: int, keep_ids: bool, keep_found: bool):
             out[live] = numbers[leaves]
             return out
 
-        for batch in batches:
-            sequences = batch.column("ids").to_pylist()
+        for batch in _parts(batches, "ids"):
+            joined = found_in(_sequence(batch))
             if not keep_found:
-                for ids in _sequences([batch], "ids"):
-                    found_in(ids)
                 continue
-            out = []
-            at = 0
-            joined = [found_in(ids) for ids in _sequences([batch], "ids")]
-            joined = np.concatenate(joined) if joined else np.zeros(0, dtype=np.uint32)
-            for ids, before in zip(sequences, batch.column("found").to_pylist()):
-                mine = joined[at : at + len(ids) // 4]
-                at += len(ids) // 4 + 1
+            out, at = [], 0
+            sizes = pc.binary_length(batch.column("ids")).to_pylist()
+            for size, before in zip(sizes, batch.column("found").to_pylist()):
+                mine = joined[at : at + size // 4]
+                at += size // 4 + 1
                 if before is not None:
                     mine = np.maximum(mine, np.frombuffer(before, dtype="<u4"))
                 out.append(mine.astype("<u4", copy=False).tobytes())
