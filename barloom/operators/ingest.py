@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from barloom.sources.store import TableStore
 
 
+#: How far back a symbol without bars is loaded.
+FIRST_LOAD_MONTHS = 3
+
 #: Bar lengths by name, as the start of the bar that a time falls into.
 INTERVALS = {
     "minute": lambda ts: F.date_trunc("minute", ts),
@@ -51,17 +54,24 @@ def partial_bars(ticks: DataFrame) -> DataFrame:
     )
 
 
-def merged_bars(partial: DataFrame) -> DataFrame:
-    """Whole daily bars from any number of partial ones, in whatever order they came."""
+def merged_partials(partial: DataFrame) -> DataFrame:
+    """One partial bar per symbol and day from any number of them, in whatever order they came."""
     return partial.groupBy("tradingsymbol", "date").agg(
         F.min_by("open", "first_key").alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
         F.max_by("close", "last_key").alias("close"),
         F.sum("volume").alias("volume"),
+        F.min("first_key").alias("first_key"),
+        F.max("last_key").alias("last_key"),
     )
 
 
+def merged_bars(partial: DataFrame) -> DataFrame:
+    """Whole daily bars from any number of partial ones."""
+    return merged_partials(partial).drop("first_key", "last_key")
+
+
 def daily_bars(ticks: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Open, high, low, close and volume per symbol and day.
 
@@ -82,7 +92,7 @@ def ingest_watermark(stored: DataFrame) -> DataFrame:
 
 
 def ingest_plan(
-    stock_list: DataFrame, stored: DataFrame, as_of: date, first_load_months: int = 3
+    stock_list: DataFrame, stored: DataFrame, as_of: date, first_load_months: int = FIRST_LOAD_MONTHS
 ) -> DataFrame:
     """The date range to load per symbol of the universe; symbols that are up to date are left out."""
     today = F.lit(as_of)
@@ -115,7 +125,7 @@ def ingest_new_bars(bars: DataFrame, plan: DataFrame, min_new_bars: int = 1) ->
     return fresh.join(enough, "tradingsymbol", "left_semi")
 
 
-def planned_ticks(ticks: DataFrame, plan: DataFrame, as_of: date, first_load_months: int = 3) -> DataFrame:
+def planned_ticks(ticks: DataFrame, plan: DataFrame, as_of: date, first_load_months: int = FIRST_LOAD_MONTHS) -> DataFrame:
     """The ticks that can make a planned bar, cut by time before anything is aggregated.
 
     Symbols that have been loaded before need the days since the oldest of their watermarks; symbols without bars

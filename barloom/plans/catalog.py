@@ -137,6 +137,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> TableStore:
         views.SHORT_AS_OF,
         scratch_path(spark, "stream-state"),
         files_per_batch=1,
+        open_days=0,
     )
     return store
 
@@ -147,7 +148,7 @@ def ingest_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stream found for days that were stored before."""
-    return _streamed(spark, sf_dir).read("late_bars")
+    return _streamed(spark, sf_dir).read("late_bars").drop("stream", "run")
 
 
 def _stored_long(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,21 +115,28 @@ NEWS = _schema(
 )
 
 LATE_BARS = T.StructType(
-    [*[f for f in STOCK_TIMESERIES.fields if f.name != "date"], *_schema(("date", T.DateType()), ("Date_Update", T.DateType())).fields]
+    [*STOCK_TIMESERIES.fields, *_schema(("stream", _STRING), ("run", _LONG), ("Date_Update", _DATE)).fields]
 )
 
+#: What a stream has done: ``state`` is ``prepared`` or ``applied``, ``last_batch`` its newest batch then.
+STREAM_LOG = _schema(("stream", _STRING), ("run", _LONG), ("last_batch", _LONG), ("state", _STRING))
+
 SECTOR_REPLY_ITEMS = T.ArrayType(
     _schema(("tradingsymbol", _STRING), ("name", _STRING), ("sector", _STRING))
 )
 
-# table name -> (schema, partition columns); partition columns come last in the schema
+# table name -> (schema, partition columns); partition columns come last in the schema or are derived
 TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "stock_list": (STOCK_LIST, []),
-    "stock_timeseries": (STOCK_TIMESERIES, ["date"]),
+    "stock_timeseries": (STOCK_TIMESERIES, ["month"]),
     "late_bars": (LATE_BARS, ["Date_Update"]),
+    "stream_log": (STREAM_LOG, []),
     "stock_indicators": (STOCK_INDICATORS, []),
     "stock_scores": (STOCK_SCORES, ["Date_Update"]),
     "stock_sectors": (STOCK_SECTORS, []),
     "stock_short_buy": (STOCK_SHORT_BUY, ["Date_Update"]),
     "stock_intended_orders": (INTENDED_ORDERS, []),
 }
+
+# columns a table has beside its schema, which only lay it out: type and SQL
+DERIVED = {"stock_timeseries": {"month": ("date", "trunc(date, 'MM')")}}

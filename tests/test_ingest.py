@@ -129,11 +129,89 @@ def test_open_days_wait_and_passed_days_go_to_late_bars(spark, store, tmp_path):
     assert {(b[0], b[1].day) for b in bar_set(store, "late_bars")} == {("A", 3)}
     before = bar_set(store)
     land(spark, source, FILES[2])
-    stream(spark, store, source, state, dt.date(2024, 1, 7))
+    stream(spark, store, source, state, dt.date(2024, 1, 7), open_days=0)
     assert bar_set(store) == before
     assert {(b[0], b[1].day) for b in bar_set(store, "late_bars")} == {("A", 3), ("A", 4), ("A", 5), ("B", 4)}
 
 
+class Killed(Exception):
+    """Stands for the end of a driver."""
+
+
+def stops_at(monkeypatch, number):
+    """Every write of a table or of a run's folder counts; the one of this number does not come to pass."""
+    from pyspark.sql import DataFrameWriter
+
+    state = {"left": number}
+
+    def counted(write):
+        def run(*args, **given):
+            if state["left"] == 0:
+                raise Killed
+            state["left"] -= 1
+            return write(*args, **given)
+
+        return run
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted(DataFrameWriter.parquet))
+    monkeypatch.setattr(DataFrameWriter, "insertInto", counted(DataFrameWriter.insertInto))
+    return state
+
+
+def test_killed_runs_lose_and_repeat_nothing(spark, store, tmp_path):
+    """Run after run is killed before its first, second, ... write and then repeated: every day is published, every late
+    bar recorded once."""
+    source, state = str(tmp_path / "landed"), str(tmp_path / "state")
+
+    def ticks(day):
+        return day_ticks(("A", day, 9, 2 * day, float(day)), ("A", day - 2, 9, 2 * day + 1, 0.5))
+
+    land(spark, source, ticks(3))
+    stream(spark, store, source, state, dt.date(2024, 1, 4))
+    day, killed = 4, True
+    while killed:
+        land(spark, source, ticks(day))
+        with pytest.MonkeyPatch.context() as patch:
+            stops_at(patch, day - 4)
+            try:
+                stream(spark, store, source, state, dt.date(2024, 1, day + 1))
+                killed = False
+            except Exception:  # the stream wraps what its batches raise
+                stream_again = True
+        stream(spark, store, source, state, dt.date(2024, 1, day + 1))
+        day += 1
+    assert stream_again and day - 4 >= 9
+    bars = sorted((r["date"].day, r["close"]) for r in store.read("stock_timeseries").collect())
+    assert bars == [(1, 0.5)] + [(d, float(d)) for d in range(3, day)]
+    late = sorted((r["date"].day, r["close"]) for r in store.read("late_bars").collect())
+    assert late == [(d, 0.5) for d in range(2, day - 2)]
+
+
+def test_a_run_reads_new_and_open_parts_only(spark, store, tmp_path):
+    from barloom.sources import files
+    from barloom.streaming.ingest_stream import StreamLog
+
+    source, state = str(tmp_path / "landed"), str(tmp_path / "state")
+    log = StreamLog(store, state)
+    for n, day in enumerate((5, 6, 7, 8)):
+        if n < 3:
+            land(spark, source, FILES[n])
+        stream(spark, store, source, state, dt.date(2024, 1, day))
+        assert log.batches(-1) == [] and [name for name, _ in files.children(spark, log.runs)] == [f"run={n}"]
+    open_days = {(r["tradingsymbol"], r["date"].day) for r in log.partials([log.folder(3, "open")]).collect()}
+    assert all(symbol == "X" for symbol, _ in open_days)  # not in the list of stocks: waits
+    assert log.last() == (3, 2, True)
+
+
+def test_open_days_are_published_without_new_files(spark, store, tmp_path):
+    source, state = str(tmp_path / "landed"), str(tmp_path / "state")
+    land(spark, source, FILES[0])
+    stream(spark, store, source, state, dt.date(2024, 1, 5))
+    assert {d.day for _, d in stored(store)} == {4}
+    stream(spark, store, source, state, dt.date(2024, 1, 6))
+    assert {d.day for _, d in stored(store)} == {4, 5}
+
+
 def test_restarted_stream_from_scratch_adds_nothing(spark, store, tmp_path):
     source = str(tmp_path / "landed")
     land(spark, source, FILES[0])

@@ -5,10 +5,11 @@ import datetime as dt
 import numpy as np
 import pytest
 from frames import bar_rows, bars_frame
+from pyspark.sql import functions as F
 
 from barloom.operators.scoring import ScoreRules
 from barloom.plans import daily
-from barloom.schemas import INSTRUMENTS
+from barloom.schemas import INSTRUMENTS, STOCK_LIST, STOCK_TIMESERIES
 from barloom.session import cut_lineage, scratch_path
 
 AS_OF = dt.date(2024, 3, 31)
@@ -32,6 +33,70 @@ def test_missing_table_reads_as_empty(store):
     assert store.read("stock_sectors").count() == 0
 
 
+def listed(spark, *symbols):
+    rows = [(None, i, i, name, name, "EQ", "NSE", "NSE") for i, name in enumerate(symbols)]
+    return spark.createDataFrame(rows, STOCK_LIST)
+
+
+def broken(df):
+    """Fails while it is written, after some of its rows are out."""
+    return df.withColumn("name", F.when(F.col("tradingsymbol") == "C", F.raise_error(F.lit("cut"))).otherwise("x"))
+
+
+def names(df):
+    return sorted(r["tradingsymbol"] for r in df.collect())
+
+
+def test_a_failed_replace_leaves_the_old_rows(spark, store):
+    with pytest.raises(Exception, match="cut"):
+        store.replace("stock_list", broken(listed(spark, "C")))
+    assert names(store.read("stock_list")) == []
+    store.replace("stock_list", listed(spark, "A", "B"))
+    with pytest.raises(Exception, match="cut"):
+        store.replace("stock_list", broken(listed(spark, "B", "C").repartition(2)))
+    assert names(store.read("stock_list")) == ["A", "B"]
+
+
+def test_readers_keep_their_version_and_old_ones_go(spark, store):
+    store.replace("stock_list", listed(spark, "A", "B"))
+    early = store.read("stock_list")
+    store.replace("stock_list", store.read("stock_list").filter("tradingsymbol = 'A'"))  # from itself
+    assert names(early) == ["A", "B"] and names(store.read("stock_list")) == ["A"]
+    store.append("stock_list", listed(spark, "D"))
+    assert names(store.read("stock_list")) == ["A", "D"]
+    for name in "EFG":
+        store.replace("stock_list", listed(spark, name))
+    assert names(store.read("stock_list")) == ["G"] and len(store.versions("stock_list")) == 2
+
+
+def test_a_day_is_replaced_by_finished_rows_only(spark, store):
+    def scores(*rows):
+        return spark.createDataFrame(rows, "tradingsymbol string, score double, latest_close double")
+
+    day, other = dt.date(2024, 1, 2), dt.date(2024, 1, 3)
+    store.replace_day("stock_scores", scores(("A", 1.0, 1.0), ("B", 1.0, 1.0)), day)
+    store.replace_day("stock_scores", scores(("A", 3.0, 1.0)), other)
+    failing = scores(("C", 1.0, 1.0)).withColumn("score", F.raise_error(F.lit("cut")).cast("double"))
+    with pytest.raises(Exception, match="cut"):
+        store.replace_day("stock_scores", failing, day)
+    assert names(store.read("stock_scores")) == ["A", "A", "B"]
+    store.replace_day("stock_scores", scores(("B", 2.0, 1.0)), day)
+    assert names(store.read("stock_scores")) == ["A", "B"]
+    store.replace_day("stock_scores", scores(("Z", 1.0, 1.0)).limit(0), day)
+    assert [(r["tradingsymbol"], r["Date_Update"]) for r in store.read("stock_scores").collect()] == [("A", other)]
+
+
+def test_bars_are_read_by_month(spark, store):
+    store.append("stock_timeseries", bars_frame(spark, bar_rows("A", [1.0] * 100)))
+    assert store.read("stock_timeseries").columns == STOCK_TIMESERIES.fieldNames()
+    part = store.read("stock_timeseries", dt.date(2024, 2, 20), dt.date(2024, 3, 5))
+    assert part.count() == 15
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2024-02-01" in plan and "2024-03-01" in plan
+    files = {r[0].split("month=")[1][:7] for r in part.select(F.input_file_name()).distinct().collect()}
+    assert files == {"2024-02", "2024-03"}
+
+
 def instruments(spark, n):
     rows = [(i, i, f"S{i:02d}", f"Name {i}", "EQ", "NSE", "NSE") for i in range(n)]
     return spark.createDataFrame(rows, INSTRUMENTS)
