@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import ratio_change
 
 SYMBOL, DATE, POS = "tradingsymbol", "date", "pos"
-CHUNK, CONTEXT, TOTAL = "_chunk", "_context", "_n_rows"
+CHUNK, CONTEXT, TOTAL, OFFSET = "_chunk", "_context", "_n_rows", "_offset"
 
 CHUNK_ROWS = 1024
 
@@ -70,7 +70,7 @@ class SeriesFrame:
             merged = {name: value for part in columns for name, value in part.items()}
             if merged:
                 df = df.withColumns(merged)
-        return SeriesFrame(df, self.chunk_rows, self.chunked)
+        return replace(self, df=df)
 
     def previous(self, column: Column | str, rows: int = 1) -> Column:
         return F.lag(column, rows).over(self.window)
@@ -120,6 +120,19 @@ class SeriesFrame:
         return self.df.filter(self.own) if self.chunked else self.df
 
 
+@dataclass(frozen=True)
+class ExtensionFrame(SeriesFrame):
+    """New rows of each series behind the last rows of what is known of it; ``OFFSET`` counts the new ones."""
+
+    @property
+    def keys(self) -> list[str]:
+        return [SYMBOL]
+
+    @property
+    def offset(self) -> Column:
+        return F.col(OFFSET)
+
+
 def ema_decay(span: int) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 

@@ -38,6 +38,8 @@ FAST_SPAN, SLOW_SPAN, SIGNAL_SPAN = 12, 26, 9
 VOLUME_ROWS, WEEK_ROWS, MONTH_ROWS = 20, 5, 22
 
 HISTORY = MA_LONG - 1
+# the two averages behind MACD, as they stand after a row
+FAST_END, SLOW_END = "_fast_end", "_slow_end"
 
 
 # Each indicator is a list of steps: 0 looks at earlier rows, 1 combines them, 2 rolls or accumulates
@@ -194,6 +196,11 @@ def _complete(
     if frame.chunked:
         carry = _carries(numbered, frame.chunk_rows, obv, macd)
         rows = rows.join(carry, [SYMBOL, CHUNK], "left")
+    return with_carries(frame, rows, obv, macd)
+
+
+def with_carries(frame: SeriesFrame, rows: DataFrame, obv: bool = True, macd: bool = True) -> DataFrame:
+    """Add what ``_obv_carry`` and ``_macd_carry`` bring from before a chunk, decayed by the rows since."""
     if obv:
         extra = F.coalesce(F.col("_obv_carry"), F.lit(0.0)) if frame.chunked else F.lit(0.0)
         rows = rows.withColumns(
@@ -218,7 +225,9 @@ def _complete(
                 + _lagged_response(FAST_SPAN, steps) * carried("fast")
                 - _lagged_response(SLOW_SPAN, steps) * carried("slow")
             )
-        rows = rows.withColumns({"MACD": fast - slow, "MACD_signal": signal})
+        rows = rows.withColumns(
+            {"MACD": fast - slow, "MACD_signal": signal, FAST_END: fast, SLOW_END: slow}
+        )
     return rows
 
 
@@ -296,6 +305,19 @@ def price_changes(
     return _keep(bars, frame.rows(), "price_change_1w", "price_change_1m")
 
 
+def all_steps(frame: SeriesFrame) -> list[Steps]:
+    """The steps of all eleven indicators."""
+    return [
+        _moving_averages(frame),
+        _rsi(frame),
+        _atr(frame),
+        _local_macd(frame),
+        _local_obv(frame),
+        _liquidity_volatility(frame),
+        _price_changes(frame),
+    ]
+
+
 def indicator_history(
     bars: DataFrame, longest: int | None = None, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
@@ -309,16 +331,7 @@ def indicator_history(
         is_last = F.col(POS) == F.col(TOTAL) - 1
     else:
         is_last = F.lead(DATE).over(frame.window).isNull()
-    frame = frame.with_steps(
-        [{"is_last": is_last}],
-        _moving_averages(frame),
-        _rsi(frame),
-        _atr(frame),
-        _local_macd(frame),
-        _local_obv(frame),
-        _liquidity_volatility(frame),
-        _price_changes(frame),
-    )
+    frame = frame.with_steps([{"is_last": is_last}], *all_steps(frame))
     rows = _complete(frame, numbered, obv=True, macd=True)
     return _keep(bars, rows, *INDICATOR_COLUMNS, "previous_OBV", "is_last")
 

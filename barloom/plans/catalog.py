@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import indicators as ind
-from barloom.operators import ingest, market, news, orders, scoring, sectors, selection, universe
+from barloom.operators import incremental, ingest, market, news, orders, scoring, sectors, selection, universe
 from barloom.plans import daily
 from barloom.session import cut_lineage, scratch_path
 from barloom.sources import views
@@ -189,6 +189,29 @@ def latest_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ind.latest_bar(_stored_long(spark, sf_dir)))
 
 
+def _extended(spark: SparkSession, sf_dir: str) -> TableStore:
+    """The long bars, all but the last two days first, then day by day; one of the days is taken in twice."""
+    store = scratch_store(spark)
+    bars = _stored_long(spark, sf_dir)
+    newest = bars.agg(F.max("date")).first()[0]
+    days = [newest - timedelta(days=n) for n in (1, 1, 0)]
+    incremental.extend_indicators(store, bars.filter(F.col("date") < F.lit(days[0])))
+    for day in days:
+        incremental.extend_indicators(store, bars.filter(F.col("date") == F.lit(day)))
+    return store
+
+
+def indicators_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indicators as a history that was extended day by day."""
+    return rounded(_extended(spark, sf_dir).read("stock_indicators").withColumn("volume", F.col("volume").cast("double")))
+
+
+def latest_bar_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last bars as the daily extension keeps them."""
+    latest = incremental.maintained_latest(_extended(spark, sf_dir))
+    return rounded(latest.withColumn("volume", F.col("volume").cast("double")))
+
+
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = ind.latest_bar(_stored_long(spark, sf_dir))
     return rounded(scoring.score(latest, LONG_RULES))
@@ -397,7 +420,9 @@ QUERIES: dict[str, Query] = {
     "indicators": indicators,
     "indicators_short": indicators_short,
     "indicators_chunked": indicators_chunked,
+    "indicators_incremental": indicators_incremental,
     "latest_bar": latest_bar,
+    "latest_bar_maintained": latest_bar_maintained,
     "score": score,
     "score_short": score_short,
     "scores_snapshot": scores_snapshot,

@@ -8,9 +8,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.series import longest_series
-from barloom.operators.indicators import indicator_history, last_rows
-from barloom.operators.ingest import append_new_bars
+from barloom.operators.incremental import KEY, extend_indicators, maintained_latest
+from barloom.operators.ingest import ingest_new_bars, ingest_plan
 from barloom.operators.orders import order_intents, order_ledger
 from barloom.operators.scoring import ScoreRules, latest_scores, score, scores_snapshot
 from barloom.operators.sectors import (
@@ -28,6 +27,7 @@ from barloom.operators.selection import (
     top_picks,
 )
 from barloom.operators.universe import universe_snapshot
+from barloom.session import cut_lineage
 from barloom.sources.store import TableStore
 
 
@@ -45,17 +45,26 @@ class DailyRules:
     score: ScoreRules = ScoreRules()
 
 
-def store_indicators(store: TableStore, longest: int | None = None) -> DataFrame:
-    """Materialise ``stock_indicators`` from the stored bars of the universe."""
-    universe = store.read("stock_list").select("tradingsymbol").distinct()
-    bars = store.read("stock_timeseries").join(universe, "tradingsymbol", "left_semi")
-    store.replace("stock_indicators", indicator_history(bars, longest))
-    return store.read("stock_indicators")
+def load_bars(
+    store: TableStore, bars: DataFrame, stock_list: DataFrame, as_of: date, min_new_bars: int = 1
+) -> None:
+    """Append the day's bars and extend the indicators by them.
+
+    What is loaded follows from the state of the indicators, one row per symbol. It is published last, so a run that failed
+    on the way is planned alike again, and neither bars nor indicators are appended twice.
+    """
+    if not store.exists("indicator_state") and store.exists("stock_timeseries"):
+        extend_indicators(store, store.read("stock_timeseries"))
+    known = store.read("indicator_state").select("tradingsymbol", F.col("max_date").alias("date"))
+    fresh = cut_lineage(ingest_new_bars(bars, ingest_plan(stock_list, known, as_of), min_new_bars), "planned")
+    store.append_missing("stock_timeseries", fresh, KEY)
+    extend_indicators(store, fresh)
 
 
 def store_scores(store: TableStore, as_of: date, rules: ScoreRules) -> DataFrame:
-    """Score the last bars found in ``stock_indicators``; the filter is pushed into its scan."""
-    latest = last_rows(store.read("stock_indicators"))
+    """Score the maintained last bars of the universe; no history is read."""
+    universe = store.read("stock_list").select("tradingsymbol").distinct()
+    latest = maintained_latest(store).join(universe, "tradingsymbol", "left_semi")
     return scores_snapshot(store, score(latest, rules), as_of)
 
 
@@ -108,9 +117,8 @@ def daily_selection(
     through stored tables, each written once, so a failed run can be repeated from the start.
     """
     stock_list = universe_snapshot(store, instruments, as_of)
-    append_new_bars(store, bars, stock_list, as_of, rules.min_new_bars)
-    longest = longest_series(store.read("stock_timeseries"))
-    history = store_indicators(store, longest)
+    load_bars(store, bars, stock_list, as_of, rules.min_new_bars)
+    longest = store.read("indicator_state").agg(F.max("n_rows")).first()[0] or 0
     scores = store_scores(store, as_of, rules.score)
     if replies is not None:
         store_sectors(store, replies, as_of)
@@ -119,7 +127,7 @@ def daily_selection(
     )
     picks = select_top(
         ranked,
-        history.select("tradingsymbol", "date", "close"),
+        store.read("stock_timeseries").select("tradingsymbol", "date", "close"),
         rules.top_n,
         rules.correlation_threshold,
         rules.align,

@@ -382,7 +382,9 @@ FROM events GROUP BY ALL""",
     "indicators": _all_indicators(BARS_LONG, "bars_long", "indicators"),
     "indicators_short": _all_indicators(BARS_SHORT, "bars_short", "indicators"),
     "indicators_chunked": _all_indicators(BARS_LONG, "bars_long", "indicators", places=4),
+    "indicators_incremental": _all_indicators(BARS_LONG, "bars_long", "indicators"),
     "latest_bar": _all_indicators(BARS_LONG, "bars_long", "latest", "previous_OBV"),
+    "latest_bar_maintained": _all_indicators(BARS_LONG, "bars_long", "latest", "previous_OBV"),
     "score": _score_query(BARS_LONG, "bars_long", LONG_SCORE),
     "score_short": _score_query(BARS_SHORT, "bars_short", SHORT_SCORE),
     "scores_snapshot": _scores_of_day("2024-01-29") + " UNION ALL " + _scores_of_day("2024-01-30"),

@@ -61,8 +61,30 @@ STOCK_INDICATORS = T.StructType(
         *STOCK_TIMESERIES.fields,
         T.StructField("pos", _LONG, True),
         *[T.StructField(name, _DOUBLE, True) for name in INDICATOR_COLUMNS],
-        T.StructField("previous_OBV", _DOUBLE, True),
-        T.StructField("is_last", _BOOL, True),
+    ]
+)
+
+STOCK_LATEST = T.StructType([*STOCK_INDICATORS.fields, T.StructField("previous_OBV", _DOUBLE, True)])
+
+#: All that is needed of a symbol's bars to go on with its indicators; ``tail`` are the last bars.
+INDICATOR_STATE = T.StructType(
+    [
+        *_schema(
+            ("tradingsymbol", _STRING),
+            ("n_rows", _LONG),
+            ("max_date", _DATE),
+            ("fast", _DOUBLE),
+            ("slow", _DOUBLE),
+            ("signal", _DOUBLE),
+            ("obv", _DOUBLE),
+        ).fields,
+        T.StructField(
+            "tail",
+            T.ArrayType(
+                T.StructType([STOCK_TIMESERIES["date"], *[f for f in STOCK_TIMESERIES.fields if f.name not in ("date", "tradingsymbol")]])
+            ),
+            True,
+        ),
     ]
 )
 
@@ -131,7 +153,9 @@ TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "stock_timeseries": (STOCK_TIMESERIES, ["month"]),
     "late_bars": (LATE_BARS, ["Date_Update"]),
     "stream_log": (STREAM_LOG, []),
-    "stock_indicators": (STOCK_INDICATORS, []),
+    "stock_indicators": (STOCK_INDICATORS, ["month"]),
+    "stock_latest": (STOCK_LATEST, []),
+    "indicator_state": (INDICATOR_STATE, []),
     "stock_scores": (STOCK_SCORES, ["Date_Update"]),
     "stock_sectors": (STOCK_SECTORS, []),
     "stock_short_buy": (STOCK_SHORT_BUY, ["Date_Update"]),
@@ -139,4 +163,5 @@ TABLES: dict[str, tuple[T.StructType, list[str]]] = {
 }
 
 # columns a table has beside its schema, which only lay it out: type and SQL
-DERIVED = {"stock_timeseries": {"month": ("date", "trunc(date, 'MM')")}}
+_BY_MONTH = {"month": ("date", "trunc(date, 'MM')")}
+DERIVED = {"stock_timeseries": _BY_MONTH, "stock_indicators": _BY_MONTH}

@@ -80,6 +80,16 @@ class TableStore:
         self.create(table)
         self._rows(table, df).write.mode("append").insertInto(f"{self.database}.{table}")
 
+    def append_missing(self, table: str, df: DataFrame, key: list[str]) -> None:
+        """Append the rows of ``df`` whose ``key``, with ``date`` in it, is not there; only their months are read.
+
+        ``df`` should be stored rows, for it is read twice.
+        """
+        since, until = df.agg(F.min("date"), F.max("date")).first()
+        if since is not None:
+            known = self.read(table, since, until).select(*key)
+            self.append(table, df.join(known, key, "left_anti"))
+
     def replace(self, table: str, df: DataFrame) -> None:
         """Publish ``df`` as the new version of a table without partitions; it may have been read from the old one."""
         if TABLES[table][1]:

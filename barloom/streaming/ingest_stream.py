@@ -166,10 +166,7 @@ def _apply(log: StreamLog) -> None:
     if not applied:
         store, spark = log.store, log.spark
         bars = spark.read.schema(STOCK_TIMESERIES).parquet(log.folder(run, "bars"))
-        since, until = bars.agg(F.min("date"), F.max("date")).first()
-        if since is not None:
-            known = store.read("stock_timeseries", since, until).select("tradingsymbol", "date")
-            store.append("stock_timeseries", bars.join(known, ["tradingsymbol", "date"], "left_anti"))
+        store.append_missing("stock_timeseries", bars, ["tradingsymbol", "date"])
         done = store.read("late_bars").filter((F.col("stream") == log.stream) & (F.col("run") == run))
         if done.isEmpty():
             late = spark.read.parquet(log.folder(run, "late"))
