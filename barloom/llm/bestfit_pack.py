@@ -16,8 +16,12 @@ from barloom.llm.trie_bpe import chunks, loaded, share_vocabulary
 ROW = 4096
 #: A task packs about so many rows' worth of tokens at a time; its memory follows this, not its input.
 BLOCK_ROWS = 1024
-#: Rows emptier than this give their pieces back to the next block of the task.
-SETTLED = 0.95
+#: Of the rows emptier than this the REST_ROWS emptiest give their pieces back: to the next block, or, from a task's last
+#: block, to the common rest.
+SETTLED, SETTLED_LAST = 0.95, 0.995
+REST_ROWS = 64
+#: Parts from this number on hold the rows packed from the common rest.
+REST_PART = 1 << 30
 
 Piece = tuple[int, int, bytes]  # document number within the task, first token, ids
 
@@ -88,8 +92,10 @@ def pack_best_fit(
 
     A document longer than a row is split: whole rows of its own, then a rest that is packed like any other
     document, so no token is lost and each is in one segment. Best-fit-decreasing runs in every task on
-    blocks of BLOCK_ROWS rows' worth of tokens; rows not well filled at the end of a block are dissolved
-    into the next. Gapless ``sequence_id`` come from prefix sums over the rows each partition has written.
+    blocks of BLOCK_ROWS rows' worth of tokens. At the end of a block the REST_ROWS emptiest rows, if they are not well
+    filled, are dissolved into the next block, so every block takes in almost as many new tokens as it holds. Those of a
+    task's last block go to a common rest, which is dealt into blocks of the same size and packed once more.
+    Gapless ``sequence_id`` come from prefix sums over the rows each partition has written.
 
     A null or empty text is a document of the end token alone. Repeated rows and null ids are documents of
     their own; other columns are left out; an empty table gives no rows.
@@ -100,7 +106,7 @@ def pack_best_fit(
     kind = source.schema["id"].dataType.simpleString()
     end, filler = array("I", [eos]).tobytes(), array("I", [pad]).tobytes()
 
-    def emit(rows: list[list[Piece]], known: dict[int, tuple[object, int]], id_type, part: int, first: int):
+    def emit(rows: list[list[Piece]], known: dict[int, tuple[object, int]], id_type, part: int, first: int, rest: bool):
         cuts, ids, used = [], [], []
         for pieces in rows:
             bounds = [0]
@@ -112,6 +118,7 @@ def pack_best_fit(
         columns = [
             pa.array([part] * len(rows), pa.int32()),
             pa.array(range(first, first + len(rows)), pa.int64()),
+            pa.array([rest] * len(rows), pa.bool_()),
             pa.array(ids, pa.binary()),
             pa.array(used, pa.int32()),
             pa.array(cuts, pa.list_(pa.int32())),
@@ -122,6 +129,14 @@ def pack_best_fit(
         ]
         return pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
+    def packed_rows(pieces: list[Piece]) -> list[list[Piece]]:
+        """Rows of pieces, the emptiest first."""
+        found = best_fit_decreasing([len(p[2]) // 4 for p in pieces], row)
+        return sorted(([pieces[i] for i in places] for places in found), key=filled)
+
+    def filled(pieces: list[Piece]) -> int:
+        return sum(len(p[2]) for p in pieces) // 4
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = loaded(shared), TaskContext.get().partitionId()
         waiting: list[Piece] = []
@@ -130,17 +145,17 @@ def pack_best_fit(
 
         def block(last: bool):
             nonlocal waiting, tokens, written, known
-            rows = [
-                [waiting[i] for i in found]
-                for found in best_fit_decreasing([len(p[2]) // 4 for p in waiting], row)
-            ]
-            fill = [sum(len(p[2]) for p in pieces) // 4 for pieces in rows]
-            done = [pieces for pieces, n in zip(rows, fill) if last or n >= SETTLED * row]
-            waiting = [] if last else [p for pieces, n in zip(rows, fill) if n < SETTLED * row for p in pieces]
+            rows = packed_rows(waiting)
+            least = (SETTLED_LAST if last else SETTLED) * row
+            poor = sum(filled(pieces) < least for pieces in rows[:REST_ROWS])
+            rest, done = rows[:poor], rows[poor:]
             for i in range(0, len(done), 128):
-                yield emit(done[i : i + 128], known, id_type, part, written + i)
+                yield emit(done[i : i + 128], known, id_type, part, written + i, False)
             written += len(done)
-            tokens = sum(len(p[2]) for p in waiting) // 4
+            if last and rest:
+                yield emit(rest, known, id_type, part, 0, True)
+            waiting = [p for pieces in rest for p in pieces]
+            tokens = sum(map(filled, rest))
             known = {p[0]: known[p[0]] for p in waiting}
 
         for batch in batches:
@@ -159,18 +174,39 @@ def pack_best_fit(
         if waiting:
             yield from block(True)
 
+    def pack_rest(pieces: pa.Table) -> pa.Table:
+        group = pieces.column("group")[0].as_py()
+        names, lengths = pieces.column("id"), pieces.column("doc_tokens").to_pylist()
+        known = dict(enumerate(zip(names.to_pylist(), lengths)))
+        each = zip(known, pieces.column("start").to_pylist(), pieces.column("ids").to_pylist())
+        rows = packed_rows(list(each))
+        return pa.Table.from_batches([emit(rows, known, names.type, REST_PART + group, 0, False)])
+
     layout = (
-        "part int, local long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, "
-        f"doc_ids array<{kind}>, starts array<long>, doc_tokens array<long>"
+        "part int, local long, rest boolean, ids binary, n_tokens int, cu_seqlens array<int>, "
+        f"position_resets array<int>, doc_ids array<{kind}>, starts array<long>, doc_tokens array<long>"
     )
     schema = spark.createDataFrame([], layout).schema
     path = scratch_path(spark, "packed")
-    source.mapInArrow(pack, schema).write.option("compression", "zstd").parquet(path)
-    packed = spark.read.schema(schema).parquet(path)
+
+    def write(rows: DataFrame, mode: str) -> DataFrame:
+        rows.write.mode(mode).option("compression", "zstd").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    packed = write(source.mapInArrow(pack, schema), "errorifexists")
+    left = packed.filter("rest")
+    tokens = left.agg(F.sum("n_tokens")).first()[0] or 0
+    if tokens:
+        groups = 1 + tokens // (BLOCK_ROWS * row)
+        pieces = segments(left.withColumn("sequence_id", F.col("local")))
+        group = F.pmod(F.xxhash64("id", "start", "doc_tokens", "sequence_id", "offset"), F.lit(groups)).cast("int")
+        pieces = pieces.withColumn("group", group).select("group", "id", "start", "doc_tokens", "ids")
+        packed = write(pieces.groupBy("group").applyInArrow(pack_rest, schema), "append")
+    packed = packed.filter(~F.col("rest")).drop("rest")
     totals = packed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
     bases = partition_offsets(totals, "part", "rows")
     numbered = packed.join(F.broadcast(bases), "part").withColumn("sequence_id", F.col("base") + F.col("local"))
-    return numbered.select("sequence_id", *schema.fieldNames()[2:])
+    return numbered.select("sequence_id", *packed.columns[2:])
 
 
 def segments(packed: DataFrame) -> DataFrame:

@@ -111,6 +111,70 @@ def test_little_padding(spark):
     assert fill > 0.99
 
 
+def test_many_partitions_share_their_rest(spark):
+    docs = spark.createDataFrame([(i, prose(i, 50 + i % 400)) for i in range(600)], "doc_id long, text string")
+    packed = bestfit_pack.pack_best_fit(docs.repartition(32), PATH, row=1024)
+    full = packed.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
+    assert full[0] / (full[1] * 1024) > 0.99
+    rows = bestfit_pack.segments(packed).collect()
+    assert rebuilt(rows, None) == sorted(encoded(docs), key=str)
+    gapless(rows, 1024)
+
+
+def test_work_grows_with_the_documents(monkeypatch):
+    """Documents slightly over half a row never fill one; still a block keeps only the emptiest rows for the next."""
+    handled, kept, row, block = 0, [], 64, 128
+    for number in range(0, 20_000, block):
+        pieces = kept + [33 + i % 9 for i in range(number, number + block)]
+        rows = bestfit_pack.best_fit_decreasing(pieces, row)
+        handled += len(pieces)
+        poor = sorted((sum(pieces[i] for i in r), r) for r in rows)[: bestfit_pack.REST_ROWS]
+        kept = [pieces[i] for _, r in poor for i in r]
+    assert handled <= 20_000 * (1 + bestfit_pack.REST_ROWS / block) + block
+
+
+def test_long_runs_of_half_rows(spark):
+    """One task, 8,000 documents of about 40 tokens at row 64: ends in time, keeps every document."""
+    rows = [(i, prose(i % 50, 13)) for i in range(8_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    packed = bestfit_pack.pack_best_fit(docs, PATH, row=64)
+    found = bestfit_pack.segments(packed).groupBy("id", "doc_tokens").agg(F.sum("length").alias("n"))
+    assert found.filter("n = doc_tokens").count() == len(rows)
+
+
+def test_the_registered_queries_hold_their_columns(spark, sf_dir):
+    """Digests of ops 3, 5 and 10 against the tokenizers library, over the whole table."""
+    import hashlib
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from barloom.llm.queries import QUERIES
+
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation()
+    library.no_padding()
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in docs.items()}
+    for r in QUERIES["op5_trie_bpe"](spark, sf_dir).collect():
+        told = library.decode(ids[r["doc_id"]], skip_special_tokens=False)
+        assert r["n_tokens"] == len(ids[r["doc_id"]])
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids[r["doc_id"]])).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+    for name in ("op3_concat_cut", "op10_best_fit"):
+        covered = dict.fromkeys(docs, 0)
+        ends = {}
+        for r in sorted(QUERIES[name](spark, sf_dir).collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+            whole = [*ids[r["doc_id"]], 2]
+            piece = whole[r["start"] : r["start"] + r["length"]]
+            assert r["doc_tokens"] == len(whole) and r["offset"] == ends.get(r["sequence_id"], 0)
+            ends[r["sequence_id"]] = r["offset"] + r["length"]
+            assert r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in piece))
+            covered[r["doc_id"]] += r["length"]
+        assert covered == {i: len(v) + 1 for i, v in ids.items()}
+        assert sorted(ends) == list(range(len(ends))) and max(ends.values()) <= 4096
+
+
 def test_empty(spark):
     docs = documents(spark, [])
     assert concat_pack.concat_and_cut(docs, PATH).collect() == []
