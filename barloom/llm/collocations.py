@@ -125,7 +125,10 @@ def _build(rows):
 
 
 def _tries(keys: DataFrame, shards: int, label: str):
-    """The tries of (``id``, ``key``), one after the other, broadcast; each is built in a task of its own."""
+    """The tries of (``id``, ``key``), one after the other, broadcast; each is built in a task of its own.
+
+    The pass that uses a trie has to be written before the next one is asked for, for a trie is given up then.
+    """
     dealt = keys.select((F.col("id") % shards).cast("int").alias("shard"), "id", "key")
     kept = "shard int, base binary, check binary, ids binary"
     built = cut_lineage(dealt.groupBy("shard").applyInArrow(_build, kept), label)
@@ -133,8 +136,11 @@ def _tries(keys: DataFrame, shards: int, label: str):
     for shard in range(shards):
         row = built.filter(F.col("shard") == shard).first()
         if row is not None:
-            arrays = [np.frombuffer(row[name], dtype=kind) for name, kind in (("base", "<i4"), ("check", "<i4"), ("ids", "<i8"))]
-            yield context.broadcast(arrays)
+            kinds = (("base", "<i4"), ("check", "<i4"), ("ids", "<i8"))
+            broadcast = context.broadcast([np.frombuffer(row[name], dtype=kind) for name, kind in kinds])
+            del row
+            yield broadcast
+            broadcast.destroy()
 
 
 def _word_ids(plain: bytes, raw: np.ndarray, doc_starts: np.ndarray, doc_states: np.ndarray, arrays):
