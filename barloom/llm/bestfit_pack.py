@@ -119,7 +119,8 @@ def pack_best_fit(
             pa.array([part] * len(rows), pa.int32()),
             pa.array(range(first, first + len(rows)), pa.int64()),
             pa.array([rest] * len(rows), pa.bool_()),
-            pa.array(ids, pa.binary()),
+            pa.array(ids if rest else [None] * len(rows), pa.binary()),
+            pa.array([None] * len(rows) if rest else ids, pa.binary()),
             pa.array(used, pa.int32()),
             pa.array(cuts, pa.list_(pa.int32())),
             pa.array([bounds[:-1] for bounds in cuts], pa.list_(pa.int32())),
@@ -183,7 +184,7 @@ def pack_best_fit(
         return pa.Table.from_batches([emit(rows, known, names.type, REST_PART + group, 0, False)])
 
     layout = (
-        "part int, local long, rest boolean, ids binary, n_tokens int, cu_seqlens array<int>, "
+        "part int, local long, rest boolean, rest_ids binary, ids binary, n_tokens int, cu_seqlens array<int>, "
         f"position_resets array<int>, doc_ids array<{kind}>, starts array<long>, doc_tokens array<long>"
     )
     schema = spark.createDataFrame([], layout).schema
@@ -198,11 +199,12 @@ def pack_best_fit(
     tokens = left.agg(F.sum("n_tokens")).first()[0] or 0
     if tokens:
         groups = 1 + tokens // (BLOCK_ROWS * row)
-        pieces = segments(left.withColumn("sequence_id", F.col("local")))
+        # ids of the rest have a column of their own, so that reading them leaves all others unread
+        pieces = segments(left.withColumn("ids", F.col("rest_ids")).withColumn("sequence_id", F.col("local")))
         group = F.pmod(F.xxhash64("id", "start", "doc_tokens", "sequence_id", "offset"), F.lit(groups)).cast("int")
         pieces = pieces.withColumn("group", group).select("group", "id", "start", "doc_tokens", "ids")
         packed = write(pieces.groupBy("group").applyInArrow(pack_rest, schema), "append")
-    packed = packed.filter(~F.col("rest")).drop("rest")
+    packed = packed.filter(~F.col("rest")).drop("rest", "rest_ids")
     totals = packed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
     bases = partition_offsets(totals, "part", "rows")
     numbered = packed.join(F.broadcast(bases), "part").withColumn("sequence_id", F.col("base") + F.col("local"))
