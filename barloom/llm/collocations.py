@@ -41,6 +41,8 @@ TRIE_BYTES = 4 << 20
 #: So many bytes of text, or entries of counts, are worked on at a time.
 CHUNK_BYTES = 2 << 20
 CHUNK_ENTRIES = 1 << 20
+#: An id is written in digits of so many bits; a node of a trie has at most 2^DIGIT_BITS children then.
+DIGIT_BITS = 6
 #: Rows of a batch of counts.
 BATCH_ROWS = 1 << 16
 GROUPS = 64
@@ -288,8 +290,8 @@ def _advancer(broadcast, digits: int, keep_ids: bool, keep_found: bool):
             live = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
             state = np.zeros(live.size, dtype=np.int32)
             for step in range(2 * digits):
-                shift = 8 * (digits - 1 - step % digits)
-                symbol = ids[live + step // digits] >> np.uint32(shift) & np.uint32(255)
+                shift = DIGIT_BITS * (digits - 1 - step % digits)
+                symbol = ids[live + step // digits] >> np.uint32(shift) & np.uint32((1 << DIGIT_BITS) - 1)
                 after, went = trie.advance(base, check, state, symbol.astype(np.int32))
                 live, state = live[went], after[went]
             leaves = base[state]
@@ -357,12 +359,14 @@ def _next_level(
         first.alias("prefix"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("suffix")
     )
     chosen, found = numbered(pairs, f"candidates-{words}")
-    digits = max(1, (number.bit_length() + 7) // 8)
+    digits = -(-number.bit_length() // DIGIT_BITS)
 
-    def written(name: str) -> Column:
-        return F.unhex(F.lpad(F.hex(name), 2 * digits, "0"))
+    def written(name: str) -> list[Column]:
+        shifts = range(DIGIT_BITS * (digits - 1), -1, -DIGIT_BITS)
+        values = (F.shiftright(name, shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)) for shift in shifts)
+        return [F.unhex(F.lpad(F.hex(value), 2, "0")) for value in values]
 
-    keys = chosen.select("id", F.concat(written("prefix"), written("suffix")).alias("key"))
+    keys = chosen.select("id", F.concat(*written("prefix"), *written("suffix")).alias("key"))
     shards = 1 + found // TRIE_KEYS
     rows = sequences.select("ids", F.lit(None).cast("binary").alias("found"))
     counts = []

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 
 SYMBOLS = 256
-#: A node with more children than this gets a window of its own; the others are interleaved.
+#: A node with more children than this gets the places its symbols span to itself; the others are interleaved.
 DENSE = 16
 ROOT = 0
 
@@ -54,15 +54,17 @@ def build(keys: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _placed(parent: np.ndarray, symbol: np.ndarray, nodes: int) -> tuple[np.ndarray, int]:
     """An offset for every node, so that no two edges share ``offset + symbol``, and the slots needed.
 
-    Nodes of many children get windows, the fuller ones of the rest are tried at random places of a table twice as large
-    as they need, nodes of one child fill what is free.
+    Nodes of many children get the width of their symbols, the fuller ones of the rest are tried at random places of a table
+    twice as large as they need, nodes of one child fill what is free. Edges are in order of parent and symbol.
     """
     fan = np.bincount(parent, minlength=nodes)
     offset = np.zeros(nodes, dtype=np.int64)
     dense = np.flatnonzero(fan > DENSE)
-    offset[dense] = SYMBOLS * (1 + np.arange(dense.size))
+    low = symbol[np.searchsorted(parent, dense)]
+    width = symbol[np.searchsorted(parent, dense, side="right") - 1] - low + 1
+    offset[dense] = SYMBOLS + np.cumsum(width) - width - low
     several = (fan[parent] > 1) & (fan[parent] <= DENSE)
-    slots = SYMBOLS * (2 + dense.size) + 2 * int(several.sum())
+    slots = 2 * SYMBOLS + int(width.sum()) + 2 * int(several.sum())
     taken = np.zeros(slots + SYMBOLS, dtype=bool)
     taken[:SYMBOLS] = True
     in_dense = fan[parent] > DENSE
