@@ -36,7 +36,7 @@ from barloom.llm.common import col, cut_lineage, numbered
 UNDETERMINED = "und"
 LEAST, COVER_PERCENT, TOP, SCALE, MAX_WORDS = 10, 50, 2_000, 1_000_000, 3
 
-TRIE_KEYS = 1 << 20
+TRIE_KEYS = 1 << 19
 TRIE_BYTES = 4 << 20
 #: So many bytes of text, or entries of counts, are worked on at a time.
 CHUNK_BYTES = 2 << 20

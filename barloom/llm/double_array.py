@@ -23,14 +23,14 @@ def build(keys: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(keys[i]) for i in order], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(order) else np.zeros(0, dtype=np.int64)
     parents, symbols, first_child = [], [], 1
-    node = np.zeros(len(order), dtype=np.int64)
-    leaf = np.zeros(len(order), dtype=np.int64)
+    node = np.zeros(len(order), dtype=np.int32)
+    leaf = np.zeros(len(order), dtype=np.int32)
     live, depth = np.arange(len(order)), 0
     while live.size:
-        symbol = buffer[starts[live] + depth].astype(np.int64)
-        edge = node[live] * SYMBOLS + symbol
+        symbol = buffer[starts[live] + depth].astype(np.int32)
+        edge = node[live].astype(np.int64) * SYMBOLS + symbol
         new = np.concatenate([[True], edge[1:] != edge[:-1]])  # keys are sorted, so equal edges stand together
-        child = first_child + np.cumsum(new) - 1
+        child = (first_child + np.cumsum(new) - 1).astype(np.int32)
         parents.append(node[live][new])
         symbols.append(symbol[new])
         first_child = int(child[-1]) + 1
@@ -57,21 +57,22 @@ def _placed(parent: np.ndarray, symbol: np.ndarray, nodes: int) -> tuple[np.ndar
     Nodes of many children get the width of their symbols, the fuller ones of the rest are tried at random places of a table
     twice as large as they need, nodes of one child fill what is free. Edges are in order of parent and symbol.
     """
-    fan = np.bincount(parent, minlength=nodes)
+    fan = np.bincount(parent, minlength=nodes).astype(np.int16)
+    children = fan[parent]
     offset = np.zeros(nodes, dtype=np.int64)
     dense = np.flatnonzero(fan > DENSE)
     low = symbol[np.searchsorted(parent, dense)]
     width = symbol[np.searchsorted(parent, dense, side="right") - 1] - low + 1
     offset[dense] = SYMBOLS + np.cumsum(width) - width - low
-    several = (fan[parent] > 1) & (fan[parent] <= DENSE)
+    several = (children > 1) & (children <= DENSE)
     slots = 2 * SYMBOLS + int(width.sum()) + 2 * int(several.sum())
     taken = np.zeros(slots + SYMBOLS, dtype=bool)
     taken[:SYMBOLS] = True
-    in_dense = fan[parent] > DENSE
+    in_dense = children > DENSE
     taken[offset[parent[in_dense]] + symbol[in_dense]] = True
     rng = np.random.default_rng(0)
     for most, least in ((DENSE, 9), (8, 5), (4, 2)):
-        mine = np.flatnonzero((fan[parent] >= least) & (fan[parent] <= most))
+        mine = np.flatnonzero((children >= least) & (children <= most))
         tries = 0
         while mine.size:
             tries += 1
@@ -88,7 +89,7 @@ def _placed(parent: np.ndarray, symbol: np.ndarray, nodes: int) -> tuple[np.ndar
             failed = np.bincount(at, weights=lost, minlength=here.size)[at] > 0
             taken[place[~failed]] = True
             mine = mine[failed]
-    single = np.flatnonzero(fan[parent] == 1)
+    single = np.flatnonzero(children == 1)
     free = np.flatnonzero(~taken)[: single.size]
     more = len(taken) + np.arange(single.size - free.size)
     place = np.concatenate([free, more])
