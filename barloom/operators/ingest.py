@@ -25,17 +25,17 @@ INTERVALS = {
 
 def interval_bars(ticks: DataFrame, interval: str, order_by: list[str] | None = None) -> DataFrame:
     """Bars of another length than a day, by ``start``; weeks begin on Monday."""
-    key = _tick_key(order_by)
+    key = tick_key(order_by)
     start = INTERVALS[interval](F.col("ts")).cast("timestamp_ntz")
-    return ticks.groupBy("tradingsymbol", start.alias("start")).agg(*_bar_values(key))
+    return ticks.groupBy("tradingsymbol", start.alias("start")).agg(*bar_values(key))
 
 
-def _tick_key(order_by: list[str] | None) -> Column:
+def tick_key(order_by: list[str] | None) -> Column:
     order_by = order_by or ["ts", "tick_id"]
     return F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
 
 
-def _bar_values(key: Column) -> list[Column]:
+def bar_values(key: Column) -> list[Column]:
     return [
         F.min_by("price", key).alias("open"),
         F.max("price").alias("high"),
@@ -50,7 +50,7 @@ def partial_bars(ticks: DataFrame) -> DataFrame:
     key = F.struct("ts", "tick_id")
     priced = ticks.filter(F.col("price").isNotNull())
     return priced.groupBy("tradingsymbol", F.to_date("ts").alias("date")).agg(
-        *_bar_values(key), F.min(key).alias("first_key"), F.max(key).alias("last_key")
+        *bar_values(key), F.min(key).alias("first_key"), F.max(key).alias("last_key")
     )
 
 
@@ -83,7 +83,7 @@ def daily_bars(ticks: DataFrame, order_by: list[str] | None = None) -> DataFrame
     """
     priced = ticks.filter(F.col("price").isNotNull())
     days = priced.groupBy("tradingsymbol", F.to_date("ts").alias("date"))
-    return days.agg(*_bar_values(_tick_key(order_by)))
+    return days.agg(*bar_values(tick_key(order_by)))
 
 
 def ingest_watermark(stored: DataFrame) -> DataFrame:

@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import indicators as ind
-from barloom.operators import incremental, ingest, market, news, orders, scoring, sectors, selection, universe
+from barloom.operators import calendar, incremental, ingest, market, news, orders, scoring, sectors, selection, universe
 from barloom.plans import daily
+from barloom.schemas import STOCK_TIMESERIES
 from barloom.session import cut_lineage, scratch_path
 from barloom.sources import views
 from barloom.sources.readers import read_instruments
 from barloom.sources.store import TableStore
+from barloom.streaming.event_time import event_time_bars
 from barloom.streaming.ingest_stream import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +153,32 @@ def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir).read("late_bars").drop("stream", "run")
 
 
+#: Days of ``events`` per landing in the event-time queries, and how far behind the newest tick a day stays open.
+LANDED_DAYS = 10
+EVENT_DELAY = "2 days"
+
+
+def event_time_bars_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` landed ten days at a time, a run after each landing; every 20th event lands one run late. Days still in
+    the state at the end are not in the result, nor are ticks that came after their day was closed."""
+    events = views.table(spark, sf_dir, "events")
+    number = F.floor(F.date_diff(F.to_date("ts"), F.lit(date(2024, 1, 1))) / LANDED_DAYS)
+    number = number + F.when(F.col("event_id") % 20 == 0, 1).otherwise(0)
+    landed, sink, state = (scratch_path(spark, name) for name in ("landed", "closed-days", "event-time-state"))
+    numbers = [row[0] for row in events.select(number.alias("n")).distinct().orderBy("n").collect()]
+    for n in numbers:
+        events.filter(number == n).write.mode("append").parquet(landed)
+        event_time_bars(spark, landed, events.schema, views.event_ticks, sink, state, EVENT_DELAY)
+    return spark.read.schema(STOCK_TIMESERIES).parquet(sink)
+
+
+def session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars from the opening at 09:15, without weekends and one holiday, empty intervals included."""
+    ticks = views.event_ticks(views.table(spark, sf_dir, "events"))
+    days = calendar.session_calendar(spark, date(2024, 1, 1), views.SHORT_AS_OF, 60, holidays=[date(2024, 1, 26)])
+    return calendar.session_bars(ticks, days, 60)
+
+
 def _stored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long bars as a stored table: series are laid out from stored bars, which are read twice."""
     return cut_lineage(views.bars_long(spark, sf_dir), "bars")
@@ -406,7 +434,9 @@ QUERIES: dict[str, Query] = {
     "ingest_new_bars_min2": ingest_new_bars_min2,
     "ingest_stream": ingest_stream_query,
     "late_bars": late_bars,
+    "event_time_bars": event_time_bars_query,
     "intraday_bars": intraday_bars,
+    "session_bars": session_bars,
     "universe_from_csv": universe_from_csv,
     "moving_averages": _indicator_query(ind.moving_averages, ["MA20", "MA50"]),
     "rsi14": _indicator_query(ind.rsi14, ["RSI14"]),

@@ -361,6 +361,41 @@ SELECT 'U' || user_id AS tradingsymbol, CAST(date_trunc('hour', ts) AS TIMESTAMP
        arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
        arg_max(value, row(ts, event_id)) AS close, count(*) AS volume
 FROM events GROUP BY ALL""",
+    "event_time_bars": """
+WITH landed AS (
+  SELECT *, CAST(ts AS DATE) AS day,
+         (CAST(ts AS DATE) - DATE '2024-01-01') // 10 + CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END AS run
+  FROM events),
+runs AS (
+  SELECT run, max(max(ts)) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest_before,
+         max(max(ts)) OVER () AS newest
+  FROM landed GROUP BY run)
+SELECT 'U' || user_id AS tradingsymbol, day AS date,
+       arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+       arg_max(value, row(ts, event_id)) AS close, count(*) AS volume
+FROM landed JOIN runs USING (run)
+WHERE day + INTERVAL 1 DAY <= newest - INTERVAL 2 DAY
+  AND (newest_before IS NULL OR day + INTERVAL 1 DAY > newest_before - INTERVAL 2 DAY)
+GROUP BY 1, 2""",
+    "session_bars": """
+WITH slots AS (
+  SELECT row_number() OVER (ORDER BY day, n) AS slot, CAST(day AS DATE) AS date,
+         day + INTERVAL 555 MINUTE + n * INTERVAL 60 MINUTE AS start
+  FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) d(day), range(7) r(n)
+  WHERE isodow(day) < 6 AND day <> DATE '2024-01-26'),
+traded AS (
+  SELECT 'U' || user_id AS tradingsymbol, slot,
+         arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+         arg_max(value, row(ts, event_id)) AS close, count(*) AS volume
+  FROM (SELECT *, ts + INTERVAL 330 MINUTE AS here FROM events) e
+  JOIN slots s ON CAST(here AS DATE) = s.date AND here >= s.start
+   AND (here < s.start + INTERVAL 60 MINUTE AND here <= s.date + INTERVAL 930 MINUTE)
+  GROUP BY 1, 2),
+spans AS (SELECT tradingsymbol, min(slot) AS low, max(slot) AS high FROM traded GROUP BY 1)
+SELECT p.tradingsymbol, s.date, CAST(s.start AS TIMESTAMP) AS start, open, t.high, t.low, close,
+       coalesce(volume, 0) AS volume, t.slot IS NOT NULL AS traded
+FROM spans p JOIN slots s ON s.slot BETWEEN p.low AND p.high
+LEFT JOIN traded t ON t.tradingsymbol = p.tradingsymbol AND t.slot = s.slot""",
     "universe_from_csv": f"WITH {UNIVERSE} SELECT * FROM universe",
     "late_bars": f"WITH {STORED} SELECT b.tradingsymbol, date, {PRICES}, volume, {AS_OF} AS Date_Update "
     "FROM bars_short b JOIN (SELECT tradingsymbol, max(date) AS max_date FROM stored GROUP BY 1) w "
