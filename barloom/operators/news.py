@@ -16,6 +16,13 @@ COMPOUND_PLACES = 4
 
 SPREAD = 64
 
+#: Up to this many lexicon words are broadcast.
+BROADCAST_WORDS = 100_000
+#: Of a larger lexicon, the words looked for in a sketch of the texts, the entries of that sketch, the items it sees.
+HOT_WORDS = 64
+SKETCH_WORDS = 10_000
+HOT_SAMPLE = 0.05
+
 
 def _first_items(news: DataFrame, max_articles: int) -> DataFrame:
     """The first ``max_articles`` items of each name by ``item_no``.
@@ -76,23 +83,48 @@ def item_words(news: DataFrame) -> DataFrame:
     return news.select("name", "item_no", F.explode(F.split(text, r"[^\p{L}]+")).alias("word"))
 
 
-def lexicon_sentiment(news: DataFrame, lexicon: DataFrame) -> DataFrame:
+def hot_words(news: DataFrame, share: float = HOT_SAMPLE) -> list[str]:
+    """The commonest words of a share of the items, at most ``HOT_WORDS``, by a sketch of bounded size.
+
+    Only the layout of a join follows from them, never its result, so a word that is missed costs time alone.
+    """
+    sketch = F.expr(f"approx_top_k(word, {HOT_WORDS}, {SKETCH_WORDS})").alias("top")
+    top = item_words(news.sample(share, seed=1)).agg(sketch).first()["top"]
+    return [entry["item"] for entry in top or []]
+
+
+def _valued(words: DataFrame, lexicon: DataFrame, hot: list[str]) -> DataFrame:
+    """(name, item_no, word, n) with the word's valence: hot words from a small broadcast, the others by a plain join."""
+    plain = words.filter(~F.col("word").isin(*hot)) if hot else words
+    found = plain.join(lexicon, "word", "left")
+    if not hot:
+        return found
+    listed = F.broadcast(lexicon.filter(F.col("word").isin(*hot)))
+    return found.unionByName(words.filter(F.col("word").isin(*hot)).join(listed, "word", "left"))
+
+
+def lexicon_sentiment(news: DataFrame, lexicon: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Compound polarity of title and description per item: (name, item_no, n_hits, sentiment).
 
     ``lexicon`` has ``word, valence``, a word once. The words of whole texts are matched with it and summed per
-    item; an item without a hit comes out as 0. Words are joined under ``SPREAD`` salts taken from the item, and each
-    lexicon entry stands under all of them, so the commonest word is no hot key however large the lexicon is. Spark
-    broadcasts a small lexicon by its size, and then nothing but one narrow row per item and task is shuffled.
+    item; an item without a hit comes out as 0. A lexicon of at most ``broadcast_words`` words is broadcast, and then
+    nothing but one narrow row per item and task is shuffled. Beyond that the words are summed per item before they are
+    shuffled; the words that a sketch finds to be hot meet a broadcast of their at most ``HOT_WORDS`` entries, all others are
+    joined plainly, so no key has more than a small share of the rows and each lexicon entry is shuffled once.
     """
-    salts = F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))
-    salted = lexicon.select("word", "valence", F.explode(salts).alias("_salt"))
-    tokens = item_words(news).withColumn("_salt", F.pmod(F.xxhash64("name", "item_no"), F.lit(SPREAD)))
-    total = F.coalesce(F.sum("valence"), F.lit(0.0))
+    lexicon = lexicon.select("word", "valence")
+    words = item_words(news)
+    if lexicon.limit(broadcast_words + 1).count() <= broadcast_words:
+        valued = words.join(F.broadcast(lexicon), "word", "left").withColumn("n", F.lit(1))
+    else:
+        counted = words.groupBy("name", "item_no", "word").agg(F.count(F.lit(1)).alias("n"))
+        valued = _valued(counted, lexicon, hot_words(news))
+    hits = F.sum(F.when(F.col("valence").isNotNull(), F.col("n")))
+    total = F.coalesce(F.sum(F.col("valence") * F.col("n")), F.lit(0.0))
     compound = F.col("_total") / F.sqrt(F.col("_total") * F.col("_total") + F.lit(NORMALISER))
     return (
-        tokens.join(salted, ["word", "_salt"], "left")
-        .groupBy("name", "item_no")
-        .agg(F.count("valence").alias("n_hits"), total.alias("_total"))
+        valued.groupBy("name", "item_no")
+        .agg(F.coalesce(hits, F.lit(0)).cast("long").alias("n_hits"), total.alias("_total"))
         .select(
             "name", "item_no", "n_hits", F.round(compound, COMPOUND_PLACES).alias("sentiment")
         )

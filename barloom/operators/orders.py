@@ -78,7 +78,9 @@ def order_ledger(
     ``success`` means the response was not a record and ``message`` is its text. Only a refusal by the broker (``error_kind``
     'broker') is cut at the first ``[``; other errors keep their text. Rows without a time of their
     own get ``requested_at``. ``amo_refused`` flags refusals that only concern after-market orders. The same response
-    landed twice gives one row.
+    landed twice gives one row. Without ``response_no`` a response is told apart by its outcome and its message too,
+    so two different failures of a symbol in one second are two rows. Of rows that still share an ``id`` the
+    greatest by all columns stays, whatever order they landed in.
     """
     optional = {
         "error_kind": "string",
@@ -98,12 +100,13 @@ def order_ledger(
     by_broker = is_record & ~F.col("success") & F.coalesce(F.col("error_kind") == "broker", F.lit(False))
     cut = F.trim(F.split("message", r"\[")[0])
     requested = F.coalesce(F.col("requested_at"), F.lit(requested_at).cast("timestamp_ntz"))
+    unnumbered = F.concat_ws("|", F.coalesce(F.col("success").cast("string"), F.lit("")), F.coalesce("message", F.lit("")))
     parts = F.concat_ws(
         "|",
         "tradingsymbol",
         F.date_format(requested, "yyyy-MM-dd HH:mm:ss"),
         F.coalesce("order_id", F.lit("")),
-        F.coalesce("response_no", F.lit("")),
+        F.coalesce(F.col("response_no"), unnumbered),
     )
     columns = {
         # 60 bits of a digest: the same row gets the same id on a re-run
@@ -122,8 +125,10 @@ def order_ledger(
         "average_price": F.when(is_record, F.col("average_price")),
         "amo_refused": by_broker & F.coalesce(F.col("message").contains(AFTER_MARKET_REFUSED), F.lit(False)),
     }
-    rows = landed.withColumns(columns).select(*INTENDED_ORDERS.fieldNames(), "amo_refused")
-    return rows.dropDuplicates(["id"])
+    shown = [*INTENDED_ORDERS.fieldNames(), "amo_refused"]
+    rows = landed.withColumns(columns).select(*shown)
+    rest = [name for name in shown if name != "id"]
+    return rows.groupBy("id").agg(F.max(F.struct(*rest)).alias("_row")).select("id", "_row.*").select(*shown)
 
 
 def holdings_view(holdings: DataFrame, places: int | None = None) -> DataFrame:

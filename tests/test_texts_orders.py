@@ -156,21 +156,28 @@ def test_sentiment_reads_whole_texts(spark):
     assert [(r["n_hits"], r["sentiment"]) for r in got] == [(1, 0.25), (0, 0.0)]
 
 
-def test_sentiment_with_a_lexicon_too_large_to_broadcast(spark):
-    """No join key has all of a common word's rows: each word stands under a salt of its item."""
-    texts = [("N", i, "good good bad Größe", "fine", "") for i in range(40)]
+def test_sentiment_with_a_lexicon_too_large_to_broadcast(spark, monkeypatch):
+    """Hot words meet a broadcast of their few entries, the others are joined plainly; results are those of one join."""
+    monkeypatch.setattr(news, "HOT_WORDS", 2)
+    texts = [("N", i, "good good bad Größe", "fine " * (i % 3), "") for i in range(40)]
     items = spark.createDataFrame(texts, NEWS)
     lexicon = news.lexicon_table(spark, {"good": 1.5, "bad": -1.0, "größe": 0.25})
     one = {(r["item_no"], r["n_hits"], r["sentiment"]) for r in news.lexicon_sentiment(items, lexicon).collect()}
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        shuffled = news.lexicon_sentiment(items, lexicon)
-        assert "_salt" in shuffled._jdf.queryExecution().executedPlan().toString()
-        assert {(r["item_no"], r["n_hits"], r["sentiment"]) for r in shuffled.collect()} == one
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert {n for _, n, _ in one} == {4}
+    for share in (1.0, 0.0):  # with hot words found and with none
+        monkeypatch.setattr(news.hot_words, "__defaults__", (share,))
+        shuffled = news.lexicon_sentiment(items, lexicon, broadcast_words=2)
+        assert {(r["item_no"], r["n_hits"], r["sentiment"]) for r in shuffled.collect()} == one
+        plan = shuffled._jdf.queryExecution().optimizedPlan().toString()
+        assert ("good" in plan) == (share == 1.0) and plan.count("Join LeftOuter") == (2 if share else 1)
+
+
+def test_hot_words_are_the_commonest(spark, monkeypatch):
+    texts = [("N", i, "common common rare" + chr(97 + i % 26) * 3, None, "") for i in range(200)]
+    items = spark.createDataFrame(texts, NEWS)
+    monkeypatch.setattr(news, "HOT_WORDS", 1)
+    assert news.hot_words(items, 1.0) == ["common"]
+    assert news.hot_words(items.filter("false"), 1.0) == []
 
 
 def test_ages_split_at_any_white_space(spark):
@@ -248,6 +255,22 @@ def test_ledger_keeps_what_a_response_carries(spark):
     ]
 
 
+def test_two_failures_in_one_second_are_two_rows(spark):
+    kind = "tradingsymbol string, success boolean, order_id string, message string, error_kind string"
+    rows = [("A", False, None, "no funds", "broker"), ("A", False, None, "no margin", "broker"), ("A", None, None, None, None)]
+    got = orders.order_ledger(spark.createDataFrame(rows + rows, kind), NOW).collect()
+    assert sorted(r["broker_message"] or "" for r in got) == ["", "no funds", "no margin"]
+    assert len({r["id"] for r in got}) == 3
+
+
+def test_the_row_of_a_number_does_not_depend_on_its_order(spark):
+    kind = "tradingsymbol string, success boolean, order_id string, message string, response_no string"
+    rows = [("A", False, None, text, "7") for text in ("first", "second")]
+    for given in (rows, rows[::-1]):
+        got = orders.order_ledger(spark.createDataFrame(given, kind).repartition(2), NOW).collect()
+        assert [r["broker_message"] for r in got] == ["second"]
+
+
 def test_one_intent_per_pick_from_the_newest_quote(spark):
     quotes = spark.createDataFrame(
         [("A", 10.0, 1), ("A", 12.0, 3), ("A", 11.0, 2)], "tradingsymbol string, last_price double, quoted_at int"
