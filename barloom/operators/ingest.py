@@ -13,6 +13,10 @@ from barloom.sources.store import TableStore
 #: How far back a symbol without bars is loaded.
 FIRST_LOAD_MONTHS = 3
 
+#: How many symbols with older ranges than the others a tick scan names, and in how many groups.
+LISTED_SYMBOLS = 1_000
+SPANS = 8
+
 #: Bar lengths by name, as the start of the bar that a time falls into.
 INTERVALS = {
     "minute": lambda ts: F.date_trunc("minute", ts),
@@ -125,24 +129,57 @@ def ingest_new_bars(bars: DataFrame, plan: DataFrame, min_new_bars: int = 1) ->
     return fresh.join(enough, "tradingsymbol", "left_semi")
 
 
-def planned_ticks(ticks: DataFrame, plan: DataFrame, as_of: date, first_load_months: int = FIRST_LOAD_MONTHS) -> DataFrame:
+def tick_spans(plan: DataFrame) -> tuple[date | None, list[tuple[date, list[str]]]]:
+    """From when all symbols' ticks are needed, and from when those of a few older ones, by name.
+
+    At most ``LISTED_SYMBOLS`` symbols with the oldest ranges (halted or new ones) are named, in at most ``SPANS`` groups of
+    like age; so they do not open the scan of all others. Collected are one row per distinct start, and the named symbols.
+    """
+    starts = [tuple(r) for r in plan.groupBy("from_date").agg(F.count(F.lit(1))).orderBy("from_date").collect()]
+    if not starts:
+        return None, []
+    named, cut = 0, 0
+    while cut < len(starts) - 1 and named + starts[cut][1] <= LISTED_SYMBOLS:
+        named += starts[cut][1]
+        cut += 1
+    common = starts[cut][0]
+    older = plan.filter((F.col("from_date") < F.lit(common)) & F.col("tradingsymbol").isNotNull())
+    by_start: dict[date, list[str]] = {}
+    for row in older.select("tradingsymbol", "from_date").collect() if cut else []:
+        by_start.setdefault(row["from_date"], []).append(row["tradingsymbol"])
+    ages = sorted(by_start)
+    size = -(-len(ages) // SPANS) or 1
+    groups = [ages[i : i + size] for i in range(0, len(ages), size)]
+    return common, [(group[0], sorted(s for age in group for s in by_start[age])) for group in groups]
+
+
+def planned_ticks(ticks: DataFrame, plan: DataFrame, as_of: date) -> DataFrame:
     """The ticks that can make a planned bar, cut by time before anything is aggregated.
 
-    Symbols that have been loaded before need the days since the oldest of their watermarks; symbols without bars
-    need the whole first load and are found by name. Both bounds of either part are literals, which reach the scan.
+    One pass: the scan's filter is a disjunction of literal spans, one for all symbols and a few older ones that name their
+    symbols, so a single halted symbol adds only its own rows. Where ticks are laid out by a ``month`` column (the first of
+    the month), the spans bound it too and leave other folders unread. What is left is held against each symbol's
+    own range. An empty plan needs no ticks. ``plan`` should be a stored table, for it is read three times.
     """
-    first = (F.add_months(F.lit(as_of), -first_load_months)).alias("first")
-    loaded, new = F.col("from_date") != first, F.col("from_date") == first
-    since, start = plan.agg(F.min(F.when(loaded, F.col("from_date"))), F.first(first)).first()
-    end = datetime.combine(as_of + timedelta(days=1), time())
-
-    def part(symbols: DataFrame, low: date | None) -> DataFrame:
-        low = datetime.combine(low or as_of, time())
-        kind = ticks.schema["ts"].dataType
-        inside = ticks.filter((F.col("ts") >= F.lit(low).cast(kind)) & (F.col("ts") < F.lit(end).cast(kind)))
-        return inside.join(symbols.select("tradingsymbol"), "tradingsymbol", "left_semi")
-
-    return part(plan.filter(loaded), since).unionByName(part(plan.filter(new), start)).select(*ticks.columns)
+    common, named = tick_spans(plan)
+    if common is None:
+        return ticks.filter(F.lit(False))
+    kind = ticks.schema["ts"].dataType
+
+    def at(day: date) -> Column:
+        return F.lit(datetime.combine(day, time())).cast(kind)
+
+    def since(day: date) -> Column:
+        bound = F.col("ts") >= at(day)
+        return bound & (F.col("month") >= F.lit(day.replace(day=1))) if "month" in ticks.columns else bound
+
+    wanted = since(common)
+    for day, symbols in named:
+        wanted = wanted | (since(day) & F.col("tradingsymbol").isin(*symbols))
+    inside = ticks.filter((F.col("ts") < at(as_of + timedelta(days=1))) & wanted)
+    ranges = plan.select(F.col("tradingsymbol").alias("_symbol"), F.col("from_date").cast(kind).alias("_from"))
+    own = (F.col("tradingsymbol") == F.col("_symbol")) & (F.col("ts") >= F.col("_from"))
+    return inside.join(ranges, own, "left_semi")
 
 
 def append_new_bars(

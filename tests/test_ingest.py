@@ -220,6 +220,21 @@ def test_restarted_stream_from_scratch_adds_nothing(spark, store, tmp_path):
     assert store.read("stock_timeseries").count() == 3
 
 
+def scans(df):
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    return [line for line in text.splitlines() if "FileScan" in line and "ts#" in line]
+
+
+def same_bars(ticks, cut, plan):
+    new = ingest.ingest_new_bars(ingest.daily_bars(cut), plan)
+    whole = ingest.ingest_new_bars(ingest.daily_bars(ticks), plan)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, whole.collect()))
+    return new
+
+
 def test_ticks_are_cut_by_time_in_the_scan(spark, tmp_path):
     path = str(tmp_path / "ticks")
     land(spark, path, [t for rows in FILES for t in rows])
@@ -227,11 +242,53 @@ def test_ticks_are_cut_by_time_in_the_scan(spark, tmp_path):
     have = bars_frame(spark, bar_rows("A", [1.0] * 4))
     plan = ingest.ingest_plan(symbols(spark, "A", "B"), have, AS_OF)
     cut = ingest.planned_ticks(ticks, plan, AS_OF)
-    text = cut._jdf.queryExecution().executedPlan().toString()
-    assert text.count("GreaterThanOrEqual(ts,") == 2 and text.count("LessThan(ts,") == 2
-    new = ingest.ingest_new_bars(ingest.daily_bars(cut), plan)
-    whole = ingest.ingest_new_bars(ingest.daily_bars(ticks), plan)
-    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, whole.collect()))
+    (scan,) = scans(cut)
+    assert "Or(GreaterThanOrEqual(ts,2024-01-05T00:00),And(GreaterThanOrEqual(ts,2023-10-31T00:00),EqualTo(tradingsymbol,B)" in scan
+    assert "LessThan(ts,2024-02-01T00:00)" in scan
+    same_bars(ticks, cut, plan)
+
+
+def test_one_halted_symbol_does_not_open_the_scan_of_the_others(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path, plans = str(tmp_path / "ticks"), str(tmp_path / "plan")
+    rows = [(s, dt.datetime(2024, m, 10, 9), 10 * m + i, float(m), 1) for i, s in enumerate("ABC") for m in range(1, 7)]
+    ticks = spark.createDataFrame(rows, TICKS).withColumn("month", F.trunc("ts", "month"))
+    ticks.write.partitionBy("month").parquet(path)
+    as_of = dt.date(2024, 6, 30)
+    have = bars_frame(spark, bar_rows("A", [1.0], dt.date(2024, 3, 31)), bar_rows("B", [1.0], as_of - dt.timedelta(days=40)), bar_rows("C", [1.0], as_of - dt.timedelta(days=40)))
+    ingest.ingest_plan(symbols(spark, "A", "B", "C"), have, as_of).write.parquet(plans)
+    plan = spark.read.parquet(plans)
+    assert ingest.tick_spans(plan) == (dt.date(2024, 5, 22), [(dt.date(2024, 4, 1), ["A"])])
+    stored_ticks = spark.read.parquet(path)
+    cut = ingest.planned_ticks(stored_ticks, plan, as_of)
+    (scan,) = scans(cut)
+    assert "month#" in scan[scan.index("PartitionFilters") : scan.index("PushedFilters")]
+    for month in (1, 2, 3):  # folders no span reaches need not even be readable
+        for file in (tmp_path / "ticks" / f"month=2024-0{month}-01").glob("*.parquet"):
+            file.write_bytes(b"unreadable")
+            (file.parent / f".{file.name}.crc").unlink()
+    got = {(r["tradingsymbol"], r["ts"].month) for r in cut.collect()}
+    assert got == {("A", 4), ("A", 5), ("A", 6), ("B", 6), ("C", 6)}
+
+
+def test_spans_are_few_and_lose_no_symbol(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "LISTED_SYMBOLS", 30)
+    have = bars_frame(spark, *[bar_rows(f"S{n:02}", [1.0] * (1 + n % 20)) for n in range(60)])
+    plan = ingest.ingest_plan(symbols(spark, *[f"S{n:02}" for n in range(60)], "NEW"), have, AS_OF)
+    common, named = ingest.tick_spans(plan)
+    assert len(named) <= ingest.SPANS and sum(len(s) for _, s in named) <= 30
+    starts = {r["tradingsymbol"]: r["from_date"] for r in plan.collect()}
+    reached = {s: day for day, group in named for s in group}
+    assert all(reached.get(s, common) <= start for s, start in starts.items())
+    ticks = spark.createDataFrame([(f"S{n:02}", dt.datetime(2024, 1, d, 9), 100 * n + d, 1.0, 1) for n in range(60) for d in range(1, 31)], TICKS)
+    assert same_bars(ticks, ingest.planned_ticks(ticks, plan, AS_OF), plan).count() == sum(30 - (1 + n % 20) for n in range(60))
+
+
+def test_an_empty_plan_needs_no_ticks(spark):
+    ticks = spark.createDataFrame(FILES[0], TICKS)
+    plan = ingest.ingest_plan(symbols(spark, "A").filter("false"), bars_frame(spark, bar_rows("A", [1.0])), AS_OF)
+    assert ingest.planned_ticks(ticks, plan, AS_OF).collect() == []
 
 
 def test_interval_bars(spark):
