@@ -51,6 +51,8 @@ KINDS = [*BASE_KINDS, *MORE_KINDS]
 
 #: A value that at least so many owners have is a copied example and no one's own credential.
 EXAMPLE_OWNERS = 3
+#: Values with more than one in so many of all spans are hot: fewer than this many, by their definition.
+HOT_VALUES = 1_000
 PLACEHOLDERS = {"live": "<secret>", "example": "<example-secret>"}
 
 _COMPILED = [re.compile(kind.pattern) for kind in KINDS]
@@ -108,21 +110,35 @@ def _arrow_span() -> list[tuple[str, pa.DataType]]:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(hash, n_repos, n_owners) from (hash, repo, owner) rows, one for each candidate anywhere.
+    """(hash, n, n_repos, n_owners) from (hash, repo, owner) rows, one for each candidate anywhere.
 
     Distinct places come first, then counts per hash. Both aggregations combine before they shuffle, so a
     value copied into a third of all documents costs each task a row per place.
     """
     places = candidates.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = places.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
+    by_owner = places.groupBy("hash", "owner").agg(F.sum("n").alias("n"))
     repos = places.groupBy("hash", "repo").agg(F.lit(1).alias("one"))
     return (
         by_owner.groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("n_owners"))
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_owners"))
         .join(repos.groupBy("hash").agg(F.count("one").alias("n_repos")), "hash")
     )
 
 
+def _with_owners(spans: DataFrame, owners: DataFrame) -> DataFrame:
+    """``spans`` with the counts of their ``hash``.
+
+    A value with more than one in ``HOT_VALUES`` of all spans would gather its rows in one task of a join. There are fewer
+    than ``HOT_VALUES`` such values, whatever the corpus, so their counts are broadcast; the others are joined by hash.
+    """
+    total = owners.agg(F.sum("n")).first()[0] or 0
+    counts = owners.withColumn("hot", F.col("n") * HOT_VALUES > total)
+    hot = F.broadcast(counts.filter("hot").select("hash", "n_repos", "n_owners"))
+    cold = counts.filter(~F.col("hot")).select("hash", "n_repos", "n_owners")
+    rest = spans.join(hot.select("hash"), "hash", "left_anti")
+    return spans.join(hot, "hash").unionByName(rest.join(cold, "hash"))
+
+
 def scan_secrets(
     docs: DataFrame,
     repo: Column,
@@ -156,9 +172,8 @@ def scan_secrets(
     spans = with_spans.select("key", "repo", "owner", F.posexplode("found").alias("place", "span")).withColumn(
         "hash", F.sha2("span.value", 256)
     )
-    owned = spans.select("key", "hash", "place", "span").join(
-        ownership(spans.select("hash", "repo", "owner")), "hash"
-    )
+    owners = cut_lineage(ownership(spans.select("hash", "repo", "owner")), "secret-owners")
+    owned = _with_owners(spans.select("key", "hash", "place", "span"), owners)
     verdict = F.when(F.col("n_owners") >= example_owners, "example").otherwise("live")
     judged = F.struct(
         "place", "span.kind", "span.start", "span.end", "span.value_start", "span.value_end",

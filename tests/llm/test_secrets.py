@@ -1,9 +1,11 @@
 import re
 from collections import defaultdict
 
+import pytest
 from corpus import documents, prose
 from pyspark.sql import functions as F
 
+from barloom.llm import secrets
 from barloom.llm.secrets import find_spans, redact_secrets, scan_secrets
 
 KEYWORDS = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -63,3 +65,30 @@ def test_redaction_leaves_no_secret_and_clean_rows_alone(spark):
     before, after = ({(r.doc_id, r.text) for r in df.collect()} for df in (docs, clean))
     assert {x for x in before if not find_spans(x[1] or "")} <= after
     assert all(not find_spans(text or "") for _, text in after)
+
+
+@pytest.mark.parametrize("hot_values", [1, 3, 1_000])
+def test_one_value_in_most_documents(spark, monkeypatch, hot_values):
+    """With and without hot values, and with all of them hot, each span has the counts of its value."""
+    monkeypatch.setattr(secrets, "HOT_VALUES", hot_values)
+    texts = ["password=everywhere1"] * 40 + [f"secret=rare_value{i % 4} token=everywhere1" for i in range(8)] + ["clean"]
+    docs = spark.createDataFrame([(i, t, f"o{i % 5}", f"r{i % 7}") for i, t in enumerate(texts)], "doc_id int, text string, o string, r string")
+    places = defaultdict(set)
+    for i, text in enumerate(texts):
+        for span in find_spans(text):
+            places[span["value"]].add((f"o{i % 5}", f"r{i % 7}"))
+    rows = scan_secrets(docs, F.col("r"), F.col("o")).collect()
+    assert sorted(r["id"] for r in rows) == list(range(len(texts)))
+    for row in rows:
+        values = [s["value"] for s in find_spans(texts[row["id"]])]
+        assert [(s["n_owners"], s["n_repos"]) for s in row["spans"]] == [
+            (len({o for o, _ in places[v]}), len({r for _, r in places[v]})) for v in values
+        ]
+
+
+def test_hot_values_are_broadcast_and_only_they(spark):
+    owners = spark.createDataFrame([("hot", 10_000, 2, 2), ("cold", 9, 1, 1)], "hash string, n long, n_repos long, n_owners long")
+    spans = spark.createDataFrame([(1, "hot"), (2, "cold")], "key long, hash string")
+    plan = secrets._with_owners(spans, owners)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
+    assert sorted(map(tuple, secrets._with_owners(spans, owners).collect())) == [("cold", 2, 1, 1), ("hot", 1, 2, 2)]
