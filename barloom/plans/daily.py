@@ -27,7 +27,7 @@ from barloom.operators.selection import (
     top_picks,
 )
 from barloom.operators.universe import universe_snapshot
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, scratch_scope
 from barloom.sources.store import TableStore
 
 
@@ -114,26 +114,27 @@ def daily_selection(
     """Run the stages in order and return the day's picks from ``stock_short_buy``.
 
     ``bars`` are the landed daily bars and ``replies`` the landed sector replies. Stages hand over
-    through stored tables, each written once, so a failed run can be repeated from the start.
+    through stored tables, each written once, so a failed run can be repeated from the start. Scratch folders go with the run.
     """
-    stock_list = universe_snapshot(store, instruments, as_of)
-    load_bars(store, bars, stock_list, as_of, rules.min_new_bars)
-    longest = store.read("indicator_state").agg(F.max("n_rows")).first()[0] or 0
-    scores = store_scores(store, as_of, rules.score)
-    if replies is not None:
-        store_sectors(store, replies, as_of)
-    ranked = candidates(
-        latest_scores(scores), store.read("stock_sectors"), stock_list, rules.price_limit
-    )
-    picks = select_top(
-        ranked,
-        store.read("stock_timeseries").select("tradingsymbol", "date", "close"),
-        rules.top_n,
-        rules.correlation_threshold,
-        rules.align,
-        rules.max_per_sector,
-        longest,
-    )
-    store.replace_day("stock_short_buy", top_picks(ranked, picks, as_of), as_of)
+    with scratch_scope(store.spark):
+        stock_list = universe_snapshot(store, instruments, as_of)
+        load_bars(store, bars, stock_list, as_of, rules.min_new_bars)
+        longest = store.read("indicator_state").agg(F.max("n_rows")).first()[0] or 0
+        scores = store_scores(store, as_of, rules.score)
+        if replies is not None:
+            store_sectors(store, replies, as_of)
+        ranked = candidates(
+            latest_scores(scores), store.read("stock_sectors"), stock_list, rules.price_limit
+        )
+        picks = select_top(
+            ranked,
+            store.read("stock_timeseries").select("tradingsymbol", "date", "close"),
+            rules.top_n,
+            rules.correlation_threshold,
+            rules.align,
+            rules.max_per_sector,
+            longest,
+        )
+        store.replace_day("stock_short_buy", top_picks(ranked, picks, as_of), as_of)
     picked = store.read("stock_short_buy")
     return picked.filter(F.col("Date_Update") == F.lit(as_of))

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.sources import files
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+#: Scratch paths handed out inside the innermost open scope of this thread; None where no scope is open.
+_OPEN: ContextVar[list[str] | None] = ContextVar("open_scratch", default=None)
+
 
 def get_session(app_name: str = "barloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the plans are written for.
@@ -44,7 +52,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if (handed_out := _OPEN.get()) is not None:
+        handed_out.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch folders handed out inside it when it ends, also when it ends in an error.
+
+    For work whose results are stored before it returns: frames that still read a scratch folder must not leave the
+    scope. Scopes nest, each removing its own folders, and hold for the thread that opened them; folders made by other
+    threads, such as a stream's batches, stay.
+    """
+    token = _OPEN.set([])
+    try:
+        yield
+    finally:
+        paths = _OPEN.get()
+        _OPEN.reset(token)
+        for path in paths:
+            files.remove(spark, path)
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -31,7 +31,7 @@ from barloom.operators.ingest import (
     partial_bars,
 )
 from barloom.schemas import STOCK_TIMESERIES
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, scratch_scope
 from barloom.sources import files
 from barloom.sources.store import TableStore
 
@@ -109,7 +109,8 @@ def ingest_stream(
     log = StreamLog(store, checkpoint)
     _apply(log)
     _take_in(spark, source, schema, to_ticks, log, checkpoint, file_glob, files_per_batch)
-    _prepare(log, stock_list, as_of, min_new_bars, open_days)
+    with scratch_scope(spark):
+        _prepare(log, stock_list, as_of, min_new_bars, open_days)
     _apply(log)
 
 

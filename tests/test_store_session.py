@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.operators.scoring import ScoreRules
 from barloom.plans import daily
 from barloom.schemas import INSTRUMENTS, STOCK_LIST, STOCK_TIMESERIES
-from barloom.session import cut_lineage, scratch_path
+from barloom.session import cut_lineage, scratch_path, scratch_scope
 
 AS_OF = dt.date(2024, 3, 31)
 
@@ -20,6 +20,29 @@ def test_scratch_is_in_the_configured_folder(spark):
     assert scratch_path(spark, "x").startswith(root)
 
 
+def scratch_folders(spark):
+    from barloom.sources import files
+
+    return {name for name, _ in files.children(spark, spark.conf.get("spark.checkpoint.dir"))}
+
+
+def test_scratch_goes_with_its_scope(spark):
+    outer = cut_lineage(spark.range(3), "outer")
+    before = scratch_folders(spark)
+    with scratch_scope(spark):
+        kept = cut_lineage(spark.range(2), "first")
+        with scratch_scope(spark):
+            assert cut_lineage(spark.range(5), "second").count() == 5
+        assert not any(name.startswith("second-") for name in scratch_folders(spark))
+        assert kept.count() == 2
+    assert scratch_folders(spark) == before and outer.count() == 3
+    with pytest.raises(ValueError), scratch_scope(spark):
+        cut_lineage(spark.range(2), "third")
+        raise ValueError
+    assert scratch_folders(spark) == before
+    scratch_path(spark, "never-written")
+
+
 def test_cut_lineage_keeps_rows_and_schema(spark):
     df = spark.range(10).selectExpr("id", "array(id) as a", "cast(null as double) as d")
     cut = cut_lineage(df)
@@ -129,7 +152,9 @@ def test_daily_batch_can_be_repeated(spark, store, sector_limit):
             store, instruments(spark, 20), landed(spark, 22, 91), replies, AS_OF, rules
         ).collect()
 
+    before = scratch_folders(spark)
     first, second = run(), run()
+    assert scratch_folders(spark) == before
     assert sorted(first) == sorted(second)
     assert len(first) == (4 if sector_limit else 5)
     assert store.read("stock_timeseries").count() == 20 * 91
