@@ -22,11 +22,7 @@ from barloom.functions.series import (
     Steps,
     carry_depth,
     ema_decay,
-    in_chunks,
-    number_rows,
     series_frame,
-    longest_series,
-    whole_series,
 )
 from barloom.schemas import INDICATOR_COLUMNS
 from barloom.session import cut_lineage
@@ -165,18 +161,11 @@ def _macd_carry(chunk_rows: int, by_chunk) -> Column:
     return F.aggregate(ends, start, step)
 
 
-def _carries(
-    numbered: DataFrame, chunk_rows: int, obv: bool, macd: bool
-) -> DataFrame:
+def _carries(ends: DataFrame, chunk_rows: int, obv: bool, macd: bool) -> DataFrame:
     """State to start each chunk with, one row per (symbol, chunk) after the first.
 
-    Only symbols longer than a chunk are read, and only the last row of each full chunk reaches the
-    per-symbol window.
+    ``ends`` are the last rows of full chunks: a window per symbol holds one row for every ``chunk_rows``.
     """
-    frame = in_chunks(numbered.filter(F.col(TOTAL) > chunk_rows), 1, chunk_rows)
-    steps = [_local_obv(frame)] if obv else []
-    steps += [_local_macd(frame)] if macd else []
-    frame = frame.with_steps(*steps)
     by_chunk = Window.partitionBy(SYMBOL).orderBy(CHUNK)
     carries: list[Column] = []
     if obv:
@@ -184,18 +173,25 @@ def _carries(
         carries.append(total.alias("_obv_carry"))
     if macd:
         carries.append(_macd_carry(chunk_rows, by_chunk).alias("_macd_carry"))
-    ends = frame.rows().filter(frame.offset == chunk_rows - 1).select(SYMBOL, CHUNK, *carries)
-    return ends.withColumn(CHUNK, F.col(CHUNK) + 1)
+    return ends.select(SYMBOL, CHUNK, *carries).withColumn(CHUNK, F.col(CHUNK) + 1)
 
 
 def _complete(
-    frame: SeriesFrame, numbered: DataFrame | None, obv: bool = False, macd: bool = False
+    frame: SeriesFrame, names: list[str], obv: bool = False, macd: bool = False
 ) -> DataFrame:
-    """Turn chunk-local running values into values of the whole series."""
+    """The columns ``names`` with chunk-local running values turned into values of the whole series.
+
+    Rows of a chunked frame are read twice, as they are and for the state at the end of each chunk. They are written once to the
+    shared scratch folder with their windows done; the second read is pruned to the last rows of chunks and the running values.
+    """
     rows = frame.rows()
     if frame.chunked:
-        carry = _carries(numbered, frame.chunk_rows, obv, macd)
-        rows = rows.join(carry, [SYMBOL, CHUNK], "left")
+        running = (["_obv", "_obv_before"] if obv else []) + (["_fast", "_slow", "_signal"] if macd else [])
+        rows = cut_lineage(rows.select(*names, CHUNK, *running), "chunks")
+        ends = rows.filter(frame.offset == frame.chunk_rows - 1)
+        # written, so that its size is known: small ones are broadcast and the rows stay where they are
+        carries = cut_lineage(_carries(ends, frame.chunk_rows, obv, macd), "carries")
+        rows = rows.join(carries, [SYMBOL, CHUNK], "left")
     return with_carries(frame, rows, obv, macd)
 
 
@@ -231,21 +227,6 @@ def with_carries(frame: SeriesFrame, rows: DataFrame, obv: bool = True, macd: bo
     return rows
 
 
-def _layout(
-    bars: DataFrame, history: int, longest: int | None, chunk_rows: int
-) -> tuple[SeriesFrame, DataFrame | None]:
-    """A frame for indicators with running values, and the numbered rows when it is chunked.
-
-    The numbered rows are read twice (for the rows and for the carries), so they are written once to
-    the shared scratch folder; the second read is pruned to long symbols and four columns.
-    """
-    longest = longest_series(bars) if longest is None else longest
-    if longest <= chunk_rows:
-        return whole_series(bars, chunk_rows), None
-    numbered = cut_lineage(number_rows(bars), "numbered")
-    return in_chunks(numbered, history, chunk_rows), numbered
-
-
 def _keep(bars: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
     return rows.select(*bars.columns, POS, *names)
 
@@ -275,15 +256,15 @@ def atr14(bars: DataFrame, longest: int | None = None, chunk_rows: int = CHUNK_R
 
 def macd(bars: DataFrame, longest: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Difference of the 12- and 26-row exponential averages, and its 9-row exponential average."""
-    frame, numbered = _layout(bars, 1, longest, chunk_rows)
-    rows = _complete(frame.with_steps(_local_macd(frame)), numbered, macd=True)
+    frame = series_frame(bars, 1, longest, chunk_rows)
+    rows = _complete(frame.with_steps(_local_macd(frame)), [*bars.columns, POS], macd=True)
     return _keep(bars, rows, "MACD", "MACD_signal")
 
 
 def obv(bars: DataFrame, longest: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Running volume signed by the direction of ``close``; 0 on the first row."""
-    frame, numbered = _layout(bars, 1, longest, chunk_rows)
-    rows = _complete(frame.with_steps(_local_obv(frame)), numbered, obv=True)
+    frame = series_frame(bars, 1, longest, chunk_rows)
+    rows = _complete(frame.with_steps(_local_obv(frame)), [*bars.columns, POS], obv=True)
     return _keep(bars, rows, "OBV")
 
 
@@ -326,13 +307,14 @@ def indicator_history(
     The last row is known from the series length or from having no successor, so the latest bars can
     be filtered out of the stored result without grouping it again.
     """
-    frame, numbered = _layout(bars, HISTORY, longest, chunk_rows)
+    frame = series_frame(bars, HISTORY, longest, chunk_rows)
     if frame.chunked:
         is_last = F.col(POS) == F.col(TOTAL) - 1
     else:
         is_last = F.lead(DATE).over(frame.window).isNull()
     frame = frame.with_steps([{"is_last": is_last}], *all_steps(frame))
-    rows = _complete(frame, numbered, obv=True, macd=True)
+    done = [name for name in INDICATOR_COLUMNS if name not in ("OBV", "MACD", "MACD_signal")]
+    rows = _complete(frame, [*bars.columns, POS, *done, "is_last"], obv=True, macd=True)
     return _keep(bars, rows, *INDICATOR_COLUMNS, "previous_OBV", "is_last")
 
 
