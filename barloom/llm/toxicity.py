@@ -7,14 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import col, label_fold
+from barloom.llm.common import col, cut_lineage, label_fold
 from barloom.llm.labelled import training_rows
 
 #: Labelled documents that a fit uses, of either label.
 PER_CLASS = 2_500
+#: Bytes of their bags that reach the driver, half of them for either label.
+FIT_BYTES = 96 << 20
 BUCKETS = 1 << 16
 SIZES = (4, 5, 6)
 DIMENSIONS = 8
@@ -130,10 +132,14 @@ def bag_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return buckets.astype(np.uint16), (counts[buckets] / max(1, counts.sum())).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel:
-    """Fit on at most ``2 * PER_CLASS`` labelled documents outside fold 0. Their whole texts become bags on
-    the executors; only the bags reach the driver."""
-    rows = training_rows(docs, labels, "toxic", PER_CLASS, id_col, text_col)
+def training_bags(rows: DataFrame, budget: int) -> DataFrame:
+    """``id``, ``label``, ``buckets`` and ``shares`` of the documents in ``rows`` that a fit uses.
+
+    An id that several documents have counts once, with its smallest text. The whole texts become bags on the
+    executors, which are written. Of either label those documents stay whose bags, in the order of a hash of the
+    id, fit into half of ``budget`` bytes. Only sizes are sorted, at most PER_CLASS of either label.
+    """
+    once = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,13 +150,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     batch.column("label"),
                     pa.array([b.tobytes() for b, _ in found], pa.binary()),
                     pa.array([s.tobytes() for _, s in found], pa.binary()),
+                    pa.array([b.nbytes + s.nbytes for b, s in found], pa.int64()),
                 ],
-                ["id", "label", "buckets", "shares"],
+                ["id", "label", "buckets", "shares", "size"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    layout = f"id {kind}, label int, buckets binary, shares binary"
-    drawn = sorted(rows.select("id", "text", "label").mapInArrow(bags, layout).collect(), key=lambda r: r[0])
+    layout = f"id {kind}, label int, buckets binary, shares binary, size long"
+    written = cut_lineage(once.select("id", "text", "label").mapInArrow(bags, layout), "bags")
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = written.select("id", "label", F.sum("size").over(so_far).alias("reached"))
+    chosen = sizes.filter(F.col("reached") <= budget // 2).select("id")
+    return written.join(F.broadcast(chosen), "id").select("id", "label", "buckets", "shares")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel:
+    """Fit on at most ``2 * PER_CLASS`` labelled documents outside fold 0, as far as their bags fit into FIT_BYTES;
+    only these bags reach the driver. However many documents there are and however long, they take no more."""
+    rows = training_rows(docs, labels, "toxic", PER_CLASS, id_col, text_col)
+    drawn = sorted(training_bags(rows, FIT_BYTES).collect(), key=lambda r: r[0])
     known = labels.filter(col("toxic").isin(0, 1) & (label_fold(col(id_col)) != 0))
     prior = known.agg(F.avg(col("toxic").cast("double"))).first()[0]
     found = [(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.float32)) for r in drawn]

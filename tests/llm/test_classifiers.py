@@ -40,6 +40,39 @@ def test_held_out_toxicity(toxic):
     assert ((scores >= 0.5) == truth).mean() > 0.85
 
 
+def test_scores_are_a_softmax_over_averaged_embeddings(toxic):
+    docs, model = toxic
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.score_toxicity(docs, model).limit(50).collect():
+        buckets = toxicity.subword_buckets(texts[r.id])
+        logits = model.embeddings[buckets].mean(axis=0) @ model.weights + model.bias
+        raised = np.exp(logits - logits.max())
+        assert r.score == pytest.approx(raised[1] / raised.sum(), abs=1e-9)
+
+
+def test_bags_of_a_fit_are_bounded_in_bytes(spark):
+    """Long texts and repeated ids do not take more than the budget; each label has its half."""
+    rows = spark.createDataFrame(
+        [(i, prose(i, 400 if i % 4 == 0 else 20), i % 2) for i in range(60)] + [(7, prose(90, 20), 1)] * 200,
+        "id long, text string, label int",
+    )
+    everything = toxicity.training_bags(rows, 1 << 30).collect()
+    assert sorted(r.id for r in everything) == list(range(60))
+    repeated = next(r for r in everything if r.id == 7)
+    smallest = np.unique(toxicity.subword_buckets(min(prose(7, 20), prose(90, 20))))
+    assert np.frombuffer(repeated.buckets, np.uint16).tolist() == smallest.tolist()
+
+    def size(rows, label):
+        return sum(len(r.buckets) + len(r.shares) for r in rows if r.label == label)
+
+    budget = size(everything, 0)
+    some = toxicity.training_bags(rows, budget).collect()
+    assert 0 < size(some, 0) <= budget // 2 and 0 < size(some, 1) <= budget // 2
+    assert {r.id for r in some if r.label == 0} < {r.id for r in everything if r.label == 0}
+    assert {(r.id, r.buckets) for r in some} <= {(r.id, r.buckets) for r in everything}
+    assert toxicity.training_bags(rows.limit(0), budget).collect() == []
+
+
 def test_unseen_misspellings(toxic):
     """Words that no training text has share most n-grams with those that mark toxic texts."""
     _, model = toxic
