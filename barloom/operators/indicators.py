@@ -32,14 +32,16 @@ MA_SHORT, MA_LONG = 20, 50
 RSI_ROWS, ATR_ROWS = 14, 14
 FAST_SPAN, SLOW_SPAN, SIGNAL_SPAN = 12, 26, 9
 VOLUME_ROWS, WEEK_ROWS, MONTH_ROWS = 20, 5, 22
+# rows of the parts that these lengths are put together from
+MEAN_PART, FORTNIGHT_PART, MONTH_PART = 10, 7, 11
 
 HISTORY = MA_LONG - 1
 # the two averages behind MACD, as they stand after a row
 FAST_END, SLOW_END = "_fast_end", "_slow_end"
 
 
-# Each indicator is a list of steps: 0 looks at earlier rows, 1 combines them, 2 rolls or accumulates
-# over rows, 3 builds on the rolled values. Steps of several indicators are merged.
+# Each indicator is a list of steps: 0 looks at earlier rows, 1 combines them, 2 rolls parts or accumulates
+# over rows, 3 puts parts together, 4 builds on the rolled values. Steps of several indicators are merged.
 
 
 def _before(frame: SeriesFrame) -> dict[str, Column]:
@@ -51,11 +53,12 @@ def _move() -> Column:
 
 
 def _moving_averages(frame: SeriesFrame) -> Steps:
+    sums = {"_close_part": frame.part(F.sum, "close", MEAN_PART)}
     means = {
-        "MA20": frame.rolling(F.avg, "close", MA_SHORT, first=0),
-        "MA50": frame.rolling(F.avg, "close", MA_LONG, first=0),
+        name: F.when(F.col(POS) >= rows - 1, frame.over_parts("_close_part", MEAN_PART, rows // MEAN_PART) / F.lit(float(rows)))
+        for name, rows in (("MA20", MA_SHORT), ("MA50", MA_LONG))
     }
-    return [{}, {}, means]
+    return [{}, {}, sums, means]
 
 
 def _rsi(frame: SeriesFrame) -> Steps:
@@ -65,31 +68,54 @@ def _rsi(frame: SeriesFrame) -> Steps:
         "_gain": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))),
         "_loss": F.when(move.isNotNull(), -F.least(move, F.lit(0.0))),
     }
+    sums = {f"_{kind}_part": frame.part(F.sum, f"_{kind}", FORTNIGHT_PART) for kind in ("gain", "loss")}
+    full, parts = F.col(POS) >= RSI_ROWS, RSI_ROWS // FORTNIGHT_PART
     means = {
-        "_avg_gain": frame.rolling(F.avg, "_gain", RSI_ROWS, first=1),
-        "_avg_loss": frame.rolling(F.avg, "_loss", RSI_ROWS, first=1),
+        f"_avg_{kind}": F.when(full, frame.over_parts(f"_{kind}_part", FORTNIGHT_PART, parts) / F.lit(float(RSI_ROWS)))
+        for kind in ("gain", "loss")
     }
     gain, loss = F.col("_avg_gain"), F.col("_avg_loss")
     strength = F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.try_divide(gain, loss))
     rsi = F.when((loss == 0) & (gain > 0), F.lit(100.0)).when(loss > 0, strength)
-    return [_before(frame), moves, means, {"RSI14": rsi}]
+    return [_before(frame), moves, sums, means, {"RSI14": rsi}]
 
 
 def _atr(frame: SeriesFrame) -> Steps:
     high, low, before = F.col("high"), F.col("low"), F.col("_before")
     # greatest skips NULL: the first row of a series uses high - low alone
     true_range = F.greatest(high - low, F.abs(high - before), F.abs(low - before))
-    mean = {"ATR14": frame.rolling(F.avg, "_range", ATR_ROWS)}
-    return [_before(frame), {"_range": true_range}, mean]
+    sums = _counted_sums(frame, "_range", FORTNIGHT_PART)
+    mean = {"ATR14": _mean_of_parts(frame, "_range", FORTNIGHT_PART, ATR_ROWS)}
+    return [_before(frame), {"_range": true_range}, sums, mean]
+
+
+def _counted_sums(frame: SeriesFrame, column: str, rows: int) -> dict[str, Column]:
+    return {f"{column}_part": frame.part(F.sum, column, rows), f"{column}_count": frame.part(F.count, column, rows)}
+
+
+def _mean_of_parts(frame: SeriesFrame, column: str, part: int, rows: int) -> Column:
+    """Mean of the last ``rows`` values from parts of ``part`` rows; NULL until that many non-null ones are there."""
+    full = frame.over_parts(f"{column}_count", part, rows // part) == rows
+    return F.when(full, frame.over_parts(f"{column}_part", part, rows // part) / F.lit(float(rows)))
 
 
 def _liquidity_volatility(frame: SeriesFrame) -> Steps:
+    daily = {"_return": ratio_change(F.col("close"), F.col("_before"))}
+    parts = {
+        **_counted_sums(frame, "volume", MEAN_PART),
+        **_counted_sums(frame, "_return", MONTH_PART),
+        "_return_spread": frame.part(F.var_pop, "_return", MONTH_PART),
+    }
+    # squares about the mean of all rows: those about the means of both halves, and the distance of these means
+    spread = frame.over_parts("_return_spread", MONTH_PART, 2) * F.lit(float(MONTH_PART))
+    apart = (F.col("_return_part") - frame.previous("_return_part", MONTH_PART)) / F.lit(float(MONTH_PART))
+    squares = spread + apart * apart * F.lit(MONTH_PART / 2.0)
+    full = frame.over_parts("_return_count", MONTH_PART, 2) == MONTH_ROWS
     rolled = {
-        "avg_daily_volume": frame.rolling(F.avg, "volume", VOLUME_ROWS),
-        "volatility_1m": frame.rolling(F.stddev_samp, "_return", MONTH_ROWS),
+        "avg_daily_volume": _mean_of_parts(frame, "volume", MEAN_PART, VOLUME_ROWS),
+        "volatility_1m": F.when(full, F.sqrt(squares / F.lit(MONTH_ROWS - 1.0))),
     }
-    daily = {"_return": ratio_change(F.col("close"), F.col("_before"))}
-    return [_before(frame), daily, rolled]
+    return [_before(frame), daily, parts, rolled]
 
 
 def _price_changes(frame: SeriesFrame) -> Steps:

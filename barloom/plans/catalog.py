@@ -13,6 +13,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import round_half_up
 from barloom.operators import indicators as ind
 from barloom.operators import calendar, incremental, ingest, market, news, orders, scoring, sectors, selection, universe
 from barloom.plans import daily
@@ -41,7 +42,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     computed = {name for name, kind in df.dtypes if kind == "double"} - set(BAR_COLUMNS)
     return df.select(
         *[
-            F.round(F.col(name), places).alias(name) if name in computed else F.col(name)
+            round_half_up(name, places).alias(name) if name in computed else F.col(name)
             for name in df.columns
         ]
     )

@@ -9,6 +9,7 @@ from frames import bar_rows, bars_frame
 from pyspark.sql import functions as F
 
 from barloom.functions import series
+from barloom.functions.columns import round_half_up
 from barloom.operators import indicators as ind
 from barloom.schemas import INDICATOR_COLUMNS
 
@@ -208,3 +209,37 @@ def test_chunk_longer_than_the_average_can_hold(spark):
     bars = bars_frame(spark, bar_rows("A", [1.0, 2.0]))
     with pytest.raises(ValueError):
         ind.macd(bars, chunk_rows=4000)
+
+
+def test_parts_equal_whole_look_backs(spark):
+    """Indicators put together from parts against one frame per look-back, over values missing here and there."""
+    rng = np.random.default_rng(11)
+    rows = bar_rows("A", np.round(np.maximum(50 + rng.normal(0, 5, 120).cumsum(), 0.5), 2))
+    rows += bar_rows("Z", [0.0 if i in (30, 31) else 5.0 + i % 3 for i in range(70)])
+    bars = bars_frame(spark, rows).withColumn("volume", F.when(F.col("close") != 7.0, F.col("volume")))
+    got = ind.indicators(bars)
+    frame = series.series_frame(bars, 49, 120)
+    steps = [{"_b": frame.previous("close")}, {"_r": F.try_divide(F.col("close"), F.col("_b")) - 1}]
+    whole = {
+        "MA20": frame.rolling(F.avg, "close", 20, first=0),
+        "MA50": frame.rolling(F.avg, "close", 50, first=0),
+        "avg_daily_volume": frame.rolling(F.avg, "volume", 20),
+        "volatility_1m": frame.rolling(F.stddev_samp, "_r", 22),
+    }
+    names = ["tradingsymbol", "date", *whole]
+    want = frame.with_steps([*steps, whole]).rows().select(names).orderBy(names[:2]).collect()
+    found = got.select(names).orderBy(names[:2]).collect()
+    assert [[v is None for v in r] for r in found] == [[v is None for v in r] for r in want]
+    for a, b in zip(found, want, strict=True):
+        assert [x for x in a[2:] if x is not None] == pytest.approx([x for x in b[2:] if x is not None], rel=1e-12)
+
+
+def test_round_half_up_equals_round(spark):
+    odd = [0.0, -0.0, 1e-9, -1e-9, 0.5e-6, 1.0000005, -1.0000005, 2.5e-6, 1e300, -1e18, 123456789.1234565, float("inf"), float("nan"), None]
+    rng = np.random.default_rng(5)
+    odd += (rng.normal(0, 1, 3000) * 10.0 ** rng.integers(-8, 12, 3000)).tolist()
+    odd += [round(x, 7) for x in (rng.integers(0, 10**9, 3000) * 10 + 5) / 1e7]
+    df = spark.createDataFrame([(None if x is None else float(x),) for x in odd], "x double")
+    for places in (4, 6):
+        rows = df.select(round_half_up("x", places).alias("a"), F.round("x", places).alias("b"))
+        assert rows.filter("not (cast(a as string) <=> cast(b as string))").count() == 0

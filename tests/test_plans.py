@@ -59,3 +59,10 @@ def test_correlation_aggregates_before_its_shuffle(bars):
     plan = plan_of(selection.return_correlation(returns, few, other_rows=80))
     assert "BroadcastHashJoin" in plan
     assert "partial_covar_samp" in plan
+
+
+def test_look_backs_slide_over_short_parts(bars):
+    """A sliding frame is computed anew for each row, so 50 rows are put together from parts of 10."""
+    plan = plan_of(ind.indicators(bars, longest=80))
+    lengths = [int(n) for n in re.findall(r"RowFrame, -(\d+), currentrow\$?\(?\)?", plan)]
+    assert lengths and max(lengths) < ind.MONTH_PART
