@@ -69,26 +69,35 @@ class TableStore:
                     rows = rows.filter(keeps(F.col("month"), F.lit(bound.replace(day=1))))
         return rows.drop(*DERIVED.get(table, {}))
 
-    def _rows(self, table: str, df: DataFrame) -> DataFrame:
+    def _rows(self, table: str, df: DataFrame, gather: bool = True) -> DataFrame:
         schema, partitions = TABLES[table]
         df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
         df = df.withColumns({name: F.expr(sql) for name, (_, sql) in DERIVED.get(table, {}).items()})
         # group a day's rows into few files; AQE splits days that are too large for one task
-        return df.hint("rebalance", *partitions) if partitions else df
+        return df.hint("rebalance", *partitions) if partitions and gather else df
 
-    def append(self, table: str, df: DataFrame) -> None:
+    def append(self, table: str, df: DataFrame, gather: bool = True) -> None:
+        """Append rows, those of a partition gathered into few files.
+
+        Without ``gather`` they are not shuffled for that, and each task writes a file per partition: for loads whose every
+        task has many rows of every partition.
+        """
         self.create(table)
-        self._rows(table, df).write.mode("append").insertInto(f"{self.database}.{table}")
+        self._rows(table, df, gather).write.mode("append").insertInto(f"{self.database}.{table}")
 
-    def append_missing(self, table: str, df: DataFrame, key: list[str]) -> None:
+    def append_missing(
+        self, table: str, df: DataFrame, key: list[str], dates: DataFrame | None = None, gather: bool = True
+    ) -> None:
         """Append the rows of ``df`` whose ``key``, with ``date`` in it, is not there; only their months are read.
 
-        ``df`` should be stored rows, for it is read twice.
+        ``df`` should be stored rows, for it is read twice, or ``dates`` stored rows with the same dates. Where the table
+        has nothing between these dates, the rows are appended without a join.
         """
-        since, until = df.agg(F.min("date"), F.max("date")).first()
+        since, until = (df if dates is None else dates).agg(F.min("date"), F.max("date")).first()
         if since is not None:
             known = self.read(table, since, until).select(*key)
-            self.append(table, df.join(known, key, "left_anti"))
+            missing = df if known.isEmpty() else df.join(known, key, "left_anti")
+            self.append(table, missing, gather)
 
     def replace(self, table: str, df: DataFrame) -> None:
         """Publish ``df`` as the new version of a table without partitions; it may have been read from the old one."""

@@ -101,3 +101,24 @@ def test_a_broken_extension_can_be_repeated(spark, tmp_path, bars, whole, monkey
 def test_nothing_to_extend(spark, store, bars):
     incremental.extend_indicators(store, bars.limit(0))
     assert incremental.maintained_latest(store).count() == 0 and not store.exists("stock_indicators")
+
+
+def test_a_first_load_leaves_no_copies_of_all_rows(spark, store, bars, monkeypatch):
+    """Besides the table only rows per symbol are written, and the rows are shuffled by nothing but their symbol."""
+    plan = incremental.extended_rows(bars, None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    written, appended = [], []
+
+    def noted(df, label="stage"):
+        written.append(df.count())
+        return cut_lineage(df, label)
+
+    def append(table, df, gather=True, plain=store.append):
+        appended.append(df._jdf.queryExecution().executedPlan().toString())
+        plain(table, df, gather)
+        assert not gather
+
+    monkeypatch.setattr(incremental, "cut_lineage", noted)
+    monkeypatch.setattr(store, "append", append)
+    incremental.extend_indicators(store, bars)
+    assert written == [6] and "Join" not in appended[0]
