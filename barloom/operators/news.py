@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import round_half_even
+from barloom.session import cut_lineage
 
 # fixed value: constant of the compound polarity s / sqrt(s^2 + 15), kept to 4 decimals
 NORMALISER = 15.0
@@ -19,8 +20,8 @@ SPREAD = 64
 #: Up to this many lexicon words are broadcast.
 BROADCAST_WORDS = 100_000
 #: Of a larger lexicon, the words looked for in a sketch of the texts, the entries of that sketch, the items it sees.
-HOT_WORDS = 64
-SKETCH_WORDS = 10_000
+HOT_WORDS = 4_096
+SKETCH_WORDS = 65_536
 HOT_SAMPLE = 0.05
 
 
@@ -94,13 +95,12 @@ def hot_words(news: DataFrame, share: float = HOT_SAMPLE) -> list[str]:
 
 
 def _valued(words: DataFrame, lexicon: DataFrame, hot: list[str]) -> DataFrame:
-    """(name, item_no, word, n) with the word's valence: hot words from a small broadcast, the others by a plain join."""
-    plain = words.filter(~F.col("word").isin(*hot)) if hot else words
-    found = plain.join(lexicon, "word", "left")
+    """(name, item_no, word) with the word's valence: hot words from a small broadcast, the others by a plain join."""
     if not hot:
-        return found
-    listed = F.broadcast(lexicon.filter(F.col("word").isin(*hot)))
-    return found.unionByName(words.filter(F.col("word").isin(*hot)).join(listed, "word", "left"))
+        return words.join(lexicon, "word", "left")
+    is_hot = F.col("word").isin(*hot)
+    found = words.filter(~is_hot).join(lexicon, "word", "left")
+    return found.unionByName(words.filter(is_hot).join(F.broadcast(lexicon.filter(is_hot)), "word", "left"))
 
 
 def lexicon_sentiment(news: DataFrame, lexicon: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -108,23 +108,22 @@ def lexicon_sentiment(news: DataFrame, lexicon: DataFrame, broadcast_words: int
 
     ``lexicon`` has ``word, valence``, a word once. The words of whole texts are matched with it and summed per
     item; an item without a hit comes out as 0. A lexicon of at most ``broadcast_words`` words is broadcast, and then
-    nothing but one narrow row per item and task is shuffled. Beyond that the words are summed per item before they are
-    shuffled; the words that a sketch finds to be hot meet a broadcast of their at most ``HOT_WORDS`` entries, all others are
-    joined plainly, so no key has more than a small share of the rows and each lexicon entry is shuffled once.
+    nothing but one narrow row per item and task is shuffled. Beyond that the words that a sketch finds to be hot, most of
+    any text, meet a broadcast of their at most ``HOT_WORDS`` entries and are summed per item where they are; all others are
+    joined plainly, so no key has more than a small share of the rows and each lexicon entry is shuffled once. The lexicon
+    is written first, for it is read up to three times and may have been gathered from the texts.
     """
-    lexicon = lexicon.select("word", "valence")
+    lexicon = cut_lineage(lexicon.select("word", "valence"), "lexicon")
     words = item_words(news)
     if lexicon.limit(broadcast_words + 1).count() <= broadcast_words:
-        valued = words.join(F.broadcast(lexicon), "word", "left").withColumn("n", F.lit(1))
+        valued = words.join(F.broadcast(lexicon), "word", "left")
     else:
-        counted = words.groupBy("name", "item_no", "word").agg(F.count(F.lit(1)).alias("n"))
-        valued = _valued(counted, lexicon, hot_words(news))
-    hits = F.sum(F.when(F.col("valence").isNotNull(), F.col("n")))
-    total = F.coalesce(F.sum(F.col("valence") * F.col("n")), F.lit(0.0))
+        valued = _valued(words, lexicon, hot_words(news))
+    total = F.coalesce(F.sum("valence"), F.lit(0.0))
     compound = F.col("_total") / F.sqrt(F.col("_total") * F.col("_total") + F.lit(NORMALISER))
     return (
         valued.groupBy("name", "item_no")
-        .agg(F.coalesce(hits, F.lit(0)).cast("long").alias("n_hits"), total.alias("_total"))
+        .agg(F.count("valence").alias("n_hits"), total.alias("_total"))
         .select(
             "name", "item_no", "n_hits", F.round(compound, COMPOUND_PLACES).alias("sentiment")
         )

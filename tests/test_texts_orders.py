@@ -314,3 +314,17 @@ def test_jdbc_options():
     assert "partitionColumn" not in jdbc_options("jdbc:x", "bars")
     with pytest.raises(ValueError):
         read_jdbc(None, "jdbc:x", "bars")
+
+
+def test_a_lexicon_gathered_from_the_texts_is_gathered_once(spark, monkeypatch):
+    """The texts are split for the hot words and for the others, not again for the lexicon, and words meet no shuffle of their own."""
+    monkeypatch.setattr(news.hot_words, "__defaults__", (1.0,))
+    monkeypatch.setattr(news, "HOT_WORDS", 2)
+    texts = [("N", i, "good good bad Größe", "fine " * (i % 3), "") for i in range(40)]
+    items = spark.createDataFrame([*texts, texts[0]], NEWS)
+    words = news.item_words(items).select("word").distinct().withColumn("valence", F.length("word") % 7 / F.lit(2.0))
+    one = {tuple(r) for r in news.lexicon_sentiment(items, words).collect()}
+    shuffled = news.lexicon_sentiment(items, words, broadcast_words=2)
+    assert {tuple(r) for r in shuffled.collect()} == one and len(one) == 40
+    plan = shuffled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and plan.count("Aggregate") == 1
