@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,19 +96,18 @@ class SeriesFrame:
         return F.when(full, aggregate(value).over(frame))
 
     def part(self, aggregate: Callable[[Column], Column], column: str, rows: int) -> Column:
-        """Aggregate of the last ``rows`` values: one part of a longer look-back (see ``over_parts``)."""
-        return aggregate(F.col(column)).over(self.window.rowsBetween(-(rows - 1), 0))
+        """Aggregate of the last ``rows`` values, 0 over none: one part of a longer look-back (see ``over_parts``)."""
+        value = aggregate(F.col(column)).over(self.window.rowsBetween(-(rows - 1), 0))
+        return F.coalesce(value.cast("double"), F.lit(0.0))
 
     def over_parts(self, column: str, rows: int, parts: int) -> Column:
         """Sum of a part of ``rows`` rows and of those before it, ``parts`` in all.
 
         Spark computes a sliding frame anew for each row, at the cost of its length. Parts of a few rows, and lags of
-        them, cost a fraction of that; nothing is subtracted, so no digits are lost. NULL until all parts are there.
+        them, cost a fraction of that; nothing is subtracted, so no digits are lost. Rows before the first count as 0.
         """
-        total = F.col(column) if parts == 1 else self.previous(column, (parts - 1) * rows)
-        for n in range(parts - 2, -1, -1):
-            total = total + (self.previous(column, n * rows) if n else F.col(column))
-        return total
+        earlier = [F.lag(column, n * rows, 0.0).over(self.window) for n in range(parts - 1, 0, -1)]
+        return reduce(Column.__add__, [*earlier, F.col(column)])
 
     def running_sum(self, value: Column, until: int = 0) -> Column:
         """Sum over the rows of the chunk so far, context rows left out."""

@@ -54,11 +54,15 @@ def _move() -> Column:
 
 def _moving_averages(frame: SeriesFrame) -> Steps:
     sums = {"_close_part": frame.part(F.sum, "close", MEAN_PART)}
+    # a position may count rows without a date, which are no rows of a chunk
     means = {
-        name: F.when(F.col(POS) >= rows - 1, frame.over_parts("_close_part", MEAN_PART, rows // MEAN_PART) / F.lit(float(rows)))
+        name: F.when(
+            F.col(POS) >= rows - 1,
+            frame.over_parts("_close_part", MEAN_PART, rows // MEAN_PART) / F.least(F.col("_seen"), F.lit(rows)),
+        )
         for name, rows in (("MA20", MA_SHORT), ("MA50", MA_LONG))
     }
-    return [{}, {}, sums, means]
+    return [{"_seen": F.row_number().over(frame.window)}, {}, sums, means]
 
 
 def _rsi(frame: SeriesFrame) -> Steps:

@@ -243,3 +243,12 @@ def test_round_half_up_equals_round(spark):
     for places in (4, 6):
         rows = df.select(round_half_up("x", places).alias("a"), F.round("x", places).alias("b"))
         assert rows.filter("not (cast(a as string) <=> cast(b as string))").count() == 0
+
+
+def test_means_of_a_chunk_whose_positions_count_a_row_without_a_date(spark):
+    rows = bar_rows("A", range(1, 71))
+    undated = [(s, None, *rest) for s, _, *rest in bar_rows("A", [5.0])]
+    found = ind.moving_averages(bars_frame(spark, rows + undated), chunk_rows=64).orderBy("pos").collect()
+    assert [r["pos"] for r in found] == list(range(1, 71))
+    assert found[18]["MA20"] == pytest.approx(10.0) and found[48]["MA50"] == pytest.approx(25.0)
+    assert found[69]["MA20"] == pytest.approx(60.5) and found[17]["MA20"] is None
