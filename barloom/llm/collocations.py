@@ -9,8 +9,10 @@ the leaves they reach with ``bincount``, and Spark adds up the counts of all tas
   write only such id sequences.
 * **Candidates** need no counts, only the knowledge that a sequence is frequent: tasks send a sequence with its count cut
   off at ``least``, and sums of these reach ``least`` exactly where the true counts do.
-* **Nothing unbounded is broadcast.** A trie holds ``TRIE_KEYS`` candidates, or words of ``TRIE_BYTES`` on average. More of them
-  make more tries, which are applied one after the other, each by a pass over the id sequences.
+* **Nothing unbounded is broadcast.** A trie holds ``TRIE_KEYS`` candidates, or words of ``TRIE_BYTES``. Where these do not fit into
+  one, tries are not broadcast but built where they are asked: a task sends the distinct words or pairs of each block of its
+  sequences to the shards that hold them, and the answers come back to the block. So texts and sequences are read and written
+  once, however many tries there are.
 * **No hot group.** Tasks add up before they send, so a sequence arrives once per task at most; the best of a language are
   found in 64 groups first.
 
@@ -20,31 +22,38 @@ an empty table has no collocations.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import double_array as trie
-from barloom.llm.common import col, cut_lineage, numbered
+from barloom.llm.common import col, cut_lineage, forget, numbered
 
 UNDETERMINED = "und"
 LEAST, COVER_PERCENT, TOP, SCALE, MAX_WORDS = 10, 50, 2_000, 1_000_000, 3
 
 TRIE_KEYS = 1 << 19
 TRIE_BYTES = 4 << 20
+#: So many words of text ask each of several tries, on average at most.
+SHARD_WORDS = 1 << 22
 #: So many bytes of text, or entries of counts, are worked on at a time.
 CHUNK_BYTES = 2 << 20
 CHUNK_ENTRIES = 1 << 20
 #: An id is written in digits of so many bits; a node of a trie has at most 2^DIGIT_BITS children then.
 DIGIT_BITS = 6
-#: Rows of a batch of counts.
+#: Rows of a batch of counts, and about so many ids in a row of sequences.
 BATCH_ROWS = 1 << 16
+ROW_IDS = 1 << 14
 GROUPS = 64
 
 _SPACE = 0x20
@@ -54,6 +63,7 @@ _ENDS = _BREAKS + b"\x20\t"
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + _ENDS, bytes(range(97, 123)) + b" " * len(_ENDS))
 _IS_BREAK = np.isin(np.arange(256), np.frombuffer(_BREAKS, dtype=np.uint8))
 
+SEQUENCES = "block long, ids binary"
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 
 
@@ -112,46 +122,59 @@ def _count_words(batches):
     yield from told()
 
 
-def _build(rows):
-    """One shard's trie; ``ids`` are the candidates' ids in the order of their leaves."""
-    base, check = trie.build(rows.column("key").to_pylist())
-    ids = np.asarray(rows.column("id"), dtype=np.int64)
+def _built(keys: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``base`` and ``check`` of a trie of (``id``, ``key``), and the ids in the order of its leaves."""
+    base, check = trie.build(keys.column("key").to_pylist())
+    return base, check, np.asarray(keys.column("id"), dtype=np.int64)
+
+
+def _build(keys):
     return pa.table(
         {
-            "shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()),
-            "base": pa.array([base.tobytes()], pa.binary()),
-            "check": pa.array([check.tobytes()], pa.binary()),
-            "ids": pa.array([ids.tobytes()], pa.binary()),
+            name: pa.array([values.tobytes()], pa.binary())
+            for name, values in zip(("base", "check", "ids"), _built(keys))
         }
     )
 
 
-def _tries(keys: DataFrame, shards: int, label: str):
-    """The tries of (``id``, ``key``), one after the other, broadcast; each is built in a task of its own.
+@contextmanager
+def _broadcast(keys: DataFrame, label: str):
+    """The trie of (``id``, ``key``), built in one task; it is given up at the end, so what used it must be written by then."""
+    kept = "base binary, check binary, ids binary"
+    built = cut_lineage(keys.groupBy(F.lit(0).alias("trie")).applyInArrow(_build, kept), label)
+    row = built.first()
+    kinds = (("base", "<i4"), ("check", "<i4"), ("ids", "<i8"))
+    broadcast = keys.sparkSession.sparkContext.broadcast([np.frombuffer(row[name], dtype=kind) for name, kind in kinds])
+    del row
+    try:
+        yield broadcast
+    finally:
+        broadcast.destroy()
+        forget(built)
+
+
+def _pieces(plain: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a chunk start, and their places in its sequence, which has a zero where a piece ends."""
+    text = np.frombuffer(plain, dtype=np.uint8)
+    inside = text != _SPACE
+    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+    breaks = np.cumsum(_IS_BREAK[raw], dtype=np.int32)[starts]
+    gap = np.zeros(starts.size, dtype=np.int64)
+    gap[1:] = breaks[1:] != breaks[:-1]
+    return starts, np.arange(starts.size) + np.cumsum(gap)
+
 
-    The pass that uses a trie has to be written before the next one is asked for, for a trie is given up then.
-    """
-    dealt = keys.select((F.col("id") % shards).cast("int").alias("shard"), "id", "key")
-    kept = "shard int, base binary, check binary, ids binary"
-    built = cut_lineage(dealt.groupBy("shard").applyInArrow(_build, kept), label)
-    context = keys.sparkSession.sparkContext
-    for shard in range(shards):
-        row = built.filter(F.col("shard") == shard).first()
-        if row is not None:
-            kinds = (("base", "<i4"), ("check", "<i4"), ("ids", "<i8"))
-            broadcast = context.broadcast([np.frombuffer(row[name], dtype=kind) for name, kind in kinds])
-            del row
-            yield broadcast
-            broadcast.destroy()
+def _put(place: np.ndarray, found: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(place[-1]) + 1 if place.size else 0, dtype=np.uint32)
+    out[place] = found
+    return out
 
 
 def _word_ids(plain: bytes, raw: np.ndarray, doc_starts: np.ndarray, doc_states: np.ndarray, arrays):
     """Ids of the words of a chunk with zeros at the ends of pieces, and where each document's begin."""
     base, check, ids = arrays
     text = np.frombuffer(plain, dtype=np.uint8)
-    inside = text != _SPACE
-    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
-    breaks = np.cumsum(_IS_BREAK[raw], dtype=np.int32)[starts]
+    starts, place = _pieces(plain, raw)
     doc = np.searchsorted(doc_starts, starts, side="right") - 1
     found = np.zeros(starts.size, dtype=np.uint32)
     state = doc_states[doc]
@@ -164,18 +187,49 @@ def _word_ids(plain: bytes, raw: np.ndarray, doc_starts: np.ndarray, doc_states:
         found[live[ended]] = ids[base[after[ended]]]
         on = went & ~ended
         live, state, at = live[on], after[on], at[on] + 1
-    gap = np.zeros(starts.size, dtype=np.int64)
-    gap[1:] = breaks[1:] != breaks[:-1]
-    place = np.arange(starts.size) + np.cumsum(gap)
-    out = np.zeros(int(place[-1]) + 1 if place.size else 0, dtype=np.uint32)
-    out[place] = found
+    out = _put(place, found)
     first = np.searchsorted(doc, np.arange(doc_starts.size))  # the first word of each document or a later one
     begins = np.append(place, out.size)[first]
     return out, begins
 
 
-def _encoder(broadcast, keep_text: bool):
-    """Writes each document as its frequent words' ids; words that an earlier trie knew keep theirs."""
+def _coded(docs: list[tuple[str, bytes]], code: Callable[[list], np.ndarray]) -> Iterator[np.ndarray]:
+    """Sequences of the documents of a slice; ``code`` gets about a chunk of text at a time."""
+    short = [doc for doc in docs if len(doc[1]) <= CHUNK_BYTES]
+    if short:
+        yield code(short)
+    for lang, text in docs:
+        if len(text) > CHUNK_BYTES:
+            yield _joined(text, slices(text.translate(_PLAIN)), lambda part, lang=lang: code([(lang, part)]))
+
+
+def _together(docs: list[tuple[str, bytes]]) -> tuple[bytes, np.ndarray]:
+    """The texts, each of a piece of its own, as one: plain and as bytes."""
+    text = b"\n".join(t for _, t in docs) + b"\n"
+    return text.translate(_PLAIN), np.frombuffer(text, dtype=np.uint8)
+
+
+def _blocks(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The texts in slices, each with a number no other slice of the table has."""
+    first = TaskContext.get().partitionId() << 32
+    return enumerate(_parts(batches, "text"), first)
+
+
+def _rows(ids: np.ndarray) -> list[bytes]:
+    """A sequence in rows, which end where pieces end."""
+    zeros = np.flatnonzero(ids == 0)
+    at = np.searchsorted(zeros, np.arange(ROW_IDS, ids.size, ROW_IDS))
+    cuts = np.unique(zeros[at[at < zeros.size]])
+    return [part.astype("<u4", copy=False).tobytes() for part in np.split(ids, cuts) if part.any()]
+
+
+def _told(block: int, ids: np.ndarray) -> dict[str, pa.Array]:
+    rows = _rows(ids)
+    return {"block": pa.array([block] * len(rows), pa.int64()), "ids": pa.array(rows, pa.binary())}
+
+
+def _encoder(broadcast):
+    """Writes documents as their frequent words' ids."""
 
     def run(batches):
         arrays = broadcast.value
@@ -186,49 +240,121 @@ def _encoder(broadcast, keep_text: bool):
                 states[lang] = trie.walk(arrays[0], arrays[1], lang.encode() + b" ")
             return states[lang]
 
-        def chunk(docs):
-            """Ids of the documents, which together fill one chunk."""
-            text = b"\n".join(t for _, t in docs) + b"\n"
+        def code(docs):
+            plain, raw = _together(docs)
             sizes = np.array([len(t) + 1 for _, t in docs])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             doc_states = np.array([start(lang) for lang, _ in docs], dtype=np.int32)
-            raw = np.frombuffer(text, dtype=np.uint8)
-            out, begins = _word_ids(text.translate(_PLAIN), raw, starts, doc_states, arrays)
-            ends = np.append(begins[1:], out.size)
-            return [out[b:e] for b, e in zip(begins, ends)]
-
-        def coded(docs):
-            waiting, size = [], 0
-            for lang, text in docs:
-                if len(text) > CHUNK_BYTES:
-                    if waiting:
-                        yield from chunk(waiting)
-                    waiting, size = [], 0
-                    yield _joined(text, slices(text.translate(_PLAIN)), lambda part: chunk([(lang, part)])[0])
-                    continue
-                waiting.append((lang, text))
-                size += len(text)
-                if size >= CHUNK_BYTES:
-                    yield from chunk(waiting)
-                    waiting, size = [], 0
-            if waiting:
-                yield from chunk(waiting)
-
-        for batch in _parts(batches, "text"):
-            known = batch.column("ids").to_pylist()
-            found = []
-            for mine, before in zip(coded(_texts(batch)), known):
-                if before is not None:
-                    mine = np.maximum(mine, np.frombuffer(before, dtype="<u4"))
-                found.append(mine.astype("<u4", copy=False).tobytes())
-            columns = {"ids": pa.array(found, pa.binary())}
-            if keep_text:
-                columns |= {"lang": batch.column("lang"), "text": batch.column("text")}
-            yield pa.RecordBatch.from_pydict(columns)
+            return _word_ids(plain, raw, starts, doc_states, arrays)[0]
+
+        for block, batch in _blocks(batches):
+            for ids in _coded(list(_texts(batch)), code):
+                yield pa.RecordBatch.from_pydict(_told(block, ids))
 
     return run
 
 
+def _word_asker(shards: int):
+    """Writes documents as numbers that their words have in the block, and what each shard is asked: those words.
+
+    Rows with ``ids`` are documents; rows with ``shard`` are words of a language and their numbers.
+    """
+
+    def run(batches):
+        for block, batch in _blocks(batches):
+            next_number = count(1).__next__
+            known: dict[str, defaultdict] = defaultdict(lambda: defaultdict(next_number))
+
+            def code(docs):
+                parts = []
+                for lang, mine in groupby(sorted(docs, key=lambda doc: doc[0]), key=lambda doc: doc[0]):
+                    plain, raw = _together(list(mine))
+                    _, place = _pieces(plain, raw)
+                    numbers = np.fromiter(map(known[lang].__getitem__, plain.split()), np.uint32, place.size)
+                    parts += [_put(place, numbers), np.zeros(1, dtype=np.uint32)]
+                return np.concatenate(parts[:-1])
+
+            for ids in _coded(list(_texts(batch)), code):
+                columns = _told(block, ids)
+                none = len(columns["ids"])
+                columns |= {"shard": pa.nulls(none, pa.int32()), "lang": pa.nulls(none, pa.string())}
+                columns |= {name: pa.nulls(none, pa.binary()) for name in ("words", "codes")}
+                yield pa.RecordBatch.from_pydict(columns)
+            asked: dict[tuple[int, str], tuple[list, list]] = defaultdict(lambda: ([], []))
+            for lang, numbers in known.items():
+                for word, number in numbers.items():
+                    words, codes = asked[zlib.crc32(word) % shards, lang]
+                    words.append(word)
+                    codes.append(number)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([block] * len(asked), pa.int64()),
+                    "ids": pa.nulls(len(asked), pa.binary()),
+                    "shard": pa.array([shard for shard, _ in asked], pa.int32()),
+                    "lang": pa.array([lang for _, lang in asked], pa.string()),
+                    "words": pa.array([b" ".join([*words, b""]) for words, _ in asked.values()], pa.binary()),
+                    "codes": pa.array([np.array(codes, dtype="<u8").tobytes() for _, codes in asked.values()], pa.binary()),
+                }
+            )
+
+    return run
+
+
+def _answers(blocks: list, codes: list, found: list) -> dict[str, pa.Array]:
+    """What is known of the codes asked: those with an id, and their ids."""
+    known = [ids > 0 for ids in found]
+    return {
+        "block": pa.array(blocks, pa.int64()),
+        "codes": pa.array([c[k].tobytes() for c, k in zip(codes, known)], pa.binary()),
+        "found": pa.array([f[k].astype("<u4", copy=False).tobytes() for f, k in zip(found, known)], pa.binary()),
+    }
+
+
+def _word_answerer(keys, asked):
+    """Ids of the words asked of one shard."""
+    arrays = _built(keys)
+    states: dict[str, int] = {}
+    blocks, codes, found = [], [], []
+    for batch in _parts(asked.to_batches(), "words"):
+        texts = batch.column("words").to_pylist()
+        langs = batch.column("lang").to_pylist()
+        for lang in {*langs} - {*states}:
+            states[lang] = trie.walk(arrays[0], arrays[1], lang.encode() + b" ")
+        joined = b"".join(texts)
+        starts = np.concatenate([[0], np.cumsum([len(text) for text in texts])[:-1]]).astype(np.int64)
+        doc_states = np.array([states[lang] for lang in langs], dtype=np.int32)
+        ids, begins = _word_ids(joined, np.frombuffer(joined, dtype=np.uint8), starts, doc_states, arrays)
+        blocks += batch.column("block").to_pylist()
+        codes += [np.frombuffer(mine, dtype="<u8") for mine in batch.column("codes").to_pylist()]
+        found += np.split(ids, begins[1:])
+    return pa.table(_answers(blocks, codes, found))
+
+
+def _placer(paired: bool):
+    """Puts the answers to a block in the places that asked."""
+
+    def run(sequences, answers):
+        codes = np.frombuffer(b"".join(answers.column("codes").to_pylist()), dtype="<u8")
+        found = np.frombuffer(b"".join(answers.column("found").to_pylist()), dtype="<u4")
+        order = np.argsort(codes)
+        codes, found = codes[order], found[order]
+        rows = []
+        for batch in _parts(sequences.to_batches(), "ids") if codes.size else ():
+            ids = _sequence(batch)
+            mine = _pairs(ids) if paired else ids.astype(np.uint64)
+            at = np.minimum(np.searchsorted(codes, mine), codes.size - 1)
+            rows += _rows(np.where((codes[at] == mine) & (mine > 0), found[at], np.uint32(0)))
+        block = sequences.column("block")[0].as_py() if rows else None
+        return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "ids": pa.array(rows, pa.binary())})
+
+    return run
+
+
+def _placed(sequences: DataFrame, answers: DataFrame, paired: bool, label: str) -> DataFrame:
+    both = sequences.groupBy("block").cogroup(answers.groupBy("block"))
+    return cut_lineage(both.applyInArrow(_placer(paired), SEQUENCES), label)
+
+
 def _joined(text: bytes, ranges, code) -> np.ndarray:
     """A long text's ids from those of its slices; a zero between two slices where a piece ends there."""
     parts, before = [], 0
@@ -249,6 +375,14 @@ def _sequence(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"\0\0\0\0".join([*batch.column("ids").to_pylist(), b""]), dtype="<u4")
 
 
+def _pairs(ids: np.ndarray) -> np.ndarray:
+    """Each place's code: its id and the next one, or 0 where either is none."""
+    codes = np.zeros(ids.size, dtype=np.uint64)
+    both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    codes[both] = ids[both].astype(np.uint64) << np.uint64(32) | ids[both + 1]
+    return codes
+
+
 def _follow(least: int):
     """(``code``, ``n``): two frequent phrases at neighbouring places, with their count cut off at ``least``."""
 
@@ -263,9 +397,9 @@ def _follow(least: int):
             )
 
         for ids in map(_sequence, _parts(batches, "ids")):
-            both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            held.append(ids[both].astype(np.uint64) << np.uint64(32) | ids[both + 1])
-            size += both.size
+            codes = _pairs(ids)
+            held.append(codes[codes > 0])
+            size += held[-1].size
             if size >= CHUNK_ENTRIES:
                 yield from told()
                 held, size = [], 0
@@ -275,54 +409,124 @@ def _follow(least: int):
     return run
 
 
-def _advancer(broadcast, digits: int, keep_ids: bool, keep_found: bool):
+def _reached(base, check, first: np.ndarray, second: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs a trie of id pairs knows, and the leaves they reach."""
+    live, state = np.arange(first.size), np.zeros(first.size, dtype=np.int32)
+    for step in range(2 * digits):
+        part, shift = (first, second)[step // digits], DIGIT_BITS * (digits - 1 - step % digits)
+        symbol = part[live] >> np.uint32(shift) & np.uint32((1 << DIGIT_BITS) - 1)
+        after, went = trie.advance(base, check, state, symbol.astype(np.int32))
+        live, state = live[went], after[went]
+    return live, base[state]
+
+
+def _advancer(broadcast, digits: int, last: bool):
     """Moves all positions through a trie of id pairs: what each found, and how often each leaf was reached.
 
-    Rows with ``found`` are documents; rows with ``id`` are this task's sums.
+    Rows with ``ids`` are sequences; rows with ``id`` are this task's sums.
     """
 
     def run(batches):
         base, check, numbers = broadcast.value
         counts = np.zeros(numbers.size, dtype=np.int64)
-
-        def found_in(ids: np.ndarray) -> np.ndarray:
-            out = np.zeros(ids.size, dtype=np.uint32)
-            live = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            state = np.zeros(live.size, dtype=np.int32)
-            for step in range(2 * digits):
-                shift = DIGIT_BITS * (digits - 1 - step % digits)
-                symbol = ids[live + step // digits] >> np.uint32(shift) & np.uint32((1 << DIGIT_BITS) - 1)
-                after, went = trie.advance(base, check, state, symbol.astype(np.int32))
-                live, state = live[went], after[went]
-            leaves = base[state]
-            counts[:] += np.bincount(leaves, minlength=counts.size)
-            out[live] = numbers[leaves]
-            return out
-
         for batch in _parts(batches, "ids"):
-            joined = found_in(_sequence(batch))
-            if not keep_found:
+            ids = _sequence(batch)
+            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+            live, leaves = _reached(base, check, ids[at], ids[at + 1], digits)
+            counts += np.bincount(leaves, minlength=counts.size)
+            if last:
                 continue
-            out, at = [], 0
-            sizes = pc.binary_length(batch.column("ids")).to_pylist()
-            for size, before in zip(sizes, batch.column("found").to_pylist()):
-                mine = joined[at : at + size // 4]
-                at += size // 4 + 1
-                if before is not None:
-                    mine = np.maximum(mine, np.frombuffer(before, dtype="<u4"))
-                out.append(mine.astype("<u4", copy=False).tobytes())
-            none = pa.nulls(len(out), pa.int64())
-            kept = batch.column("ids") if keep_ids else pa.nulls(len(out), pa.binary())
-            yield pa.RecordBatch.from_pydict({"ids": kept, "found": pa.array(out, pa.binary()), "id": none, "n": none})
+            found = np.zeros(ids.size, dtype=np.uint32)
+            found[at[live]] = numbers[leaves]
+            rows = _told(batch.column("block")[0].as_py(), found)
+            none = pa.nulls(len(rows["ids"]), pa.int64())
+            yield pa.RecordBatch.from_pydict(rows | {"id": none, "n": none})
         reached = np.flatnonzero(counts)
-        none = pa.nulls(reached.size, pa.binary())
         yield pa.RecordBatch.from_pydict(
-            {"ids": none, "found": none, "id": pa.array(numbers[reached], pa.int64()), "n": pa.array(counts[reached])}
+            {
+                "block": pa.nulls(reached.size, pa.int64()),
+                "ids": pa.nulls(reached.size, pa.binary()),
+                "id": pa.array(numbers[reached], pa.int64()),
+                "n": pa.array(counts[reached]),
+            }
         )
 
     return run
 
 
+def _pair_shard(prefix, suffix, shards: int):
+    """The shard of a pair of ids, for columns and arrays alike."""
+    return (prefix * 1_000_003 + suffix) % shards
+
+
+def _pair_asker(shards: int):
+    """What each shard is asked: the distinct pairs of a block, and how often they stand there."""
+
+    def run(batches):
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            runs = (batch.slice(low, high - low) for low, high in zip(cuts, cuts[1:]) if low < high)
+            for part in _parts(runs, "ids"):
+                codes = _pairs(_sequence(part))
+                codes, counts = np.unique(codes[codes > 0], return_counts=True)
+                shard = _pair_shard((codes >> np.uint64(32)).astype(np.int64), codes.view(np.uint32)[::2], shards)
+                order = np.argsort(shard, kind="stable")
+                asked, begins = np.unique(shard[order], return_index=True)
+                ranges = list(zip(begins, [*begins[1:], codes.size]))
+                codes, counts = codes[order], counts[order].astype("<u4")
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "shard": pa.array(asked, pa.int32()),
+                        "block": pa.array([part.column("block")[0].as_py()] * asked.size, pa.int64()),
+                        "codes": pa.array([codes[low:high].tobytes() for low, high in ranges], pa.binary()),
+                        "counts": pa.array([counts[low:high].tobytes() for low, high in ranges], pa.binary()),
+                    }
+                )
+
+    return run
+
+
+def _pair_answerer(digits: int, last: bool):
+    """Moves the pairs asked of one shard through its trie: the ids they found, and how often each leaf was reached.
+
+    Rows with ``block`` are answers; rows with ``id`` are counts.
+    """
+
+    def run(keys, asked):
+        base, check, numbers = _built(keys)
+        counts = np.zeros(numbers.size, dtype=np.int64)
+        blocks, codes, found = [], [], []
+        for batch in _parts(asked.to_batches(), "codes"):
+            mine = [np.frombuffer(each, dtype="<u8") for each in batch.column("codes").to_pylist()]
+            all_codes = np.concatenate(mine)
+            times = np.frombuffer(b"".join(batch.column("counts").to_pylist()), dtype="<u4")
+            first, second = (all_codes >> np.uint64(32)).astype(np.uint32), all_codes.astype(np.uint32)
+            live, leaves = _reached(base, check, first, second, digits)
+            # sums of a batch are far below 2^53, where floats end to be exact
+            counts += np.bincount(leaves, weights=times[live], minlength=counts.size).astype(np.int64)
+            if last:
+                continue
+            ids = np.zeros(all_codes.size, dtype=np.uint32)
+            ids[live] = numbers[leaves]
+            blocks += batch.column("block").to_pylist()
+            codes += mine
+            found += np.split(ids, np.cumsum([each.size for each in mine])[:-1])
+        reached = np.flatnonzero(counts)
+        answers = _answers(blocks, codes, found)
+        none = pa.nulls(len(blocks), pa.int64())
+        sums = {
+            "block": pa.nulls(reached.size, pa.int64()),
+            "codes": pa.nulls(reached.size, pa.binary()),
+            "found": pa.nulls(reached.size, pa.binary()),
+            "id": pa.array(numbers[reached], pa.int64()),
+            "n": pa.array(counts[reached]),
+        }
+        return pa.concat_tables([pa.table(answers | {"id": none, "n": none}), pa.table(sums)])
+
+    return run
+
+
 def _first_level(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     """Counts of all words, and the frequent ones with ids."""
     counted = texts.mapInArrow(_count_words, "lang string, word string, n long")
@@ -336,23 +540,39 @@ def _first_level(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, in
     return counted, level, number
 
 
-def _encode(texts: DataFrame, words: DataFrame) -> DataFrame:
+def _shards(size: int, most: int, running: int) -> int:
+    """Tries that are needed for keys of ``size``, of which one holds ``most``, and for the words of a text that ask them."""
+    return 1 if size < most else 1 + max(size // most, running // SHARD_WORDS)
+
+
+def _encode(texts: DataFrame, words: DataFrame, running: int) -> DataFrame:
+    """Sequences of the ids of frequent words; ``running`` is the number of words of all texts."""
     key = F.encode(F.concat("lang", F.lit(" "), "phrase", F.lit(" ")), "utf-8")
-    keys = words.select("id", key.alias("key"))
-    size = keys.agg(F.sum(F.length("key"))).first()[0]
-    shards = 1 + size // TRIE_BYTES
-    rows = texts.select(F.lit(None).cast("binary").alias("ids"), "lang", "text")
-    for shard, broadcast in enumerate(_tries(keys, shards, "trie-1"), 1):
-        keep = shard < shards
-        kept = "ids binary" + (", lang string, text string" if keep else "")
-        rows = cut_lineage(rows.mapInArrow(_encoder(broadcast, keep), kept), "ids-1")
-    return rows.select("ids")
+    keys = words.select("id", key.alias("key"), F.encode("phrase", "utf-8").alias("word"))
+    shards = _shards(keys.agg(F.sum(F.length("key"))).first()[0], TRIE_BYTES, running)
+    if shards == 1:
+        with _broadcast(keys.select("id", "key"), "trie-1") as broadcast:
+            return cut_lineage(texts.mapInArrow(_encoder(broadcast), SEQUENCES), "ids-1")
+    local = texts.select("lang", "text").mapInArrow(
+        _word_asker(shards), f"{SEQUENCES}, shard int, lang string, words binary, codes binary"
+    )
+    local = cut_lineage(local, "local")
+    asked = local.filter(F.col("shard").isNotNull()).select("shard", "block", "lang", "words", "codes")
+    dealt = keys.select((F.crc32("word") % shards).cast("int").alias("shard"), "id", "key")
+    answers = dealt.groupBy("shard").cogroup(asked.groupBy("shard"))
+    answers = cut_lineage(answers.applyInArrow(_word_answerer, "block long, codes binary, found binary"), "answers-1")
+    placed = _placed(local.filter(F.col("ids").isNotNull()).select("block", "ids"), answers, False, "ids-1")
+    forget(local, answers)
+    return placed
 
 
 def _next_level(
-    sequences: DataFrame, below: DataFrame, number: int, words: int, least: int, last: bool
+    sequences: DataFrame, below: DataFrame, number: int, words: int, least: int, last: bool, running: int
 ) -> tuple[DataFrame | None, DataFrame, int]:
-    """Id sequences, phrases and number of phrases of ``words`` words, from those of one word less."""
+    """Id sequences, phrases and number of phrases of ``words`` words, from those of one word less.
+
+    The sequences given are given up.
+    """
     pairs = sequences.mapInArrow(_follow(least), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     first = F.shiftrightunsigned("code", 32)
     pairs = pairs.filter(F.col("n") >= least).select(
@@ -366,20 +586,24 @@ def _next_level(
         values = (F.shiftright(name, shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)) for shift in shifts)
         return [F.unhex(F.lpad(F.hex(value), 2, "0")) for value in values]
 
-    keys = chosen.select("id", F.concat(*written("prefix"), *written("suffix")).alias("key"))
-    shards = 1 + found // TRIE_KEYS
-    rows = sequences.select("ids", F.lit(None).cast("binary").alias("found"))
-    counts = []
-    schema = "ids binary, found binary, id long, n long"
-    for shard, broadcast in enumerate(_tries(keys, shards, f"trie-{words}"), 1):
-        walked = rows.mapInArrow(_advancer(broadcast, digits, shard < shards, not last), schema)
-        walked = cut_lineage(walked, f"ids-{words}")
-        counts.append(walked.filter(F.col("id").isNotNull()).select("id", "n"))
-        if not last:
-            rows = walked.filter(F.col("id").isNull()).select("ids", "found")
-    if not counts:
+    if not found:
         return None, below.limit(0), 0
-    summed = reduce(DataFrame.unionByName, counts).groupBy("id").agg(F.sum("n").alias("a"))
+    keys = chosen.select("id", F.concat(*written("prefix"), *written("suffix")).alias("key"), "prefix", "suffix")
+    shards = _shards(found, TRIE_KEYS, running)
+    if shards == 1:
+        with _broadcast(keys.select("id", "key"), f"trie-{words}") as broadcast:
+            walked = sequences.mapInArrow(_advancer(broadcast, digits, last), f"{SEQUENCES}, id long, n long")
+            walked = cut_lineage(walked, f"ids-{words}")
+        rows = walked.filter(F.col("ids").isNotNull()).select("block", "ids")
+    else:
+        asked = sequences.mapInArrow(_pair_asker(shards), "shard int, block long, codes binary, counts binary")
+        shard = _pair_shard(F.col("prefix"), F.col("suffix"), shards).cast("int")
+        walked = keys.select(shard.alias("shard"), "id", "key").groupBy("shard").cogroup(asked.groupBy("shard"))
+        schema = "block long, codes binary, found binary, id long, n long"
+        walked = cut_lineage(walked.applyInArrow(_pair_answerer(digits, last), schema), f"answers-{words}")
+        answers = walked.filter(F.col("block").isNotNull()).select("block", "codes", "found")
+        rows = None if last else _placed(sequences, answers, True, f"ids-{words}")
+    summed = walked.filter(F.col("id").isNotNull()).groupBy("id").agg(F.sum("n").alias("a"))
     before = below.select(F.col("id").alias("prefix"), "lang", "phrase", F.col("a").alias("left"), "lefts")
     after = below.select(F.col("id").alias("suffix"), F.col("last"), F.col("a").alias("right"), "rights")
     level = chosen.join(summed, "id").join(before, "prefix").join(after, "suffix")
@@ -387,7 +611,9 @@ def _next_level(
         "id", "prefix", "suffix", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a",
         F.concat("lefts", F.array("left")).alias("lefts"), F.concat(F.array("right"), "rights").alias("rights"),
     )
-    return (None if last else rows.select(F.col("found").alias("ids"))), cut_lineage(level, f"phrases-{words}"), found
+    level = cut_lineage(level, f"phrases-{words}")
+    forget(chosen, sequences, *([walked] if last or shards > 1 else []))
+    return (None if last else rows), level, found
 
 
 def collocations(
@@ -413,9 +639,10 @@ def collocations(
     words, level, number = _first_level(texts, least)
     levels: list[DataFrame] = []
     if number and max_words > 1:
-        sequences = _encode(texts, level)
+        running = words.agg(F.sum("n")).first()[0]
+        sequences = _encode(texts, level, running)
         for size in range(2, max_words + 1):
-            sequences, level, number = _next_level(sequences, level, number, size, least, size == max_words)
+            sequences, level, number = _next_level(sequences, level, number, size, least, size == max_words, running)
             if not number:
                 break
             levels.append(level)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import session
 from barloom.session import scratch_path
+from barloom.sources import files
 
-__all__ = ["col", "cut_lineage", "label_fold", "numbered", "partition_offsets", "scratch_path", "table"]
+__all__ = ["col", "cut_lineage", "forget", "label_fold", "numbered", "partition_offsets", "scratch_path", "table"]
 
 
 def col(name: str) -> Column:
@@ -38,6 +41,13 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
             conf.set(SHUFFLE_CLEANUP, before)
 
 
+def forget(*written: DataFrame) -> None:
+    """Removes the folders that ``cut_lineage`` wrote for these frames; nothing may read them any more."""
+    for frame in written:
+        for folder in {name.rpartition("/")[0] for name in frame.inputFiles()}:
+            files.remove(frame.sparkSession, unquote(folder))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -112,6 +112,21 @@ def test_many_tries_and_small_chunks(spark, monkeypatch):
     assert found(spark, rows) == by_hand(rows)
 
 
+def test_sequences_are_written_once_however_many_tries(spark, monkeypatch):
+    rows = made(4, 300) + [(None, "en"), ("", None), ("W1 é1 " * 3000, "de")]
+    for name, value in (("TRIE_KEYS", 40), ("TRIE_BYTES", 60), ("SHARD_WORDS", 500)):
+        monkeypatch.setattr(col, name, value, raising=False)
+    labels, plain = [], col.cut_lineage
+
+    def noted(df, label):
+        labels.append(label)
+        return plain(df, label)
+
+    monkeypatch.setattr(col, "cut_lineage", noted)
+    assert found(spark, rows, max_words=4) == by_hand(rows, max_words=4)
+    assert max(Counter(labels).values()) == 1 and {"ids-1", "answers-1", "ids-2", "answers-2"} <= {*labels}
+
+
 @pytest.mark.parametrize("size", [16, 100, 1000])
 def test_slices_of_a_long_text_give_the_same_ids(size):
     text = b"one two. three  .four five,\n\nsix se.ven " * 20 + b"x" * 200 + b" two three"
