@@ -8,7 +8,8 @@ task ever holds more than a chunk of any symbol, however many of the table's row
 * ``pos``, the ordinal of a row in its series, comes from row counts per (symbol, year) plus
   ``row_number`` inside a year;
 * a chunk also receives the last ``history`` rows of the chunk before it, as context, so look-back
-  windows see what they need;
+  windows see what they need; the rows of a year and chunk are sent there packed, since rows of their own take
+  almost three times the disk;
 * values that reach back to the start of a series (running sums, exponential averages) are computed
   per chunk and completed with a carry (see ``operators.indicators``).
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import ratio_change
 
 SYMBOL, DATE, POS = "tradingsymbol", "date", "pos"
-CHUNK, CONTEXT, TOTAL, OFFSET = "_chunk", "_context", "_n_rows", "_offset"
+CHUNK, CONTEXT, TOTAL, OFFSET, YEAR = "_chunk", "_context", "_n_rows", "_offset", "_year"
 
 CHUNK_ROWS = 1024
 
@@ -163,26 +164,31 @@ def longest_series(bars: DataFrame) -> int:
     return counts.agg(F.max("rows")).first()[0] or 0
 
 
-def number_rows(bars: DataFrame) -> DataFrame:
-    """Add ``pos`` (0-based ordinal by date) and the series length without a whole-series window."""
-    years = bars.groupBy(SYMBOL, F.year(DATE).alias("_year")).agg(F.count(F.lit(1)).alias("_rows"))
+def _numbered_by_year(bars: DataFrame) -> DataFrame:
+    """As ``number_rows``, with ``YEAR``; rows of a symbol and year are in one partition."""
+    years = bars.groupBy(SYMBOL, F.year(DATE).alias(YEAR)).agg(F.count(F.lit(1)).alias("_rows"))
     series = Window.partitionBy(SYMBOL)
-    so_far = series.orderBy("_year").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = series.orderBy(YEAR).rowsBetween(Window.unboundedPreceding, 0)
     starts = years.select(
         SYMBOL,
-        "_year",
+        YEAR,
         (F.sum("_rows").over(so_far) - F.col("_rows")).alias("_start"),
         F.sum("_rows").over(series).alias(TOTAL),
     )
-    in_year = Window.partitionBy(SYMBOL, "_year").orderBy(DATE)
+    in_year = Window.partitionBy(SYMBOL, YEAR).orderBy(DATE)
     return (
-        bars.withColumn("_year", F.year(DATE))
-        .join(starts, [SYMBOL, "_year"])
+        bars.withColumn(YEAR, F.year(DATE))
+        .join(starts, [SYMBOL, YEAR])
         .withColumn(POS, F.col("_start") + F.row_number().over(in_year) - 1)
-        .drop("_year", "_start")
+        .drop("_start")
     )
 
 
+def number_rows(bars: DataFrame) -> DataFrame:
+    """Add ``pos`` (0-based ordinal by date) and the series length without a whole-series window."""
+    return _numbered_by_year(bars).drop(YEAR)
+
+
 def in_chunks(numbered: DataFrame, history: int, chunk_rows: int = CHUNK_ROWS) -> SeriesFrame:
     """Send each row to its chunk, and the last ``history`` rows of a chunk also to the next one."""
     if history >= chunk_rows:
@@ -191,7 +197,16 @@ def in_chunks(numbered: DataFrame, history: int, chunk_rows: int = CHUNK_ROWS) -
     is_tail = F.col(POS) % chunk_rows >= chunk_rows - history
     has_next = (own + 1) * chunk_rows < F.col(TOTAL)
     targets = F.when(is_tail & has_next, F.array(own, own + 1)).otherwise(F.array(own))
-    df = numbered.withColumn(CHUNK, F.explode(targets)).withColumn(CONTEXT, F.col(CHUNK) > own)
+    if YEAR not in numbered.columns:
+        numbered = numbered.withColumn(YEAR, F.year(DATE))
+    kept = [name for name in numbered.columns if name not in (SYMBOL, YEAR)]
+    packed = (
+        numbered.withColumn(CHUNK, F.explode(targets))
+        .groupBy(SYMBOL, YEAR, CHUNK)
+        .agg(F.collect_list(F.struct(*kept)).alias("_packed"))
+    )
+    df = packed.drop(YEAR).repartition(SYMBOL, CHUNK).select(SYMBOL, CHUNK, F.inline("_packed"))
+    df = df.withColumn(CONTEXT, F.col(CHUNK) > own).select(*numbered.drop(YEAR).columns, CHUNK, CONTEXT)
     return SeriesFrame(df, chunk_rows, True)
 
 
@@ -215,4 +230,4 @@ def series_frame(
     longest = longest_series(bars) if longest is None else longest
     if longest <= chunk_rows:
         return whole_series(bars, chunk_rows)
-    return in_chunks(number_rows(bars), history, chunk_rows)
+    return in_chunks(_numbered_by_year(bars), history, chunk_rows)

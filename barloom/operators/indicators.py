@@ -211,13 +211,13 @@ def _complete(
 ) -> DataFrame:
     """The columns ``names`` with chunk-local running values turned into values of the whole series.
 
-    Rows of a chunked frame are read twice, as they are and for the state at the end of each chunk. They are written once to the
-    shared scratch folder with their windows done; the second read is pruned to the last rows of chunks and the running values.
+    Rows of a chunked frame are worked out twice, first with nothing but the running values, for the state at the end of each
+    chunk. Written with their windows done they would take a multiple of the disk of the bars they come from.
     """
     rows = frame.rows()
     if frame.chunked:
         running = (["_obv", "_obv_before"] if obv else []) + (["_fast", "_slow", "_signal"] if macd else [])
-        rows = cut_lineage(rows.select(*names, CHUNK, *running), "chunks")
+        rows = rows.select(*names, CHUNK, *running)
         ends = rows.filter(frame.offset == frame.chunk_rows - 1)
         # written, so that its size is known: small ones are broadcast and the rows stay where they are
         carries = cut_lineage(_carries(ends, frame.chunk_rows, obv, macd), "carries")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.sources import files
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Spark's own setting for dropping the shuffle files of a query at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Scratch paths handed out inside the innermost open scope of this thread; None where no scope is open.
 _OPEN: ContextVar[list[str] | None] = ContextVar("open_scratch", default=None)
@@ -81,8 +83,19 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
 
     Unlike a cached frame the written table survives the loss of executors, is read with column
     pruning, and carries a size Spark can plan joins with.
+
+    The shuffle files behind it go with the write. Nothing reads them any more, but they would stay until the driver
+    happens to collect its garbage, and a query of many steps would hold those of all its steps at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

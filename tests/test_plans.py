@@ -48,11 +48,28 @@ def test_chunked_windows_never_span_a_series(bars):
             assert rows_of_summary or by_part
 
 
+def test_chunks_are_sent_packed_and_their_rows_not_written(bars, monkeypatch):
+    """On disk a chunk's rows are neither written with all indicators nor shuffled one by one."""
+    written = []
+    monkeypatch.setattr(ind, "cut_lineage", lambda df, label: written.append(df.columns) or cut_lineage(df, label))
+    plan = plan_of(ind.indicators(bars, chunk_rows=64))
+    assert written == [["tradingsymbol", "_chunk", "_obv_carry", "_macd_carry"]]
+    sent = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\(tradingsymbol#\d+, _chunk#", line)]
+    # the packed rows, and the carries where they are not broadcast
+    assert sum("REPARTITION_BY_COL" in line for line in sent) == 1 and len(sent) <= 2
+    assert plan.index("Generate inline(_packed") < plan.index("REPARTITION_BY_COL")
+
+
 def test_selected_symbols_are_pushed_to_the_scan(bars):
     returns = ind.daily_returns(bars, longest=80).filter("tradingsymbol in ('S1', 'S2')")
     assert "In(tradingsymbol, [S1,S2])" in plan_of(returns)
 
 
+def test_selected_symbols_are_pushed_below_the_packing(bars):
+    returns = ind.daily_returns(bars, chunk_rows=64).filter("tradingsymbol in ('S1', 'S2')")
+    assert "In(tradingsymbol, [S1,S2])" in plan_of(returns)
+
+
 def test_correlation_aggregates_before_its_shuffle(bars):
     returns = ind.daily_returns(bars, longest=80)
     few = returns.filter("tradingsymbol = 'S1'")
