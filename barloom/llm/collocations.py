@@ -2,17 +2,17 @@
 
 Phrases grow by one word per level. The candidates of a level are those sequences of two overlapping frequent phrases of the
 level before that occur often enough, so every part of a candidate is frequent (Apriori). Candidates are laid out as a
-double-array trie, which is broadcast; numpy moves the states of all text positions through it one symbol at a time, counts
+double-array trie, which is broadcast (a few of them, where one is too small); numpy moves the states of all text positions through it one symbol at a time, counts
 the leaves they reach with ``bincount``, and Spark adds up the counts of all tasks.
 
 * **Texts are read twice**: for the words, and to write each document as the ids of its frequent words. Later levels read and
   write only such id sequences.
 * **Candidates** need no counts, only the knowledge that a sequence is frequent: tasks send a sequence with its count cut
   off at ``least``, and sums of these reach ``least`` exactly where the true counts do.
-* **Nothing unbounded is broadcast.** A trie holds ``TRIE_KEYS`` candidates, or words of ``TRIE_BYTES``. Where these do not fit into
-  one, tries are not broadcast but built where they are asked: a task sends the distinct words or pairs of each block of its
-  sequences to the shards that hold them, and the answers come back to the block. So texts and sequences are read and written
-  once, however many tries there are.
+* **Nothing unbounded is broadcast.** A trie holds ``TRIE_KEYS`` candidates, or words of ``TRIE_BYTES``, and ``TRIES`` of them are
+  broadcast together for one pass. Where more are needed, they are not broadcast but built where they are asked: a task sends the
+  distinct words or pairs of each block of its sequences to the shards that hold them, and the answers come back to the block;
+  that shuffles a multiple of the sequences. Either way texts and sequences are read and written once.
 * **No hot group.** Tasks add up before they send, so a sequence arrives once per task at most; the best of a language are
   found in 64 groups first.
 
@@ -44,7 +44,8 @@ LEAST, COVER_PERCENT, TOP, SCALE, MAX_WORDS = 10, 50, 2_000, 1_000_000, 3
 
 TRIE_KEYS = 1 << 19
 TRIE_BYTES = 4 << 20
-#: So many words of text ask each of several tries, on average at most.
+TRIES = 3
+#: So many words of text ask each of the tries that are not broadcast, on average at most.
 SHARD_WORDS = 1 << 22
 #: So many bytes of text, or entries of counts, are worked on at a time.
 CHUNK_BYTES = 2 << 20
@@ -131,25 +132,34 @@ def _built(keys: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _build(keys):
     return pa.table(
         {
-            name: pa.array([values.tobytes()], pa.binary())
-            for name, values in zip(("base", "check", "ids"), _built(keys))
+            "trie": keys.column("trie").slice(0, 1),
+            **{
+                name: pa.array([values.tobytes()], pa.binary())
+                for name, values in zip(("base", "check", "ids"), _built(keys))
+            },
         }
     )
 
 
 @contextmanager
-def _broadcast(keys: DataFrame, label: str):
-    """The trie of (``id``, ``key``), built in one task; it is given up at the end, so what used it must be written by then."""
-    kept = "base binary, check binary, ids binary"
-    built = cut_lineage(keys.groupBy(F.lit(0).alias("trie")).applyInArrow(_build, kept), label)
-    row = built.first()
+def _broadcast(keys: DataFrame, tries: int, label: str):
+    """Tries of (``id``, ``key``), each built in a task of its own; they are given up at the end, so what used them must be written by then."""
+    kept = "trie long, base binary, check binary, ids binary"
+    dealt = keys.select((F.col("id") % tries).alias("trie"), "id", "key")
+    built = cut_lineage(dealt.groupBy("trie").applyInArrow(_build, kept), label)
     kinds = (("base", "<i4"), ("check", "<i4"), ("ids", "<i8"))
-    broadcast = keys.sparkSession.sparkContext.broadcast([np.frombuffer(row[name], dtype=kind) for name, kind in kinds])
-    del row
+    broadcasts = []
+    for number in range(tries):
+        row = built.filter(F.col("trie") == number).first()
+        if row is not None:
+            arrays = [np.frombuffer(row[name], dtype=kind) for name, kind in kinds]
+            broadcasts.append(keys.sparkSession.sparkContext.broadcast(arrays))
+            del row, arrays
     try:
-        yield broadcast
+        yield broadcasts
     finally:
-        broadcast.destroy()
+        for broadcast in broadcasts:
+            broadcast.destroy()
         forget(built)
 
 
@@ -228,16 +238,16 @@ def _told(block: int, ids: np.ndarray) -> dict[str, pa.Array]:
     return {"block": pa.array([block] * len(rows), pa.int64()), "ids": pa.array(rows, pa.binary())}
 
 
-def _encoder(broadcast):
-    """Writes documents as their frequent words' ids."""
+def _encoder(broadcasts):
+    """Writes documents as their frequent words' ids; a word is in one of the tries at most."""
 
     def run(batches):
-        arrays = broadcast.value
-        states: dict[str, int] = {}
+        tries = [broadcast.value for broadcast in broadcasts]
+        states: dict[str, list[int]] = {}
 
-        def start(lang: str) -> int:
+        def start(lang: str) -> list[int]:
             if lang not in states:
-                states[lang] = trie.walk(arrays[0], arrays[1], lang.encode() + b" ")
+                states[lang] = [trie.walk(base, check, lang.encode() + b" ") for base, check, _ in tries]
             return states[lang]
 
         def code(docs):
@@ -245,7 +255,9 @@ def _encoder(broadcast):
             sizes = np.array([len(t) + 1 for _, t in docs])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             doc_states = np.array([start(lang) for lang, _ in docs], dtype=np.int32)
-            return _word_ids(plain, raw, starts, doc_states, arrays)[0]
+            return reduce(
+                np.maximum, (_word_ids(plain, raw, starts, mine, arrays)[0] for mine, arrays in zip(doc_states.T, tries))
+            )
 
         for block, batch in _blocks(batches):
             for ids in _coded(list(_texts(batch)), code):
@@ -420,36 +432,38 @@ def _reached(base, check, first: np.ndarray, second: np.ndarray, digits: int) ->
     return live, base[state]
 
 
-def _advancer(broadcast, digits: int, last: bool):
-    """Moves all positions through a trie of id pairs: what each found, and how often each leaf was reached.
+def _advancer(broadcasts, digits: int, last: bool):
+    """Moves all positions through tries of id pairs: what each found, and how often each leaf was reached.
 
     Rows with ``ids`` are sequences; rows with ``id`` are this task's sums.
     """
 
     def run(batches):
-        base, check, numbers = broadcast.value
-        counts = np.zeros(numbers.size, dtype=np.int64)
+        tries = [broadcast.value for broadcast in broadcasts]
+        counts = [np.zeros(numbers.size, dtype=np.int64) for _, _, numbers in tries]
         for batch in _parts(batches, "ids"):
             ids = _sequence(batch)
             at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            live, leaves = _reached(base, check, ids[at], ids[at + 1], digits)
-            counts += np.bincount(leaves, minlength=counts.size)
+            found = np.zeros(ids.size, dtype=np.uint32)
+            for (base, check, numbers), sums in zip(tries, counts):
+                live, leaves = _reached(base, check, ids[at], ids[at + 1], digits)
+                sums += np.bincount(leaves, minlength=sums.size)
+                found[at[live]] = numbers[leaves]
             if last:
                 continue
-            found = np.zeros(ids.size, dtype=np.uint32)
-            found[at[live]] = numbers[leaves]
             rows = _told(batch.column("block")[0].as_py(), found)
             none = pa.nulls(len(rows["ids"]), pa.int64())
             yield pa.RecordBatch.from_pydict(rows | {"id": none, "n": none})
-        reached = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "block": pa.nulls(reached.size, pa.int64()),
-                "ids": pa.nulls(reached.size, pa.binary()),
-                "id": pa.array(numbers[reached], pa.int64()),
-                "n": pa.array(counts[reached]),
-            }
-        )
+        for (_, _, numbers), sums in zip(tries, counts):
+            reached = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.nulls(reached.size, pa.int64()),
+                    "ids": pa.nulls(reached.size, pa.binary()),
+                    "id": pa.array(numbers[reached], pa.int64()),
+                    "n": pa.array(sums[reached]),
+                }
+            )
 
     return run
 
@@ -540,19 +554,20 @@ def _first_level(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, in
     return counted, level, number
 
 
-def _shards(size: int, most: int, running: int) -> int:
-    """Tries that are needed for keys of ``size``, of which one holds ``most``, and for the words of a text that ask them."""
-    return 1 if size < most else 1 + max(size // most, running // SHARD_WORDS)
+def _shards(tries: int, running: int) -> int:
+    """Tries to build where they are asked, ``tries`` for their keys and enough of them for the words of a text that ask."""
+    return max(tries, 1 + running // SHARD_WORDS)
 
 
 def _encode(texts: DataFrame, words: DataFrame, running: int) -> DataFrame:
     """Sequences of the ids of frequent words; ``running`` is the number of words of all texts."""
     key = F.encode(F.concat("lang", F.lit(" "), "phrase", F.lit(" ")), "utf-8")
     keys = words.select("id", key.alias("key"), F.encode("phrase", "utf-8").alias("word"))
-    shards = _shards(keys.agg(F.sum(F.length("key"))).first()[0], TRIE_BYTES, running)
-    if shards == 1:
-        with _broadcast(keys.select("id", "key"), "trie-1") as broadcast:
-            return cut_lineage(texts.mapInArrow(_encoder(broadcast), SEQUENCES), "ids-1")
+    tries = 1 + keys.agg(F.sum(F.length("key"))).first()[0] // TRIE_BYTES
+    if tries <= TRIES:
+        with _broadcast(keys.select("id", "key"), tries, "trie-1") as broadcasts:
+            return cut_lineage(texts.mapInArrow(_encoder(broadcasts), SEQUENCES), "ids-1")
+    shards = _shards(tries, running)
     local = texts.select("lang", "text").mapInArrow(
         _word_asker(shards), f"{SEQUENCES}, shard int, lang string, words binary, codes binary"
     )
@@ -589,13 +604,14 @@ def _next_level(
     if not found:
         return None, below.limit(0), 0
     keys = chosen.select("id", F.concat(*written("prefix"), *written("suffix")).alias("key"), "prefix", "suffix")
-    shards = _shards(found, TRIE_KEYS, running)
-    if shards == 1:
-        with _broadcast(keys.select("id", "key"), f"trie-{words}") as broadcast:
-            walked = sequences.mapInArrow(_advancer(broadcast, digits, last), f"{SEQUENCES}, id long, n long")
+    tries = 1 + found // TRIE_KEYS
+    if tries <= TRIES:
+        with _broadcast(keys.select("id", "key"), tries, f"trie-{words}") as broadcasts:
+            walked = sequences.mapInArrow(_advancer(broadcasts, digits, last), f"{SEQUENCES}, id long, n long")
             walked = cut_lineage(walked, f"ids-{words}")
         rows = walked.filter(F.col("ids").isNotNull()).select("block", "ids")
     else:
+        shards = _shards(tries, running)
         asked = sequences.mapInArrow(_pair_asker(shards), "shard int, block long, codes binary, counts binary")
         shard = _pair_shard(F.col("prefix"), F.col("suffix"), shards).cast("int")
         walked = keys.select(shard.alias("shard"), "id", "key").groupBy("shard").cogroup(asked.groupBy("shard"))
@@ -612,7 +628,7 @@ def _next_level(
         F.concat("lefts", F.array("left")).alias("lefts"), F.concat(F.array("right"), "rights").alias("rights"),
     )
     level = cut_lineage(level, f"phrases-{words}")
-    forget(chosen, sequences, *([walked] if last or shards > 1 else []))
+    forget(chosen, sequences, *([walked] if last or tries > TRIES else []))
     return (None if last else rows), level, found
 
 

@@ -127,6 +127,27 @@ def test_sequences_are_written_once_however_many_tries(spark, monkeypatch):
     assert max(Counter(labels).values()) == 1 and {"ids-1", "answers-1", "ids-2", "answers-2"} <= {*labels}
 
 
+def test_a_few_tries_are_broadcast_together(spark, monkeypatch):
+    """Dealing words and pairs to tries shuffles a multiple of the sequences, so it is left to many tries."""
+    rows = made(5, 300) + [(None, "en"), ("", None), ("W1 é1 " * 3000, "de")]
+    for name, value in (("TRIE_KEYS", 100), ("TRIE_BYTES", 200), ("SHARD_WORDS", 500), ("TRIES", 100)):
+        monkeypatch.setattr(col, name, value, raising=False)
+    tries, labels, plain, build = [], [], col.cut_lineage, col._broadcast
+
+    def noted(df, label):
+        labels.append(label)
+        return plain(df, label)
+
+    def counted(keys, number, label):
+        tries.append(number)
+        return build(keys, number, label)
+
+    monkeypatch.setattr(col, "cut_lineage", noted)
+    monkeypatch.setattr(col, "_broadcast", counted)
+    assert found(spark, rows, max_words=4) == by_hand(rows, max_words=4)
+    assert tries[0] > 1 and tries[1] > 1 and not [label for label in labels if label.startswith("answers")]
+
+
 @pytest.mark.parametrize("size", [16, 100, 1000])
 def test_slices_of_a_long_text_give_the_same_ids(size):
     text = b"one two. three  .four five,\n\nsix se.ven " * 20 + b"x" * 200 + b" two three"
