@@ -55,6 +55,8 @@ DIGIT_BITS = 6
 #: Rows of a batch of counts, and about so many ids in a row of sequences.
 BATCH_ROWS = 1 << 16
 ROW_IDS = 1 << 14
+#: Counts of so many neighbouring ids go in one row.
+ROW_COUNTS = 1 << 12
 GROUPS = 64
 
 _SPACE = 0x20
@@ -435,7 +437,7 @@ def _reached(base, check, first: np.ndarray, second: np.ndarray, digits: int) ->
 def _advancer(broadcasts, digits: int, last: bool):
     """Moves all positions through tries of id pairs: what each found, and how often each leaf was reached.
 
-    Rows with ``ids`` are sequences; rows with ``id`` are this task's sums.
+    Rows with ``ids`` are sequences; rows with ``sums`` are this task's counts, dense in the order of ids.
     """
 
     def run(batches):
@@ -452,22 +454,33 @@ def _advancer(broadcasts, digits: int, last: bool):
             if last:
                 continue
             rows = _told(batch.column("block")[0].as_py(), found)
-            none = pa.nulls(len(rows["ids"]), pa.int64())
-            yield pa.RecordBatch.from_pydict(rows | {"id": none, "n": none})
+            none = len(rows["ids"])
+            yield pa.RecordBatch.from_pydict(rows | {"part": pa.nulls(none, pa.int64()), "sums": pa.nulls(none, pa.binary())})
+        dense = np.zeros(1 + sum(sums.size for sums in counts), dtype="<i8")
         for (_, _, numbers), sums in zip(tries, counts):
-            reached = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.nulls(reached.size, pa.int64()),
-                    "ids": pa.nulls(reached.size, pa.binary()),
-                    "id": pa.array(numbers[reached], pa.int64()),
-                    "n": pa.array(sums[reached]),
-                }
-            )
+            dense[numbers] = sums
+        parts = np.split(dense, range(ROW_COUNTS, dense.size, ROW_COUNTS))
+        told = [(number, part.tobytes()) for number, part in enumerate(parts) if part.any()]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "block": pa.nulls(len(told), pa.int64()),
+                "ids": pa.nulls(len(told), pa.binary()),
+                "part": pa.array([number for number, _ in told], pa.int64()),
+                "sums": pa.array([part for _, part in told], pa.binary()),
+            }
+        )
 
     return run
 
 
+def _add_up(rows):
+    """The counts of all tasks for the ids of one part."""
+    sums = sum(np.frombuffer(each.as_py(), dtype="<i8") for each in rows.column("sums"))
+    reached = np.flatnonzero(sums)
+    first = rows.column("part")[0].as_py() * ROW_COUNTS
+    return pa.table({"id": pa.array(first + reached, pa.int64()), "a": pa.array(sums[reached], pa.int64())})
+
+
 def _pair_shard(prefix, suffix, shards: int):
     """The shard of a pair of ids, for columns and arrays alike."""
     return (prefix * 1_000_003 + suffix) % shards
@@ -607,9 +620,11 @@ def _next_level(
     tries = 1 + found // TRIE_KEYS
     if tries <= TRIES:
         with _broadcast(keys.select("id", "key"), tries, f"trie-{words}") as broadcasts:
-            walked = sequences.mapInArrow(_advancer(broadcasts, digits, last), f"{SEQUENCES}, id long, n long")
+            walked = sequences.mapInArrow(_advancer(broadcasts, digits, last), f"{SEQUENCES}, part long, sums binary")
             walked = cut_lineage(walked, f"ids-{words}")
         rows = walked.filter(F.col("ids").isNotNull()).select("block", "ids")
+        summed = walked.filter(F.col("part").isNotNull()).select("part", "sums").groupBy("part")
+        summed = summed.applyInArrow(_add_up, "id long, a long")
     else:
         shards = _shards(tries, running)
         asked = sequences.mapInArrow(_pair_asker(shards), "shard int, block long, codes binary, counts binary")
@@ -619,7 +634,7 @@ def _next_level(
         walked = cut_lineage(walked.applyInArrow(_pair_answerer(digits, last), schema), f"answers-{words}")
         answers = walked.filter(F.col("block").isNotNull()).select("block", "codes", "found")
         rows = None if last else _placed(sequences, answers, True, f"ids-{words}")
-    summed = walked.filter(F.col("id").isNotNull()).groupBy("id").agg(F.sum("n").alias("a"))
+        summed = walked.filter(F.col("id").isNotNull()).groupBy("id").agg(F.sum("n").alias("a"))
     before = below.select(F.col("id").alias("prefix"), "lang", "phrase", F.col("a").alias("left"), "lefts")
     after = below.select(F.col("id").alias("suffix"), F.col("last"), F.col("a").alias("right"), "rights")
     level = chosen.join(summed, "id").join(before, "prefix").join(after, "suffix")
