@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import documents, odd_texts
 
@@ -148,6 +149,32 @@ def test_a_few_tries_are_broadcast_together(spark, monkeypatch):
     assert tries[0] > 1 and tries[1] > 1 and not [label for label in labels if label.startswith("answers")]
 
 
+def test_counts_are_sent_packed(monkeypatch):
+    """A task sends a row for some neighbouring ids, not one for each, whichever trie they are in."""
+    monkeypatch.setattr(col, "ROW_COUNTS", 4, raising=False)
+    rng = random.Random(6)
+    pairs = rng.sample([(a, b) for a in range(1, 10) for b in range(1, 10)], 31)
+
+    class Told:
+        def __init__(self, numbers):
+            keys = {"id": list(numbers), "key": [bytes(pairs[n - 1]) for n in numbers]}
+            self.value = col._built(pa.table(keys))
+
+    ids = [rng.randrange(10) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"block": [7], "ids": [np.array(ids, dtype="<u4").tobytes()]})
+    run = col._advancer([Told(range(1, 32, 2)), Told(range(2, 32, 2))], 1, True)
+    tasks = [*run([batch]), *run([batch, batch]), *run([])]
+    assert [task.num_rows <= 8 for task in tasks] == [True] * 3
+    told, sums = pa.Table.from_batches(tasks), Counter()
+    for part in range(8):
+        rows = told.filter(pa.compute.equal(told.column("part"), part))
+        if rows.num_rows:
+            found = col._add_up(rows).to_pydict()
+            sums.update(dict(zip(found["id"], found["a"])))
+    places = Counter(zip(ids, ids[1:]))
+    assert sums == Counter({n: 3 * places[pair] for n, pair in enumerate(pairs, 1) if places[pair]}) and len(sums) > 20
+
+
 @pytest.mark.parametrize("size", [16, 100, 1000])
 def test_slices_of_a_long_text_give_the_same_ids(size):
     text = b"one two. three  .four five,\n\nsix se.ven " * 20 + b"x" * 200 + b" two three"
